@@ -12,7 +12,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import TEST_DAYS, TRAIN_DAYS, GridConfig
+from ..config import TEST_DAYS, TRAFFIC_COLUMNS, TRAIN_DAYS, GridConfig
 from ..fixtures import Inputs
 from ..models import net, trees
 from ..operators import poi
@@ -35,7 +35,7 @@ def _on(i: Inputs, cfg: GridConfig) -> Inputs:
 
 def _gap_tables(i: Inputs) -> tuple[DataFrame, DataFrame]:
     """Written once: training reads it many times."""
-    matrix = stage(norm_matrix(_on(i, WIDE)), "gap_features", "date")
+    matrix = stage(norm_matrix(_on(i, WIDE)), "gap_features")
     return day_split(matrix, TRAIN_DAYS, TEST_DAYS)
 
 
@@ -57,7 +57,7 @@ def rf_gap_full(i: Inputs) -> DataFrame:
 
 @query
 def rf_gap_short(i: Inputs) -> DataFrame:
-    matrix = stage(norm_matrix(_on(i, WIDE)), "gap_features", "date")
+    matrix = stage(norm_matrix(_on(i, WIDE)), "gap_features")
     return _shown(jobs.short_forecast(matrix, preset=_small(trees.FOREST["short"])).forecast)
 
 
@@ -67,7 +67,7 @@ def rf_gap_raw(i: Inputs) -> DataFrame:
     w = _on(i, WIDE)
     pivot = poi.poi_pivot(w.poi, scaled=False)
     matrix = stage(
-        pf.features_raw(w.days, w.gaps, w.traffic, w.weather, pivot, w.cfg), "gap_raw", "date"
+        pf.features_raw(w.days, w.gaps, w.traffic, w.weather, pivot, w.cfg), "gap_raw"
     )
     result = jobs.raw_forecast(*day_split(matrix, TRAIN_DAYS, TEST_DAYS), _small(trees.FOREST["raw"]))
     return result.validation.select(F.col("date").cast("string").alias("date"), F.round("mae", 6).alias("mae"))
@@ -143,9 +143,10 @@ def model_roundtrip(i: Inputs) -> DataFrame:
 @query
 def model_parameters(i: Inputs) -> DataFrame:
     """Parameters of a loaded model."""
-    train, _ = _gap_tables(i)
+    train, _ = _traffic_tables(i)
     path = new_path(i.spark, "model")
-    save_model(trees.fit_forest(train, replace(trees.FOREST["short"], trees=2, depth=3)), path)
+    preset = replace(trees.FOREST["traffic"], response="t1", ignored=("t2", "t3", "t4"), trees=2, depth=3)
+    save_model(trees.fit_forest(train, preset, TRAFFIC_COLUMNS), path)
     params = model_params(load_model(path))
     return i.spark.createDataFrame(sorted(params.items()), "name string, value string").where(
         "name IN ('numTrees', 'maxDepth', 'maxBins', 'seed')"

@@ -27,15 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local master may fall back to a temporary folder of this machine.
     """
     sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if path:
         return path
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="zonecast-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    sc.setCheckpointDir(path)
-    return path
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="zonecast-"))
+    return sc.getCheckpointDir()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
