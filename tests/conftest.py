@@ -12,9 +12,10 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from zonecast.session import local_session
+    from zonecast.session import local_session, ship_package
 
     spark = local_session(8, "zonecast-tests")
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     yield spark
     spark.stop()

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +17,9 @@ from ..config import LEVELS, POI_COLUMNS, TEST_DAYS, TRAIN_DAYS
 from ..fixtures import Inputs
 from ..functions import scalars as sc
 from ..operators import dims, fill, forecasts, gaps, grids, latest, poi, quality, scale, series, split
-from ..operators.prepare import impute_mean
+from ..operators.prepare import impute_mean, index_categories
 from ..plans import features as pf
-from ..session import new_path
+from ..session import new_path, ship_package
 from ..sources import readers, schemas, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +32,7 @@ def query(fn: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
 
 
 def _run(fn: Callable[[Inputs], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return fn(Inputs(spark, sf_dir))
 
 
@@ -433,12 +433,7 @@ def traffic_predict_grid(i: Inputs) -> DataFrame:
 @query
 def category_index(i: Inputs) -> DataFrame:
     cells = i.view("scored_cells").groupBy("slot", "zone").agg(F.count(F.lit(1)).alias("n"))
-    indexer = StringIndexer(
-        inputCols=["slot", "zone"],
-        outputCols=["slot_ix", "zone_ix"],
-        stringOrderType="alphabetAsc",
-        handleInvalid="keep",
-    )
+    indexer = index_categories(["slot", "zone"], ["slot_ix", "zone_ix"])
     return indexer.fit(cells).transform(cells)
 
 

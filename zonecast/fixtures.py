@@ -60,9 +60,12 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str, cfg: GridConfig = DEFAULT):
         self.spark, self.sf_dir, self.cfg = spark, sf_dir, cfg
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
 
     def view(self, name: str) -> DataFrame:
         text = VIEWS[name]

@@ -14,12 +14,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import GAP_COLUMNS
+from ..operators.prepare import index_categories
 from .trees import Preset, feature_columns
 
 RHO, EPSILON = 0.99, 1e-8
@@ -164,12 +165,7 @@ def fit_net(
     df = df.where(F.col(preset.response).isNotNull())
     prep = Pipeline(
         stages=[
-            StringIndexer(
-                inputCols=categories,
-                outputCols=[f"ix{k}" for k in range(len(categories))],
-                handleInvalid="keep",
-                stringOrderType="alphabetAsc",
-            ),
+            index_categories(categories, [f"ix{k}" for k in range(len(categories))]),
             Imputer(strategy="mean", inputCols=numbers, outputCols=[f"{c}_num" for c in numbers]),
             VectorAssembler(inputCols=[f"{c}_num" for c in numbers], outputCol="num_raw"),
             StandardScaler(inputCol="num_raw", outputCol="num_vec", withMean=True, withStd=True),

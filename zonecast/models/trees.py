@@ -6,12 +6,13 @@ from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import GAP_COLUMNS, LEVELS, TRAFFIC_COLUMNS
+from ..operators.prepare import index_categories
 from ..operators.quality import constant_columns
 
 GAP_CATEGORIES = ["day", "timeslice", "districtID", "destDistrict", "weather"]
@@ -69,12 +70,7 @@ def feature_stages(categories: list[str], numbers: list[str]) -> list:
     indexed = [f"{c}_ix" for c in categories]
     filled = [f"{c}_num" for c in numbers]
     return [
-        StringIndexer(
-            inputCols=categories,
-            outputCols=indexed,
-            handleInvalid="keep",
-            stringOrderType="alphabetAsc",
-        ),
+        index_categories(categories, indexed),
         Imputer(strategy="mean", inputCols=numbers, outputCols=filled),
         VectorAssembler(inputCols=[*indexed, *filled], outputCol="features"),
     ]

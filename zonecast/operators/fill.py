@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ..config import DEFAULT, GridConfig, LEVELS, WEATHER
 from ..functions.scalars import day_mod7
-from .grids import day_zones, slot_grid
+from .grids import by_day, day_zones, slot_grid
 
 
 def _fill_columns(
@@ -92,7 +92,7 @@ def fill_traffic(
         F.map_from_entries(F.collect_list(F.struct("slot", _pack(payload)))).alias("_seen"),
         F.max_by(_pack(payload), "slot").alias("_last"),
     )
-    zones = day_zones(days, cfg).join(packed, ["date", "zone"], "left")
+    zones = by_day(day_zones(days, cfg).join(packed, ["date", "zone"], "left"))
     carry = F.col("_last")
     if leak_carry:
         below = (

@@ -21,14 +21,31 @@ def _one_to(n: int):
     return F.explode(F.sequence(F.lit(1), F.lit(n)))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Shuffle a small table into as many tasks as the session uses, ahead of an explode.
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    The number is given, because AQE would otherwise judge by the size before the
-    explode and merge everything into one task.
+
+def by_day(rows: DataFrame) -> DataFrame:
+    """Shuffle small per-day tables by date ahead of an explode into slots.
+
+    The windows by date that follow reuse this partitioning.  The number of tasks
+    is given, because AQE would otherwise judge by the size before the explode.
+    """
+    return rows.repartition(_tasks(rows), "date")
+
+
+BLOCKS_PER_DAY = 12
+
+
+def spread(cells: DataFrame, cfg: GridConfig = DEFAULT) -> DataFrame:
+    """Shuffle zone-grain cells by (date, block of slots), ahead of an explode.
+
+    Destinations multiply the rows by 67, so the shuffle belongs before them, again
+    with a given number of tasks.  A day is spread over at most ``BLOCKS_PER_DAY``
+    of them, which also bounds the files a daily write makes.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys)
+    block = F.floor((F.col("slot") - 1) * BLOCKS_PER_DAY / cfg.n_slots)
+    return cells.repartition(_tasks(cells), "date", block)
 
 
 def slot_grid(days: DataFrame, cfg: GridConfig = DEFAULT) -> DataFrame:
@@ -53,5 +70,5 @@ def add_dests(cells: DataFrame, cfg: GridConfig = DEFAULT) -> DataFrame:
 
 def od_grid(days: DataFrame, cfg: GridConfig = DEFAULT) -> DataFrame:
     """(date, slot, origin, dest)"""
-    cells = spread(zone_grid(days, cfg), "date", "slot", "zone")
+    cells = spread(zone_grid(days, cfg), cfg)
     return add_dests(cells.withColumnRenamed("zone", "origin"), cfg)

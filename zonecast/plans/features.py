@@ -48,7 +48,7 @@ def _gap_matrix(
 ) -> DataFrame:
     packed = pack_by_dest(gaps).withColumnRenamed("origin", "zone")
     wide = cells.join(packed, ["date", "slot", "zone"], "left")
-    wide = spread(join_weather(wide, weather), "date", "slot", "zone")
+    wide = spread(join_weather(wide, weather), cfg)
     wide = join_poi(wide, poi, cfg)
     gap = F.coalesce(F.try_element_at("gaps", F.col("dest")), F.lit(0).cast("bigint"))
     return (
@@ -196,17 +196,3 @@ def weather_table(days: DataFrame, weather: DataFrame, cfg: GridConfig = DEFAULT
         "pollution",
     )
 
-
-__all__ = [
-    "POI_COLUMNS",
-    "features_norm",
-    "features_raw",
-    "features_test",
-    "join_poi",
-    "join_traffic",
-    "join_weather",
-    "traffic_observed",
-    "traffic_predict_grid",
-    "traffic_train",
-    "weather_table",
-]
