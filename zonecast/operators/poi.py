@@ -32,15 +32,18 @@ def parse_poi(tokens: DataFrame, keys: list[str]) -> DataFrame:
     row with NULL cat, sub and n; so do keys that are not of the two known forms.
     """
     token = F.col("token")
-    key = F.split_part(token, F.lit(":"), F.lit(1))
-    known = ~is_blank(token) & key.rlike(CANONICAL_KEY)
-    sub = F.split_part(key, F.lit("#"), F.lit(2))
+    pair = F.split(token, ":")
+    steps = F.split(pair[0], "#")
+    known = ~is_blank(token) & pair[0].rlike(CANONICAL_KEY)
+    sub = F.when(F.size(steps) == 1, F.lit(0)).otherwise(
+        F.try_element_at(steps, F.lit(2)).try_cast("int")
+    )
     parsed = tokens.select(
         *keys,
         "pos",
-        F.when(known, F.split_part(key, F.lit("#"), F.lit(1)).cast("int")).alias("cat"),
-        F.when(known, F.when(sub == "", 0).otherwise(sub.try_cast("int"))).alias("sub"),
-        F.when(~is_blank(token), F.split_part(token, F.lit(":"), F.lit(2)).cast("int")).alias("n"),
+        F.when(known, steps[0].try_cast("int")).alias("cat"),
+        F.when(known, sub).alias("sub"),
+        F.when(~is_blank(token), pair[1].cast("int")).alias("n"),
     )
     latest = parsed.groupBy(*keys, "cat", "sub").agg(F.max_by("n", "pos").alias("n"))
     return latest.withColumn("n", F.when(F.col("cat").isNotNull(), F.col("n")))
