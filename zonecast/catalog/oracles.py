@@ -230,8 +230,11 @@ def _scale_of(name: str, extra: str = "") -> str:
 # -- regression by successive orthogonalisation -------------------------------
 
 
-def _granger_l2() -> str:
-    """Sweep each regressor out of the ones after it, within each key."""
+def _granger_l2(with_p: bool) -> str:
+    """Sweep each regressor out of the ones after it, within each key.
+
+    With two restrictions the tail of F has a closed form.
+    """
     names = ["y", "y1", "y2", "x1", "x2"]
     ctes = [
         "s0 AS MATERIALIZED (SELECT key, "
@@ -255,10 +258,12 @@ def _granger_l2() -> str:
             "WINDOW k AS (PARTITION BY key))"
         )
         step += 1
-    body = """
-SELECT key, n, round(((rss0 - rss1) / 2) / (rss1 / (n - 5)), 6) AS f, round(1 - rss1 / tss, 6) AS r2
-FROM (SELECT key, count(*) AS n, sum(y0 * y0) AS tss, sum(yr * yr) AS rss0, sum(y * y) AS rss1
-      FROM s4 GROUP BY key) q"""
+    p = ", round(pow(1 + 2 * f / (n - 5), -(n - 5) / 2.0), 6) AS p" if with_p else ""
+    body = f"""
+SELECT key, n, round(f, 6) AS f, round(r2, 6) AS r2{p}
+FROM (SELECT key, n, ((rss0 - rss1) / 2) / (rss1 / (n - 5)) AS f, 1 - rss1 / tss AS r2
+      FROM (SELECT key, count(*) AS n, sum(y0 * y0) AS tss, sum(yr * yr) AS rss0, sum(y * y) AS rss1
+            FROM s4 GROUP BY key) q) r"""
     head = _with(["lagged"], "")
     return head.rstrip() + ",\n" + ",\n".join(ctes) + body
 
@@ -571,7 +576,38 @@ FROM (SELECT key, n, syy, syy - say * say / saa AS rss0,
                    covar_pop(x1, y) * count(*) AS sby, covar_pop(y1, x1) * count(*) AS sab
             FROM lagged WHERE y1 IS NOT NULL GROUP BY key) s) r""",
     )
-    q["granger_l2"] = _granger_l2()
+    q["granger_l2"] = _granger_l2(with_p=False)
+    q["granger_p"] = _granger_l2(with_p=True)
+
+    # Gaussian naive Bayes of the weather code on day and slot
+    q["nb_weather"] = _with(
+        ["slot_grid", "weather_last"],
+        """
+, grid AS MATERIALIZED (
+  SELECT CAST(day(g.date) AS INT) AS day, g.slot AS timeslice, weather
+  FROM slot_grid g LEFT JOIN weather_last w ON g.date = w.date AND g.slot = w.slot),
+codes AS MATERIALIZED (
+  SELECT weather AS code, count(*) AS n, avg(day) AS md, var_pop(day) AS vd,
+         avg(timeslice) AS ms, var_pop(timeslice) AS vs
+  FROM grid WHERE weather IS NOT NULL AND day <= 21 GROUP BY weather)
+SELECT day, timeslice, weather, code AS predict FROM grid, codes
+WHERE day IN (22, 24, 26, 28, 30)
+QUALIFY row_number() OVER (
+  PARTITION BY day, timeslice
+  ORDER BY ln(n) - 0.5 * (ln(vd) + ln(vs) + pow(day - md, 2) / vd + pow(timeslice - ms, 2) / vs) DESC) = 1""",
+    )
+
+    # eight-hour slots: 48 of the ten-minute ones
+    q["model_roundtrip"] = _with(
+        ["zone_grid", "orders_keyed"],
+        f"""
+SELECT {DAY.format('g.')}, CAST((g.slot + 47) / 48 AS INT) AS timeslice, g.zone AS "districtID",
+       count(o.event_id) AS gap, true AS same
+FROM (SELECT * FROM zone_grid WHERE slot % 48 = 1 AND day(date) IN (22, 24, 26, 28, 30)) g
+LEFT JOIN orders_keyed o ON o.driver_id = 'NULL' AND o.date = g.date AND o.origin = g.zone
+  AND o.slot BETWEEN g.slot AND g.slot + 47
+GROUP BY g.date, g.slot, g.zone""",
+    )
 
     # round trips through files
     q["roundtrip_orders"] = _with(
