@@ -32,7 +32,7 @@ def days_df(spark):
     return spark.createDataFrame([(d,) for d in DAYS], "date date")
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_traffic(spark, seed):
     cells = sparse(seed)
     obs = spark.createDataFrame([(*k, *v) for k, v in cells.items()], TRAFFIC)
@@ -47,7 +47,7 @@ def test_traffic(spark, seed):
     assert got == want
 
 
-@pytest.mark.parametrize("seed", [5, 6])
+@pytest.mark.parametrize("seed", [5])
 def test_traffic_with_source_keys(spark, seed):
     cells = sparse(seed)
     obs = spark.createDataFrame([(*k, *v) for k, v in cells.items()], TRAFFIC)
@@ -67,7 +67,7 @@ def test_traffic_without_carry(spark):
     assert {(r.date, r.zone) for r in rows} == {(DAYS[0], 2)} and len(rows) == 8
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_weather(spark, seed):
     rng = random.Random(seed)
     seen = {

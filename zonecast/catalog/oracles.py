@@ -120,7 +120,7 @@ FROM zone_grid g LEFT JOIN traffic_last o USING (date, slot, zone)""",
     "scored_traffic": """
 SELECT date, slot, zone, t1, t2, t3, t4,
        slot / 100.0 + zone / 10.0 AS t1p, slot / 50.0 AS t2p, zone / 20.0 AS t3p, slot % 7 + zone / 8.0 AS t4p
-FROM traffic_grid WHERE (slot + zone) % 11 <> 0""",
+FROM traffic_grid""",
     "rollup": """
 SELECT day, slot, zone, CAST(sum(gap) AS BIGINT) AS gap,
        sum(CASE WHEN predict < 0.5 THEN 0.0 ELSE predict END) AS predict

@@ -115,10 +115,10 @@ def traffic_scale(i: Inputs) -> DataFrame:
 
 
 def _scored_traffic(i: Inputs) -> DataFrame:
-    """Observed levels beside stand-in predictions; one cell in eleven is absent."""
+    """Observed levels, NULL where there are none, beside stand-in predictions."""
     cells = pf.join_traffic(grids.zone_grid(i.days), scale.scale_traffic(i.traffic))
     slot, zone = F.col("slot"), F.col("zone")
-    return cells.where((slot + zone) % 11 != 0).select(
+    return cells.select(
         "date", "slot", "zone", *LEVELS,
         (slot / 100.0 + zone / 10.0).alias("t1p"),
         (slot / 50.0).alias("t2p"),
