@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..config import LEVELS, POI_COLUMNS, TEST_DAYS, TRAIN_DAYS
 from ..fixtures import Inputs
 from ..functions import scalars as sc
-from ..operators import dims, fill, forecasts, gaps, grids, latest, poi, quality, scale, series, split
+from ..operators import dims, fill, forecasts, gaps, grids, poi, quality, scale, series, split
 from ..operators.prepare import impute_mean, index_categories
 from ..plans import features as pf
 from ..session import new_path, ship_package

@@ -17,15 +17,14 @@ from ..functions.scalars import day_mod7
 from .grids import by_day, day_zones, slot_grid
 
 
-def _fill_columns(
-    part: list[str], slot: str, packed: Column, fallback: list[Column]
-) -> Column:
+def _carried_down(part: list[str], value: str, fallback: list[Column]) -> Column:
+    """The last non-NULL value up to this slot, else the first non-NULL fallback."""
     up_to_here = (
         Window.partitionBy(*part)
-        .orderBy(slot)
+        .orderBy("slot")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return F.coalesce(F.last(packed, ignorenulls=True).over(up_to_here), *fallback)
+    return F.coalesce(F.last(value, ignorenulls=True).over(up_to_here), *fallback)
 
 
 def _pack(cols: list[str]) -> Column:
@@ -45,7 +44,7 @@ def fill_by_slot(
         .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     )
     wrap = F.last("_v", ignorenulls=True).over(whole)
-    filled = _fill_columns(part, "slot", F.col("_v"), [wrap, zero])
+    filled = _carried_down(part, "_v", [wrap, zero])
     return cells.select(*part, "slot", filled.alias("_f")).select(*part, "slot", "_f.*")
 
 
@@ -107,7 +106,7 @@ def fill_traffic(
     cells = carried.select("*", slots).select(
         "date", "zone", "slot", "_carry", F.try_element_at("_seen", F.col("slot")).alias("_v")
     )
-    filled = _fill_columns(["date", "zone"], "slot", F.col("_v"), [F.col("_carry")])
+    filled = _carried_down(["date", "zone"], "_v", [F.col("_carry")])
     return cells.select("date", "slot", "zone", filled.alias("_f")).select(
         "date", "slot", "zone", "_f.*"
     )

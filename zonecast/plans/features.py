@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, GAP_COLUMNS, LEVELS, POI_COLUMNS, TRAFFIC_COLUMNS, GridConfig
+from ..config import DEFAULT, GAP_COLUMNS, LEVELS, TRAFFIC_COLUMNS, GridConfig
 from ..functions.scalars import day_mod7, observed_or, od_encode
 from ..operators.fill import fill_traffic, fill_weather, weather_grid
 from ..operators.gaps import pack_by_dest
