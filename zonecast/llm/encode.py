@@ -4,34 +4,66 @@ The byte-level pattern always breaks before a space that follows or precedes a
 non-space, so a text is cut there and each distinct chunk is encoded once; the
 ids of a text are the joined ids of its chunks.  Texts in which a space stands
 between two other white-space characters are encoded whole.
+
+Ids are those that ``tokenizers`` gives for the vocabulary file.  Where the file
+numbers merged tokens in the order of its merges, as the usual ones do, merging
+the lowest id first is the same rule, and the chunks go through ``tiktoken``,
+which needs a fraction of the time; else through ``tokenizers``.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 
-#: Distinct chunks kept in a worker, about 150 bytes each.
+#: Distinct chunks kept in a worker, about 200 bytes each.
 CACHE = 600_000
 _NO_CUT = re.compile(r"\s \s")
 
 
+def _byte_of() -> dict[str, int]:
+    """The characters that stand for bytes in the file: printable ones for themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+def merge_ranks(path: str) -> dict[bytes, int] | None:
+    """Token bytes to ids, None unless the ids of merged tokens rise in the order of the merges."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, byte = spec["model"], _byte_of()
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    ids = [model["vocab"][m] for m in merged]
+    if ids != sorted(set(ids)) or any(model["vocab"][c] >= ids[0] for c in byte):
+        return None
+    return {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+
+
 class Encoder:
     """``ids(text)`` gives little-endian unsigned 32-bit ids as bytes."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
+        ranks = merge_ranks(path)
+        if ranks:
+            import public_tokenizers
+            import tiktoken
+
+            coder = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self._encode = lambda texts: [array("I", coder.encode_ordinary(t)).tobytes() for t in texts]
+        else:
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_file(path)
+            tokenizer.encode_special_tokens = True
+            self._encode = lambda texts: [
+                array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            ]
 
     def ids(self, text: str) -> bytes:
         if not text:
