@@ -39,10 +39,10 @@ def _positions(digest: Column, bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64(digest, F.lit(seed)), F.lit(bits)) for seed in (1, 2)]
 
 
-def repeat_filter(digests: DataFrame, bits: int) -> DataFrame:
-    """The bits set at least twice, as (piece, bitmap); at most ``bits / PIECE`` rows of 4 KB."""
+def repeat_filter(digests: DataFrame, bits: int, times: int = 2) -> DataFrame:
+    """The bits set at least ``times`` times, as (piece, bitmap); at most ``bits / PIECE`` rows of 4 KB."""
     at = digests.select(F.explode(F.array(*_positions(F.col("digest"), bits))).alias("bit"))
-    twice = at.groupBy("bit").count().where("count > 1")
+    twice = at.groupBy("bit").count().where(F.col("count") >= times)
     return twice.groupBy((F.col("bit") / PIECE).cast("long").alias("piece")).agg(
         F.expr(f"bitmap_construct_agg(bit % {PIECE})").alias("bitmap")
     )
@@ -76,6 +76,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         F.col(key).alias("doc_id"),
         F.sha2(normalised(F.col(text)), 256).alias("digest"),
         F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n"),
+        F.monotonically_increasing_id().alias("row"),
     )
     return _groups(stage(narrow, "digests"))
 
@@ -88,16 +89,13 @@ def _groups(rows: DataFrame) -> DataFrame:
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), F.col("digest").alias("text_sha256"),
     )
-    # One row a (digest, id, length) with its number of repeats, then one a digest: both combine before they shuffle.
-    maybe = flagged.where("maybe").groupBy("digest", "doc_id", "n").agg(F.count(F.lit(1)).alias("copies"))
-    first = F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id")
-    best = maybe.groupBy("digest").agg(F.min(first).alias("best"), F.sum("copies").alias("group_size"))
-    joined = maybe.join(best, "digest")
-    is_best = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (-F.col("n") == F.col("best.n"))
-    copy = F.explode(F.expr("sequence(1L, copies)"))
-    grouped = joined.select("*", copy.alias("copy")).select(
+    # The rows of a group are only combined map-side; a huge group stays divisible in the join.
+    maybe = flagged.where("maybe")
+    first = F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    best = maybe.groupBy("digest").agg(F.min(first).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    grouped = maybe.join(best, "digest").select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
-        (is_best & (F.col("copy") == 1)).alias("kept"), F.col("digest").alias("text_sha256"),
+        (F.col("row") == F.col("best.row")).alias("kept"), F.col("digest").alias("text_sha256"),
     )
     return single.unionByName(grouped)
 
