@@ -6,14 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, token_counts
+from . import exact_dedup, lm, mixing, near_dedup, packing, pii, quality, substring_dedup, token_counts, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_topk": topk.op1_topk,
     "op2_packing": packing.op2_packing,
+    "op3_near_dedup": near_dedup.op3_near_dedup,
+    "op4_lm_scoring": lm.op4_lm_scoring,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op6_pii": pii.op6_pii,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_quality": quality.op8_quality,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_mixing": mixing.op10_mixing,
 }
-SQL: dict[str, str] = {"op7_exact_dedup": exact_dedup.OP7_SQL, "op10_mixing": mixing.OP10_SQL}
+SQL: dict[str, str] = {
+    "op1_topk": topk.OP1_SQL,
+    "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op10_mixing": mixing.OP10_SQL,
+}
