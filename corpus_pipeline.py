@@ -1,29 +1,50 @@
-"""Documents to training sequences: the stages in order, each a table of its own."""
+"""Documents to training sequences: five stages, each a table of its own.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
+keep the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zonecast.llm import exact_dedup, mixing, packing
+from zonecast.llm import exact_dedup, mixing, near_dedup, packing, quality
 from zonecast.session import stage
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the co-trained classifier does not reject; it learns from the labelled ones."""
+    return quality.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
     return exact_dedup.drop_copies(docs)
 
 
-def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in their target weights; a document taken in two epochs is there twice."""
+def distinct_content(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (runs of five words, similarity 0.8)."""
+    return near_dedup.drop_near_copies(docs)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights; a document that two epochs take is there twice."""
     return mixing.mixed_documents(docs)
 
 
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces in sequences of 2048 tokens."""
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in sequences of 2048 tokens."""
     return packing.packed_documents(docs)
 
 
-STAGES = [("exact dedup", exact), ("mixing sources", mixed), ("packing", packed)]
+STAGES = [
+    ("quality classifier", good_quality),
+    ("exact dedup", distinct_texts),
+    ("near dedup", distinct_content),
+    ("mixing sources", mixed_sources),
+    ("packing", packed_sequences),
+]
+#: The classifier is a trained model, which SQL cannot express.
 ORACLE_SQL = None
 
 

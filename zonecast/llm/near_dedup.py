@@ -6,11 +6,14 @@
 2. Equal shingle sets are one node.  Nodes share a bucket when ``ROWS`` sketch
    values of one of the ``BANDS`` agree: at similarity 0.8 all bands miss with a
    chance of 5e-8.
-3. In each bucket every node is compared with one centre, on the full sets of
-   both.  Linked nodes become one component.  A bucket that still holds several
-   components gets further centres (twice as many each round) until its nodes
-   are one component or each of them was a centre; so no link is lost and a
-   group of n copies costs n comparisons, not n squared.
+3. Star rounds: in each bucket every node is compared with one centre, on the
+   full sets of both, then with a member of the bucket's main component, which
+   joins most of what belongs together at one comparison a node.
+4. What is left are nodes outside the main component of a bucket.  A bucket's
+   main component is a unit; its outsiders are compared with all members of the
+   unit and each other, in tasks of bounded size that hold a share of the
+   outsiders and a share of the members.  So no link is lost, pairs are never
+   rows, and a group of n copies costs n comparisons.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package, stage
@@ -84,6 +87,10 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     )
 
 
+def _linked(one: int, two: int, both: np.ndarray | int, share: int) -> np.ndarray | bool:
+    return 100 * both >= share * (one + two - both)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int, share: int) -> DataFrame:
     """Of pairs (a, b) those with 100 * intersection >= share * union, on the full shingle sets."""
 
@@ -96,12 +103,8 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, share: int) -> Data
                     last = (b, _set_of(y, width))
                 one, two = _set_of(x, width), last[1]
                 small, large = sorted((one, two), key=len)
-                if 100 * len(small) < share * len(large):
-                    keep.append(False)
-                    continue
                 at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[at] == small).sum())
-                keep.append(100 * both >= share * (len(one) + len(two) - both))
+                keep.append(bool(_linked(len(one), len(two), int((large[at] == small).sum()), share)))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
@@ -109,6 +112,56 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, share: int) -> Data
     return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+#: Shingles of the outsiders and of the members that one task of a unit holds.
+OUTSIDERS, MEMBERS = 200_000, 1_000_000
+
+
+def unit_links(outsiders: DataFrame, inside: DataFrame, texts: DataFrame, width: int, share: int) -> DataFrame:
+    """Links between outsiders (unit, node, label, n) and all nodes of their unit (outsiders and ``inside``).
+
+    Nodes are dealt to parts by a hash; a task gets one part of the outsiders and
+    one of the members, about ``OUTSIDERS`` and ``MEMBERS`` shingles, and counts
+    intersections over the members' sorted shingles.
+    """
+    members = outsiders.unionByName(inside)
+    parts = outsiders.groupBy("unit").agg(F.ceil(F.sum("n") / OUTSIDERS).alias("os")).join(
+        members.groupBy("unit").agg(F.ceil(F.sum("n") / MEMBERS).alias("ms")), "unit"
+    )
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    asks = outsiders.join(parts, "unit").select("unit", own("os").alias("o"), upto("ms").alias("m"), "node", "label", F.lit(True).alias("asks"))
+    told = members.join(parts, "unit").select("unit", upto("os").alias("o"), own("ms").alias("m"), "node", "label", F.lit(False).alias("asks"))
+
+    def run(t: pa.Table) -> pa.Table:
+        asks = t.column("asks").to_numpy()
+        node, label = t.column("node").to_pylist(), t.column("label").to_pylist()
+        sets = [_set_of(x, width) for x in utf8(t.column("text").combine_chunks())]
+        known = np.flatnonzero(~asks)
+        sizes = np.array([len(sets[k]) for k in known])
+        codes = {x: i for i, x in enumerate(dict.fromkeys(label))}
+        group = np.array([codes[x] for x in label])
+        if not len(known):
+            return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+        values = np.concatenate([sets[k] for k in known])
+        owner = np.repeat(np.arange(len(known)), sizes)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        a, b = [], []
+        for k in np.flatnonzero(asks):
+            lo, hi = np.searchsorted(values, sets[k]), np.searchsorted(values, sets[k], side="right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(known))
+            hit = _linked(len(sets[k]), sizes, both, share) & (group[known] != group[k])
+            for j in known[np.flatnonzero(hit)]:
+                a.append(node[k])
+                b.append(node[j])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    rows = asks.unionByName(told).join(texts, "node").select("unit", "o", "m", "node", "label", "asks", "text")
+    return rows.groupBy("unit", "o", "m").applyInArrow(run, "a binary, b binary")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node with a link; the label is the smallest node reachable.
 
@@ -149,12 +202,16 @@ def near_groups(
     passed over, and are the component's id only if it has no other.  Rows that
     repeat an id keep a row each.
     """
+    return _groups(docs, key, text, width, share).drop("pick")
+
+
+def _groups(docs: DataFrame, key: str, text: str, width: int, share: int) -> DataFrame:
     picked = docs.select(
         F.col(key).alias("doc_id"), F.xxhash64(F.col(key), F.col(text)).alias("pick"), F.col(text).alias("text")
     )
     rows = stage(sketches(picked, width), "sketches")
     nodes = rows.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("first_id"), F.min("pick").alias("pick"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("first_id"), F.min("pick").alias("pick"), F.first("bands").alias("bands"), F.first("n").alias("n")
     )
     nodes = stage(nodes, "nodes")
     flat = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -168,44 +225,48 @@ def near_groups(
         "links",
     )
     labels = components(links)
-    open_ = _open_members(members, labels)
-    done = 0
-    while not open_.isEmpty():
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node")) - 1
-        placed = stage(open_.withColumn("rank", rank), "open")
-        centres = placed.where((F.col("rank") >= done) & (F.col("rank") < 2 * done + 1)).select(
-            "bucket", F.col("node").alias("b"), F.col("label").alias("lb")
+    for round_ in range(STAR_ROUNDS):
+        known = _mixed_buckets(members, labels)
+        chosen = known.where("label = main").groupBy("bucket", "main").agg(
+            F.min_by("node", F.xxhash64("node", F.lit(round_))).alias("b")
         )
-        pairs = placed.join(centres, "bucket").where("label != lb").select(
-            F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")
-        ).distinct()
-        more = stage(verified(pairs, texts, width, share), "links")
-        links = links.union(more)
+        pairs = known.where("label != main").join(chosen.select("bucket", "b"), "bucket").select(F.col("node").alias("a"), "b")
+        links = links.union(stage(verified(pairs.distinct(), texts, width, share), "links"))
         labels = components(links)
-        done = 2 * done + 1
-        # Buckets whose members were all centres are settled, whatever their components.
-        left = placed.groupBy("bucket").agg(F.max("rank").alias("last")).where(F.col("last") >= done).select("bucket")
-        open_ = _open_members(placed.join(left, "bucket", "left_semi").select("bucket", "node"), labels, whole=True)
+    known = _mixed_buckets(members, labels).join(nodes.select("node", "n"), "node")
+    known = stage(known.select(F.col("main").alias("unit"), "node", "label", "n").distinct(), "units")
+    more = stage(
+        unit_links(known.where("label != unit"), known.where("label = unit"), texts, width, share), "links"
+    )
+    labels = components(links.union(more))
     found = nodes.join(labels, "node", "left").select(
         "node", "first_id", F.coalesce("label", "node").alias("label")
     )
     least = found.groupBy("label").agg(F.min("first_id").alias("component_id"))
     of_node = found.join(least, "label").select("node", "component_id")
-    joined = rows.select("doc_id", "n", "node").join(of_node, "node", "left")
+    joined = rows.select("doc_id", "pick", "n", "node").join(of_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
+        F.col("doc_id").eqNullSafe(component).alias("kept"), "pick",
     )
 
 
-def _open_members(members: DataFrame, labels: DataFrame, whole: bool = True) -> DataFrame:
-    """Members of buckets that hold more than one component, with their labels."""
+#: Rounds in which outsiders are compared with a member of their bucket's main component.
+STAR_ROUNDS = 2
+
+
+def _mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, node, label, main) of buckets with several components; ``main`` is the most frequent one."""
     known = members.join(labels, "node", "left").select(
         "bucket", "node", F.coalesce("label", "node").alias("label")
     )
-    mixed = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
-    return stage(known.join(mixed.select("bucket"), "bucket", "left_semi"), "open")
+    counts = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
+    mains = counts.groupBy("bucket").agg(
+        F.max(F.struct("size", "label")).alias("top"), F.count(F.lit(1)).alias("several")
+    )
+    mains = mains.where("several > 1").select("bucket", F.col("top.label").alias("main"))
+    return stage(known.join(mains, "bucket"), "mixed")
 
 
 def _texts_of(involved: DataFrame, picked: DataFrame, width: int) -> DataFrame:
@@ -216,20 +277,28 @@ def _texts_of(involved: DataFrame, picked: DataFrame, width: int) -> DataFrame:
     return near.join(involved.select("pick", "node"), "pick").select("node", "text").dropDuplicates(["node"])
 
 
-def drop_near_copies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The kept rows with all their columns; needs distinct ids (rows that repeat one all stay or all go).
+def drop_near_copies(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, share: int = 80
+) -> DataFrame:
+    """One row of each group, with all its columns: the smallest id, of rows that repeat it the smallest hash.
 
-    Only the ids that go travel to the join.
+    Rows without words stay.  Rows equal in id and text stay or go together.
+    Only hashes of the rows that go travel to the join, and a bounded filter lets
+    the other rows pass without a shuffle.
     """
-    gone = near_groups(docs, key).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    gone = stage(gone, "near-copies")
+    rows = stage(_groups(docs, key, text, width, share), "near-groups")
+    group = ["component_id", "doc_id"]
+    several = rows.where("kept and n_shingles > 0").groupBy(*group).agg(F.min("pick").alias("best"))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in group]
+    others = rows.alias("r").join(several.alias("s"), same).where("r.pick != s.best and r.n_shingles > 0").select("r.pick")
+    gone = stage(rows.where(~F.col("kept")).select("pick").union(others).distinct(), "near-copies")
     bits = filter_bits(gone.count())
-    wanted = repeat_filter(gone.select(F.xxhash64("__gone").alias("digest")), bits, times=1)
+    wanted = repeat_filter(gone.select(F.col("pick").alias("digest")), bits, times=1)
     names = docs.columns
-    rows = docs.select(F.struct(*names).alias("__row"), F.xxhash64(key).alias("__digest"))
-    rows = flag_possible(rows, "__digest", wanted, bits, "__maybe")
-    left = rows.where("__maybe").join(gone, F.col("__row")[key].eqNullSafe(F.col("__gone")), "left_anti")
-    return rows.where(~F.col("__maybe")).select("__row.*").unionByName(left.select("__row.*"))
+    whole = docs.select(F.struct(*names).alias("__row"), F.xxhash64(key, text).alias("__pick"))
+    whole = flag_possible(whole, "__pick", wanted, bits, "__maybe")
+    left = whole.where("__maybe").join(gone, F.col("__pick") == F.col("pick"), "left_anti")
+    return whole.where(~F.col("__maybe")).select("__row.*").unionByName(left.select("__row.*"))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
