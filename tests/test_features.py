@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from world import CFG, DAYS, World
 
 from zonecast.config import GAP_COLUMNS, LEVELS, TRAFFIC_COLUMNS
-from zonecast.operators import dims, gaps, grids, latest, poi
+from zonecast.operators import gaps, poi
 from zonecast.plans import features as pf
+from zonecast.plans.clean import RawPaths, clean
 from zonecast.sources import readers
 
 
@@ -16,24 +17,15 @@ class Built:
     def __init__(self, spark, folder):
         self.world = World()
         paths = self.world.write(folder)
-        zones = dims.broadcast_if_small(dims.zone_map(readers.read_zones(spark, paths["zones"])))
-        orders = readers.read_orders(spark, paths["orders"])
-        self.orders = orders
-        self.days = grids.distinct_days(orders)
-        self.gaps = gaps.gap_counts(orders, zones, CFG.slot_seconds)
-        traffic = readers.read_traffic(spark, paths["traffic"])
-        traffic = traffic.withColumn("event_id", F.monotonically_increasing_id())
-        traffic = dims.attach_zone(traffic, zones, "zone_hash", "zone")
-        self.traffic = latest.latest_traffic(traffic, CFG.slot_seconds)
-        weather = readers.read_weather(spark, paths["weather"])
-        weather = weather.withColumn("event_id", F.monotonically_increasing_id())
-        self.weather = latest.latest_weather(weather, CFG.slot_seconds)
-        tokens = poi.last_rows(poi.explode_tokens(readers.read_poi(spark, paths["poi"])))
-        parsed = poi.parse_poi(tokens, ["zone_hash"])
-        self.poi = dims.attach_zone(parsed, zones, "zone_hash", "zone")
+        self.orders = readers.read_orders(spark, paths["orders"])
+        names = ("orders", "traffic", "weather", "zones", "poi")
+        cleaned, self.audit = clean(spark, RawPaths(*(paths[n] for n in names)), CFG)
+        self.days, self.gaps = cleaned.days, cleaned.gaps
+        self.traffic, self.weather, self.pivot = cleaned.traffic, cleaned.weather, cleaned.poi
+        self.raw_pivot = clean(spark, RawPaths(*(paths[n] for n in names)), CFG, scaled_poi=False)[0].poi
 
     def args(self, scaled=True):
-        return self.traffic, self.weather, poi.poi_pivot(self.poi, scaled=scaled), CFG
+        return self.traffic, self.weather, self.pivot if scaled else self.raw_pivot, CFG
 
 
 @pytest.fixture(scope="module")

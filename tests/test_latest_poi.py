@@ -35,9 +35,12 @@ def test_raw_rows_meet_a_hash_aggregate(spark):
 
 
 def test_zone_map_and_rejects(spark):
-    zones = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "zone_hash string, zone_id int")
-    dim = dims.zone_map(zones)
+    rows = [("a", 5, 1), ("b", 2, 2), ("a", 3, 3), ("c", 67, 1), ("c", 4, 2)]
+    zones = spark.createDataFrame(rows, "zone_hash string, zone_id int, row_pos int")
+    dim = dims.zone_map(zones).where("zone_hash <> 'c'")
     assert {tuple(r) for r in dim.collect()} == {("a", 3), ("b", 2)}
+    with pytest.raises(Exception, match="zone id out of range: 67"):
+        dims.zone_map(zones.where("row_pos = 1")).collect()
     df = spark.createDataFrame([("a",), ("x",), (None,)], "h string")
     known, rejects = dims.split_known(df, dim, "h")
     assert [r.h for r in known.collect()] == ["a"]

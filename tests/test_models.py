@@ -5,6 +5,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from zonecast.operators.split import day_split
 from zonecast.config import GAP_COLUMNS, LEVELS, POI_COLUMNS, TEST_DAYS, TRAIN_DAYS, GridConfig
 from zonecast.models import net, trees
 from zonecast.operators.prepare import impute_mean
@@ -19,7 +20,7 @@ CFG = GridConfig(slot_seconds=6 * 3600, n_zones=8)
 @pytest.fixture(scope="module")
 def inputs(spark):
     """A smooth demand over 26 days, 4 slots and 8 zones; zone 8 has no POI."""
-    days = spark.sql("SELECT explode(sequence(DATE'2016-01-01', DATE'2016-01-26')) AS date")
+    days = spark.sql("SELECT explode(sequence(DATE'2024-01-01', DATE'2024-01-26')) AS date")
     cells = days.selectExpr("date", "explode(sequence(1, 4)) AS slot").selectExpr(
         "*", "explode(sequence(1, 8)) AS zone"
     )
@@ -43,8 +44,7 @@ def inputs(spark):
 def tables(spark, inputs):
     m = pf.features_norm(inputs.days, inputs.gaps, inputs.traffic, inputs.weather, inputs.poi, CFG)
     m = stage(m, "gap_features")
-    dom = F.dayofmonth("date")
-    return m.where(dom.isin(TRAIN_DAYS)), m.where(dom.isin(TEST_DAYS))
+    return day_split(m, TRAIN_DAYS, TEST_DAYS)
 
 
 def mae(df):

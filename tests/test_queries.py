@@ -1,7 +1,4 @@
-"""Registered queries against their DuckDB SQL on the smallest tables.
-
-``check.py`` runs all of them, the dense feature tables and the models included.
-"""
+"""Every registered query with an oracle against its DuckDB SQL on the smallest tables."""
 
 from __future__ import annotations
 
@@ -11,10 +8,11 @@ from conftest import SF
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import TABLES, compare
+from zonecast.catalog import oracles
 
 ORACLE = oracle_sql()
-DENSE = ("features_", "traffic_", "od_grid", "roundtrip_features", "roundtrip_scored", "observed_or")
-LIGHT = [n for n in ORACLE if not n.startswith(DENSE)]
+#: Queries of the training-data package have their tests in a folder of their own.
+LLM = set(ORACLE) - set(oracles.build())
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +27,7 @@ def test_every_check_belongs_to_a_query():
     assert set(ORACLE) <= set(queries())
 
 
-@pytest.mark.parametrize("name", LIGHT)
+@pytest.mark.parametrize("name", [n for n in ORACLE if n not in LLM])
 def test_query(spark, duck, name):
     got = queries()[name](spark, SF).toPandas()
     assert compare(got, duck.execute(ORACLE[name]).df()) == "ok"

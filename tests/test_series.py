@@ -22,10 +22,9 @@ def frame(spark, lengths, seed=0, gap=3):
     return spark.createDataFrame(rows, "key string, t int, x double, y double"), data
 
 
-@pytest.mark.parametrize("width", [1, 4, 65_536])
-def test_index(spark, width):
+def test_index(spark):
     df, data = frame(spark, {"a": 50, "b": 1, "c": 7})
-    for r in series.series_index(df, "key", "t", width).collect():
+    for r in series.series_index(df, "key", "t").collect():
         t = data[r.key][0]
         assert t[r.j] == r.t and r.n == len(t)
 
@@ -44,12 +43,11 @@ def test_lags(spark, width, lag):
     assert got == want
 
 
-@pytest.mark.parametrize("width", [5, 65_536])
-def test_spectrum(spark, width):
+def test_spectrum(spark):
     lengths = {"a": 144, "b": 1, "c": 2, "d": 64, "e": 33, "f": 7}
     df, data = frame(spark, lengths, seed=2)
     got = {}
-    for r in series.power_spectrum(df, "key", "t", "y", width).collect():
+    for r in series.power_spectrum(df, "key", "t", "y").collect():
         got.setdefault((r.key, r.padded), {})[r.bin] = (r.mag, r.psd)
     for key, n in lengths.items():
         p = 1 if n == 1 else 1 << (n - 1).bit_length()
@@ -60,6 +58,16 @@ def test_spectrum(spark, width):
         np.testing.assert_allclose([bins[k][1] for k in sorted(bins)], want**2 / p, atol=1e-9)
 
 
+def test_long_series_with_a_sparse_order(spark):
+    """200,000 rows ten minutes apart in microseconds: in ranges of the order, however wide its steps."""
+    n = 200_000
+    df = spark.range(n).selectExpr("'k' AS key", "id * 600000000 AS t", "cos(id * 0.01) AS y")
+    indexed = series.series_index(df, "key", "t").selectExpr("t = j * 600000000 AND n = 200000 AS ok", "j")
+    assert indexed.where("ok").distinct().count() == n
+    peak = series.spectrum(df, "key", "t", "y").orderBy("mag", ascending=False).first()
+    assert peak.padded == 262_144 and peak.bin == round(0.01 / (2 * np.pi) * 262_144)
+
+
 def test_padded_length(spark):
     ns = list(range(0, 70)) + [2**29, 2**29 + 1, 2**40 - 1]
     df = spark.createDataFrame([(n,) for n in ns], "n bigint").select("n", series.padded_len("n").alias("p"))

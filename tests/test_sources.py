@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from world import DAYS, World
 
 from zonecast.functions.scalars import is_unserved
-from zonecast.operators import quality, split
+from zonecast.operators import dims, latest, poi, quality, split
 from zonecast.operators.forecasts import first_rows, forecast_rollup, mean_abs_error, merge_forecasts
 from zonecast.sources import readers, schemas, writers
 
@@ -18,12 +18,33 @@ def test_orders_keep_the_null_text_and_the_file_day(spark, tmp_path):
     orders = readers.read_orders(spark, paths["orders"], file_day=True)
     assert orders.where(is_unserved("driver_id")).count() == sum(o[1] == "NULL" for o in world.orders)
     assert orders.where("date <> to_date(ts)").count() == 0
-    picked = readers.select_days(orders, [2])
+    picked = readers.select_days(orders, [DAYS[1]])
     assert {r.date for r in picked.select("date").distinct().collect()} == {DAYS[1]}
     files = [f"{paths['orders']}/orders_data_{d}" for d in DAYS[:2]]
     assert readers.read_orders(spark, files).count() == 120
 
 
+def test_file_order_is_kept_over_files(spark, tmp_path):
+    """The later file by name wins although Spark may read the larger one first."""
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "1").write_text("h1\t1\n" + "h2\t2\n" * 500)
+    (tmp_path / "a" / "2").write_text("h1\t9\n")
+    zones = readers.read_zones(spark, str(tmp_path / "a"))
+    assert {(r.zone_hash, r.zone_id) for r in dims.zone_map(zones).collect()} == {("h1", 9), ("h2", 2)}
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a_first").write_text("h1\t1:5\n")
+    (tmp_path / "p" / "b_second").write_text("h1\t1:9\n" + "h2\t2:1\n" * 500)
+    tokens = poi.last_rows(poi.explode_tokens(readers.read_poi(spark, str(tmp_path / "p"))))
+    assert {r.token for r in tokens.where("zone_hash = 'h1'").collect()} == {"1:9"}
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "1").write_text("2016-01-01 00:00:28\t1\t4.0\t1.0\n" + "2016-01-02 00:00:28\t1\t4.0\t1.0\n" * 300)
+    (tmp_path / "w" / "2").write_text("2016-01-01 00:00:28\t7\t4.0\t1.0\n\t\t\t\n")
+    weather = readers.read_weather(spark, str(tmp_path / "w"), row_pos=True)
+    assert weather.count() == 302
+    last = latest.latest_weather(weather, row_id="row_pos").where("date = '2016-01-01'").collect()
+    assert [r.weather for r in last] == [7]
+
+
 def test_bad_rows_fail(spark, tmp_path):
     (tmp_path / "w").write_text("2016-01-01 00:00:28\tsunny\t4.0\t177.0\n")
     with pytest.raises(Exception, match="(?i)malformed|FAILFAST"):
@@ -54,7 +75,7 @@ def test_daily_tables(spark, tmp_path, fmt):
     writers.write_daily(df.select(*cols), path, fmt)
     back = readers.read_forecast(spark, path, fmt).select(*cols)
     assert sorted(back.collect()) == sorted(df.select(*cols).collect())
-    one_day = readers.select_days(back, [24])
+    one_day = readers.select_days(back, [dt.date(2016, 1, 24)])
     plan = one_day._jdf.queryExecution().executedPlan().toString()
     assert one_day.count() == 4 and "PartitionFilters: [isnotnull(date" in plan
 
@@ -103,9 +124,18 @@ def test_quality(spark):
 
 
 def test_splits(spark):
-    df = spark.range(5000).withColumn("day", (F.col("id") % 30 + 1).cast("int"))
-    train, test = split.hash_split(df, "id", "day")
-    assert train.count() + test.count() == 5000 and 0.75 < train.count() / 5000 < 0.85
-    assert train.intersect(test).count() == 0
+    """The 80/20 split on OD ids is one of rows: every slot, origin and pair lies on both sides."""
+    df = spark.sql(
+        "SELECT date, slot, o, d, slot * 10000 + o * 100 + d AS id FROM "
+        "(SELECT explode(sequence(DATE'2016-01-01', DATE'2016-01-09')) AS date), "
+        "(SELECT explode(sequence(1, 12)) AS slot), (SELECT explode(sequence(1, 9)) AS o), (SELECT explode(sequence(0, 9)) AS d)"
+    )
+    train, test = split.hash_split(df, "id")
+    assert train.intersect(test).count() == 0 and train.count() + test.count() == df.count()
+    marked = df.withColumn("train", split.in_train("id", "date").cast("double"))
+    for by, low, high in ((["slot"], 0.7, 0.9), (["o"], 0.7, 0.9), (["date"], 0.7, 0.9), (["o", "d"], 0.5, 0.99)):
+        shares = marked.groupBy(*by).agg(F.avg("train").alias("s")).agg(F.min("s"), F.max("s")).first()
+        assert low < shares[0] and shares[1] < high, (by, shares)
+    df = spark.range(5000)
     a, b = split.random_split(df)
     assert a.count() + b.count() == 5000

@@ -179,6 +179,7 @@ def _with(names: list[str], body: str) -> str:
 # -- digests of the dense tables ----------------------------------------------
 
 DAY = "CAST({}date AS VARCHAR) AS date"
+IN_TRAIN = "('0x' || substr(md5(CAST({} AS VARCHAR) || '|' || CAST({} AS VARCHAR)), 1, 8))::BIGINT % 1000 < 800"
 
 
 def _micro(cols: list[str]) -> str:
@@ -187,6 +188,12 @@ def _micro(cols: list[str]) -> str:
     )
 
 
+def _slot_micro(cols: list[str]) -> str:
+    return ", ".join(
+        f'CAST(sum(CAST(round("{c}" * 1e6) AS BIGINT) * timeslice) AS BIGINT) AS "p_{c}"' for c in cols
+    )
+
+
 GAP_MEASURES = ["traffic1", "traffic2", "traffic3", "traffic4", "temp", "pollution", *POI_COLUMNS]
 
 
@@ -196,7 +203,7 @@ SELECT {DAY.format('')}, "districtID", count(*) AS n, CAST(sum(id) AS BIGINT) AS
        CAST(min(day) AS INT) AS day, CAST(sum(gap) AS BIGINT) AS s_gap,
        CAST(sum(gap * id) AS BIGINT) AS s_gap_id, CAST(sum(gap * "destDistrict") AS BIGINT) AS s_gap_dest,
        CAST(sum(weather * timeslice) AS BIGINT) AS s_weather,
-       count(traffic1) AS n_traffic, {_micro(GAP_MEASURES)}
+       count(traffic1) AS n_traffic, {_micro(GAP_MEASURES)}, {_slot_micro(GAP_MEASURES[:6])}
 FROM (SELECT g.date, g.slot AS timeslice, g.origin AS "districtID", g.dest AS "destDistrict",
              g.slot * 10000 + g.origin * 100 + g.dest AS id, day(g.date) % 7 AS day,
              coalesce(c.gap, 0) AS gap, t.t1 AS traffic1, t.t2 AS traffic2, t.t3 AS traffic3,
@@ -210,17 +217,14 @@ GROUP BY date, "districtID\""""
     return body
 
 
-def _traffic_digest(cells: str, day: str, zone: str, slot: str) -> str:
-    measures = [*LV, "temp", "pollution", *POI_COLUMNS]
+def _traffic_rows(cells: str, day: str, zone: str, slot: str) -> str:
     return f"""
-SELECT {DAY.format('')}, district, count(*) AS n, CAST(sum(timeslice) AS BIGINT) AS s_slot,
-       CAST(sum(day * timeslice) AS BIGINT) AS s_day, count(t1) AS n_seen, {_micro(measures)}
-FROM (SELECT t.date, {day} AS day, {zone} AS district, {slot} AS timeslice, t.t1, t.t2, t.t3, t.t4,
-             w.temp, w.pollution, {POI_Q}
-      FROM ({cells}) t
-      LEFT JOIN weather_fill w ON t.date = w.date AND t.slot = w.slot
-      LEFT JOIN poi_scaled p ON t.zone = p.zone) m
-GROUP BY date, district"""
+SELECT {DAY.format('t.')}, CAST({day} AS INT) AS day, {zone} AS district, {slot} AS timeslice,
+       {', '.join(f'round(t.{c}, 6) AS {c}' for c in LV)}, round(w.temp, 6) AS temp,
+       round(w.pollution, 6) AS pollution, {', '.join(f'round(p."{c}", 9) AS "{c}"' for c in POI_COLUMNS)}
+FROM ({cells}) t
+LEFT JOIN weather_fill w ON t.date = w.date AND t.slot = w.slot
+LEFT JOIN poi_scaled p ON t.zone = p.zone"""
 
 
 def _scale_of(name: str, extra: str = "") -> str:
@@ -326,8 +330,8 @@ SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) || '_' || CAST({SLOT} AS VARC
 SELECT CASE WHEN event_id % 6 = 0 THEN NULL ELSE event_id END AS id,
        CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_type END AS kind
 FROM events WHERE NOT (event_id % 6 = 0 AND event_id % 4 = 0)"""
-    q["invalid_slots"] = """
-SELECT count(*) AS n_rows, count(*) FILTER (event_id % 150 < 1 OR event_id % 150 > 144) AS n_invalid
+    q["invalid_slots"] = f"""
+SELECT count(*) AS n_rows, count(*) FILTER ({SLOT} < 1 OR {SLOT} > 100) AS n_invalid
 FROM events"""
     q["unserved_orders"] = "SELECT event_id FROM events WHERE event_type = 'error'"
     q["unknown_zone_rejects"] = _with(
@@ -354,7 +358,9 @@ UNION ALL SELECT 'n_levels', true
 UNION ALL SELECT 'nothing', true"""
 
     # dimensions and joins
-    q["zone_map"] = _with(["zones"], "SELECT zone_hash, zone_id FROM zones")
+    q["zone_map"] = _with(
+        ["zone_log"], "SELECT zone_hash, arg_max(zone_id, pos) AS zone_id FROM zone_log GROUP BY zone_hash"
+    )
     q["zone_dim_usage"] = (
         f"SELECT zone_hash, zone_id, count(*) AS n FROM (VALUES {_zone_values()}) z(zone_hash, zone_id) "
         "JOIN events ON user_id % 66 + 1 = zone_id GROUP BY zone_hash, zone_id"
@@ -451,11 +457,11 @@ FROM slot_grid g LEFT JOIN weather_last w ON g.date = w.date AND g.slot = w.slot
     tables = ["weather_fill", "poi_scaled"]
     q["traffic_train"] = _with(
         [*tables, "traffic_fill"],
-        _traffic_digest(_scale_of("traffic_fill"), "day(t.date) % 7", "t.zone", "t.slot"),
+        _traffic_rows(_scale_of("traffic_fill"), "day(t.date) % 7", "t.zone", "t.slot"),
     )
     q["traffic_train_stale"] = _with(
         [*tables, "traffic_fill_stale"],
-        _traffic_digest(
+        _traffic_rows(
             _scale_of("traffic_fill_stale", "src_day, src_zone, src_slot, "),
             "t.src_day", "t.src_zone", "t.src_slot",
         ),
@@ -472,7 +478,7 @@ LEFT JOIN poi_scaled p ON t.zone = p.zone""",
     )
     q["traffic_predict_grid"] = _with(
         [*tables, "traffic_grid"],
-        _traffic_digest("SELECT * FROM traffic_grid", "day(t.date) % 7", "t.zone", "t.slot"),
+        _traffic_rows("SELECT * FROM traffic_grid", "day(t.date) % 7", "t.zone", "t.slot"),
     )
 
     # splits and preparation
@@ -484,12 +490,20 @@ SELECT slot, zone, n, CAST(dense_rank() OVER (ORDER BY CAST(slot AS VARCHAR)) -
 FROM (SELECT slot, zone, count(*) AS n FROM scored_cells GROUP BY slot, zone) c""",
     )
     q["hash_split"] = (
-        "SELECT event_id, (event_id * 7919 + day(ts) * 104729) % 1000 < 800 AS train FROM events"
+        f"SELECT event_id, {IN_TRAIN.format('CAST(ts AS DATE)', 'event_id')} AS train FROM events"
+    )
+    q["gap_split"] = _with(
+        ["gaps"],
+        f"""
+SELECT {DAY.format('')}, slot, part, count(*) AS n, CAST(sum(id) AS BIGINT) AS s_id
+FROM (SELECT date, slot, id, CASE WHEN {IN_TRAIN.format('date', 'id')} THEN 'train' ELSE 'held out' END AS part
+      FROM (SELECT *, slot * 10000 + origin * 100 + dest AS id FROM gaps) g) p
+GROUP BY date, slot, part""",
     )
     q["temporal_split"] = """
 SELECT event_id, CASE WHEN day(ts) <= 21 THEN 'train' ELSE 'test' END AS part
 FROM events WHERE day(ts) <= 21 OR day(ts) IN (22, 24, 26, 28, 30)"""
-    q["random_split"] = "SELECT count(*) AS n_rows FROM events"
+    q["random_split"] = "SELECT count(*) AS n_rows, 0::BIGINT AS n_twice, true AS share_ok FROM events"
     q["mean_impute"] = _with(
         ["slot_grid", "weather_last"],
         f"""
@@ -511,8 +525,7 @@ FROM slot_grid g LEFT JOIN weather_last w ON g.date = w.date AND g.slot = w.slot
     )
     q["union_days"] = _with(
         ["gaps"],
-        f"SELECT {DAY.format('')}, slot, origin, dest, gap FROM gaps "
-        "WHERE day(date) <= 21 OR day(date) IN (22, 24, 26, 28, 30)",
+        f"SELECT {DAY.format('')}, slot, origin, dest, gap FROM gaps",
     )
     q["merge_outputs"] = _with(
         ["rollup"],
@@ -626,7 +639,18 @@ GROUP BY g.date, g.slot, g.zone""",
         f"SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, {SLOT} AS slot, weather, "
         "round(temperature, 6) AS temperature, round(pollution, 6) AS pollution FROM weather_raw",
     )
-    q["roundtrip_zones"] = q["zone_map"]
+    q["roundtrip_zones"] = _with(["zones"], "SELECT zone_hash, zone_id FROM zones")
+    q["clean_files"] = _with(
+        ["gaps", "traffic_last", "weather_last"],
+        f"""
+SELECT 'gaps' AS source, {DAY.format('')}, count(*) AS n,
+       CAST(sum(gap * (slot * 100 + origin + dest)) AS BIGINT) AS total FROM gaps GROUP BY date
+UNION ALL SELECT 'traffic', CAST(date AS VARCHAR), count(*), CAST(sum((t1 + t4) * (slot * 100 + zone)) AS BIGINT)
+FROM traffic_last GROUP BY date
+UNION ALL SELECT 'weather', CAST(date AS VARCHAR), count(*), CAST(sum(weather * slot) AS BIGINT)
+FROM weather_last GROUP BY date
+UNION ALL SELECT unnest(['orders', 'traffic', 'weather']), 'all', count(*), 0::BIGINT FROM events""",
+    )
     q["roundtrip_poi"] = _with(
         ["poi_tokens_raw"], "SELECT zone_hash, token FROM poi_tokens_raw"
     )

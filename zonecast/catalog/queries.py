@@ -13,12 +13,13 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import LEVELS, POI_COLUMNS, TEST_DAYS, TRAIN_DAYS
+from ..config import LEVELS, POI_COLUMNS, TEST_DAYS, TRAIN_DAYS, month_dates
 from ..fixtures import Inputs
 from ..functions import scalars as sc
 from ..operators import dims, fill, forecasts, gaps, grids, poi, quality, scale, series, split
 from ..operators.prepare import impute_mean, index_categories
 from ..plans import features as pf
+from ..plans.clean import RawPaths, clean
 from ..session import new_path, ship_package
 from ..sources import readers, schemas, writers
 
@@ -158,7 +159,8 @@ def drop_all_null(i: Inputs) -> DataFrame:
 
 @query
 def invalid_slots(i: Inputs) -> DataFrame:
-    return quality.audit_slots(i.table("events"), F.col("event_id") % 150)
+    """A calendar of 100 slots, which the later slots of a day lie outside of."""
+    return quality.audit_slots(i.table("events"), sc.slot_of_day("ts"), 100)
 
 
 @query
@@ -207,7 +209,8 @@ def const_columns(i: Inputs) -> DataFrame:
 
 @query
 def zone_map(i: Inputs) -> DataFrame:
-    return dims.zone_map(i.view("zones"))
+    """Of the many rows of a hash the last one counts."""
+    return dims.zone_map(i.view("zone_log"), "pos")
 
 
 @query
@@ -342,6 +345,14 @@ def _micro_sums(cols: list[str]) -> list[Column]:
     ]
 
 
+def _slot_sums(cols: list[str]) -> list[Column]:
+    """The same with the slot as weight: a value on the wrong slot shows."""
+    return [
+        F.sum(F.rint(F.col(c).cast("double") * 1e6).cast("bigint") * F.col("timeslice")).alias(f"p_{c}")
+        for c in cols
+    ]
+
+
 def _gap_digest(m: DataFrame) -> DataFrame:
     measures = ["traffic1", "traffic2", "traffic3", "traffic4", "temp", "pollution", *POI_COLUMNS]
     gap = F.col("gap")
@@ -356,19 +367,7 @@ def _gap_digest(m: DataFrame) -> DataFrame:
             F.sum(F.col("weather") * F.col("timeslice")).cast("bigint").alias("s_weather"),
             F.count("traffic1").alias("n_traffic"),
             *_micro_sums(measures),
-        )
-    )
-
-
-def _traffic_digest(m: DataFrame) -> DataFrame:
-    measures = [*LEVELS, "temp", "pollution", *POI_COLUMNS]
-    return _text_date(
-        m.groupBy("date", "district").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("timeslice").alias("s_slot"),
-            F.sum(F.col("day") * F.col("timeslice")).alias("s_day"),
-            F.count("t1").alias("n_seen"),
-            *_micro_sums(measures),
+            *_slot_sums(measures[:6]),
         )
     )
 
@@ -395,26 +394,26 @@ def features_test(i: Inputs) -> DataFrame:
     )
 
 
+def _observed(i: Inputs) -> DataFrame:
+    return pf.traffic_observed(i.days, i.traffic, i.weather, poi.poi_pivot(i.poi))
+
+
+def _show_traffic(df: DataFrame) -> DataFrame:
+    return _rounded(_rounded(_text_date(df), [*LEVELS, "temp", "pollution"]), POI_COLUMNS, 9)
+
+
 @query
 def traffic_train(i: Inputs) -> DataFrame:
-    return _traffic_digest(pf.traffic_train(i.days, i.traffic, i.weather, poi.poi_pivot(i.poi)))
+    return _show_traffic(pf.traffic_train(i.days, i.traffic, i.weather, poi.poi_pivot(i.poi)))
 
 
 @query
 def traffic_train_stale(i: Inputs) -> DataFrame:
-    return _traffic_digest(
+    return _show_traffic(
         pf.traffic_train(i.days, i.traffic, i.weather, poi.poi_pivot(i.poi), stale_keys=True)
     )
 
 
-def _observed(i: Inputs) -> DataFrame:
-    return pf.traffic_observed(i.days, i.traffic, i.weather, poi.poi_pivot(i.poi))
-
-
-def _show_traffic(df: DataFrame) -> DataFrame:
-    return _rounded(_rounded(_text_date(df), [*LEVELS, "temp", "pollution"]), POI_COLUMNS, 9)
-
-
 @query
 def traffic_observed(i: Inputs) -> DataFrame:
     return _show_traffic(_observed(i))
@@ -422,7 +421,7 @@ def traffic_observed(i: Inputs) -> DataFrame:
 
 @query
 def traffic_predict_grid(i: Inputs) -> DataFrame:
-    return _traffic_digest(
+    return _show_traffic(
         pf.traffic_predict_grid(i.days, i.traffic, i.weather, poi.poi_pivot(i.poi))
     )
 
@@ -440,7 +439,7 @@ def category_index(i: Inputs) -> DataFrame:
 @query
 def hash_split(i: Inputs) -> DataFrame:
     return i.table("events").select(
-        "event_id", split.in_train("event_id", F.dayofmonth("ts")).alias("train")
+        "event_id", split.in_train("event_id", "ts").alias("train")
     )
 
 
@@ -456,11 +455,27 @@ def temporal_split(i: Inputs) -> DataFrame:
     )
 
 
+@query
+def gap_split(i: Inputs) -> DataFrame:
+    """The 80/20 split on the ids of the gap cells: rows that train per (date, slot), and a checksum of them."""
+    cells = i.gaps.select("date", "slot", sc.od_encode("slot", "origin", "dest").alias("id"))
+    train, held_out = split.hash_split(cells, "id")
+    named = [df.withColumn("part", F.lit(n)) for df, n in ((train, "train"), (held_out, "held out"))]
+    both = forecasts.union_days(named).groupBy("date", "slot", "part")
+    return _text_date(both.agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("s_id")))
+
+
 @query
 def random_split(i: Inputs) -> DataFrame:
-    """Both parts together are the whole table."""
-    parts = split.random_split(i.table("events").select("event_id"))
-    return forecasts.union_days(parts).agg(F.count_distinct("event_id").alias("n_rows"))
+    """No row in both parts, none lost, and four fifths of them (within five hundredths) in the first."""
+    first, second = split.random_split(i.table("events").select("event_id"))
+    both = forecasts.union_days([first.withColumn("first", F.lit(1)), second.withColumn("first", F.lit(0))])
+    per_row = both.groupBy("event_id").agg(F.count(F.lit(1)).alias("times"), F.max("first").alias("first"))
+    return per_row.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col("times") > 1).alias("n_twice"),
+        F.avg("first").between(0.75, 0.85).alias("share_ok"),
+    )
 
 
 @query
@@ -500,8 +515,8 @@ def forecast_first20(i: Inputs) -> DataFrame:
 
 @query
 def union_days(i: Inputs) -> DataFrame:
-    train, test = split.day_split(i.gaps, TRAIN_DAYS, TEST_DAYS)
-    return _text_date(forecasts.union_days([train, test]))
+    train, rest = split.day_split(i.gaps, TRAIN_DAYS, month_dates(range(22, 32)))
+    return _text_date(forecasts.union_days([train, rest]))
 
 
 def _dated_rollup(i: Inputs) -> DataFrame:
@@ -630,7 +645,47 @@ def roundtrip_weather(i: Inputs) -> DataFrame:
 @query
 def roundtrip_zones(i: Inputs) -> DataFrame:
     padded = i.view("zones").select("zone_hash", F.concat(F.col("zone_id").cast("string"), F.lit(" ")))
-    return readers.read_zones(i.spark, _write_tsv(padded, "zones"))
+    return readers.read_zones(i.spark, _write_tsv(padded, "zones")).drop("row_pos")
+
+
+def _day_files(df: DataFrame, name: str) -> str:
+    """Tab-separated files by day, in the order of their rows."""
+    path = new_path(df.sparkSession, name)
+    dated = df.withColumn("date", F.to_date("ts")).repartition("date").sortWithinPartitions("date", "ts")
+    (
+        dated.write.partitionBy("date")
+        .option("sep", "\t")
+        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        .csv(path)
+    )
+    return f"{path}/*"
+
+
+@query
+def clean_files(i: Inputs) -> DataFrame:
+    """Day files written, read and cleaned: sums of every table per date, and the slot weights of their values."""
+    order = ["order_id", "driver_id", "passenger_id", "start_hash", "dest_hash", "price", "ts"]
+    log = i.view("zone_log").orderBy("pos").select("zone_hash", F.col("zone_id").cast("string")).coalesce(1)
+    lines = i.view("poi_tokens_raw").select(F.concat_ws("\t", "zone_hash", "token").alias("value"))
+    poi_path = new_path(i.spark, "poi")
+    lines.write.text(poi_path)
+    paths = RawPaths(
+        _day_files(i.orders.select(*order), "orders"),
+        _day_files(i.view("traffic_raw").select("zone_hash", "level1", "level2", "level3", "level4", "ts"), "traffic"),
+        _day_files(i.view("weather_raw").select("ts", "weather", "temperature", "pollution"), "weather"),
+        _write_tsv(log, "zones"),
+        poi_path,
+    )
+    c, audit = clean(i.spark, paths)
+    at = {"gaps": (c.gaps, "gap * (slot * 100 + origin + dest)"), "traffic": (c.traffic, "(t1 + t4) * (slot * 100 + zone)"),
+          "weather": (c.weather, "weather * slot")}
+    sums = [
+        df.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.expr(f"cast(sum({value}) as bigint)").alias("total"))
+        .select(F.lit(name).alias("source"), F.col("date").cast("string").alias("date"), "n", "total")
+        for name, (df, value) in at.items()
+    ]
+    read = audit.select("source", F.lit("all").alias("date"), F.col("n_rows").alias("n"), F.col("n_invalid").alias("total"))
+    return forecasts.union_days([*sums, read])
 
 
 @query
@@ -657,7 +712,7 @@ def roundtrip_weather_grid(i: Inputs) -> DataFrame:
 @query
 def roundtrip_traffic_features(i: Inputs) -> DataFrame:
     """Written in two halves, read back as one table."""
-    early, late = split.day_split(_observed(i), TRAIN_DAYS, list(range(22, 32)))
+    early, late = split.day_split(_observed(i), TRAIN_DAYS, month_dates(range(22, 32)))
     paths = [new_path(i.spark, "traffic_features") for _ in range(2)]
     for part, path in zip((early, late), paths, strict=True):
         writers.write_daily(part, path, "csv")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 SECONDS_PER_DAY = 86_400
@@ -36,8 +38,15 @@ DEFAULT = GridConfig()
 # A dimension is broadcast only after a count showed it is at most this long.
 MAX_BROADCAST_ROWS = 100_000
 
-TRAIN_DAYS = list(range(1, 22))
-TEST_DAYS = [22, 24, 26, 28, 30]
+
+
+def month_dates(days: Iterable[int], year: int = 2024, month: int = 1) -> list[dt.date]:
+    """Dates of one month."""
+    return [dt.date(year, month, d) for d in days]
+
+
+TRAIN_DAYS = month_dates(range(1, 22))
+TEST_DAYS = month_dates([22, 24, 26, 28, 30])
 
 LEVELS = ["t1", "t2", "t3", "t4"]
 WEATHER = ["weather", "temp", "pollution"]

@@ -17,6 +17,12 @@ VIEWS = {
     "zones": """
 SELECT md5('z' || CAST(z AS VARCHAR(9))) AS zone_hash, CAST(z AS INT) AS zone_id
 FROM (SELECT DISTINCT p_partkey % 66 + 1 AS z FROM {part}) d""",
+    # Each hash many times; only its last row (largest pos) has the right id.
+    "zone_log": """
+SELECT p_partkey AS pos, md5('z' || CAST(p_partkey % 66 + 1 AS VARCHAR(9))) AS zone_hash,
+       CAST(CASE WHEN p_partkey = max(p_partkey) OVER (PARTITION BY p_partkey % 66)
+                 THEN p_partkey % 66 + 1 ELSE p_partkey * 7 % 66 + 1 END AS INT) AS zone_id
+FROM {part}""",
     "ride_orders": """
 SELECT CAST(event_id AS VARCHAR(20)) AS order_id,
        CASE WHEN event_type = 'error' THEN 'NULL' ELSE 'd' || CAST(user_id AS VARCHAR(20)) END AS driver_id,
@@ -32,11 +38,11 @@ SELECT md5('z' || CAST(user_id % 66 + 1 AS VARCHAR(9))) AS zone_hash,
        '3:' || CAST(CAST(floor(value * 2) AS INT) AS VARCHAR(9)) AS level3,
        '4:' || CAST(CAST(floor(value) AS INT) AS VARCHAR(9)) AS level4,
        ts, event_id
-FROM {events} WHERE event_type IN ('view', 'click', 'signup')""",
+FROM {events}""",
     "weather_raw": """
 SELECT ts, CAST(event_id % 9 + 1 AS INT) AS weather, value / 10 - 5 AS temperature,
        value / 3 + 20 AS pollution, event_id
-FROM {events} WHERE event_id % 5 = 0""",
+FROM {events}""",
     "poi_tokens_raw": """
 SELECT md5('z' || CAST(p_partkey % 66 + 1 AS VARCHAR(9))) AS zone_hash, p_partkey AS pos,
        regexp_extract(p_brand, '([0-9]+)', 1)
@@ -75,7 +81,7 @@ class Inputs:
     @cached_property
     def zones(self) -> DataFrame:
         """Zone dimension; counted once, then hinted for broadcast."""
-        return dims.broadcast_if_small(dims.zone_map(self.view("zones")))
+        return dims.broadcast_if_small(dims.zone_map(self.view("zones"), "zone_id"))
 
     @cached_property
     def orders(self) -> DataFrame:

@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import MAX_BROADCAST_ROWS
+from ..config import DEFAULT, MAX_BROADCAST_ROWS
 
 
-def zone_map(zones: DataFrame, order: str | None = None) -> DataFrame:
-    """One row per hash; where a hash occurs twice the row with the largest ``order`` wins."""
-    order = order or "zone_id"
-    return zones.groupBy("zone_hash").agg(F.max_by("zone_id", order).alias("zone_id"))
+def zone_map(zones: DataFrame, order: str = "row_pos", n_zones: int = DEFAULT.n_zones) -> DataFrame:
+    """One row per hash: the last one by ``order``, the position that ``read_zones`` gives.
+
+    An id outside 1..n_zones fails the job: no grid has a cell for it.
+    """
+    last = zones.groupBy("zone_hash").agg(F.max_by("zone_id", order).alias("zone_id"))
+    wrong = F.raise_error(F.concat(F.lit("zone id out of range: "), F.col("zone_id").cast("string")))
+    inside = F.when(F.col("zone_id").between(1, n_zones), F.col("zone_id")).otherwise(wrong.cast("int"))
+    return last.withColumn("zone_id", inside)
 
 
 def broadcast_if_small(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:

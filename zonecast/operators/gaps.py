@@ -28,12 +28,16 @@ def keyed_orders(
 def gap_counts(
     orders: DataFrame, zones: DataFrame, slot_seconds: int = DEFAULT.slot_seconds, strict: bool = True
 ) -> DataFrame:
-    """Unserved orders per (date, slot, origin, dest); cells without any are absent."""
-    unserved = orders.where(is_unserved("driver_id"))
+    """Unserved orders per (date, slot, origin, dest); cells without any are absent.
+
+    The origin is resolved before the driver is looked at: a served order from an
+    unknown origin fails a strict run too.
+    """
     return (
-        keyed_orders(unserved, zones, slot_seconds, strict)
+        keyed_orders(orders, zones, slot_seconds, strict)
         .groupBy("date", "slot", "origin", "dest")
-        .agg(F.count(F.lit(1)).alias("gap"))
+        .agg(F.count_if(is_unserved("driver_id")).alias("gap"))
+        .where("gap > 0")
     )
 
 

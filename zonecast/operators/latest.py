@@ -27,8 +27,9 @@ def last_wins(
     row_id: str,
     payload: list[str],
     span_seconds: int = DEFAULT.slot_seconds,
+    file_cols: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Per key, the payload of the row with the largest (ts, row_id).
+    """Per key, the payload of the row with the largest (ts, file_cols, row_id).
 
     ``keys`` must pin rows to one day and one span of ``span_seconds``, as every
     slot key does; ``row_id`` is a BIGINT >= 0 given out in load order.
@@ -37,7 +38,8 @@ def last_wins(
     in a hash aggregate).  So the order is one BIGINT: microsecond within the span
     above as many low bits of row_id as fit.  The high bits of row_id join the
     key of this first, hash-aggregated pass; a second pass picks the winner among
-    the few rows left per key.
+    the few rows left per key.  ``file_cols`` (the file and split of a row) join the
+    key of the first pass too.
     """
     span = span_seconds * 1_000_000
     low = 63 - span.bit_length()
@@ -46,11 +48,11 @@ def last_wins(
     )
     first = last_by(
         df.withColumn("_o", packed).withColumn("_hi", F.shiftright(row_id, low)),
-        [*keys, "_hi"],
+        [*keys, *file_cols, "_hi"],
         "_o",
         [*payload, "_o"],
     )
-    order = F.struct(F.shiftright("_o", low), F.col("_hi"), F.col("_o"))
+    order = F.struct(F.shiftright("_o", low), *file_cols, F.col("_hi"), F.col("_o"))
     return (
         first.groupBy(*keys)
         .agg(F.max_by(F.struct(*payload), order).alias("_p"))
@@ -58,27 +60,36 @@ def last_wins(
     )
 
 
+def _row_order(row_id: str) -> tuple[list[Column], str, tuple[str, ...]]:
+    """The columns that order rows of equal time: an id, or the ``row_pos`` that readers give."""
+    if row_id != "row_pos":
+        return [F.col(row_id)], row_id, ()
+    named = {"file": "_file", "start": "_start", "row": "_row"}
+    return [F.col(f"row_pos.{k}").alias(v) for k, v in named.items()], "_row", ("_file", "_start")
+
+
 def latest_traffic(
     traffic: DataFrame, slot_seconds: int = DEFAULT.slot_seconds, row_id: str = "event_id"
 ) -> DataFrame:
     """Traffic rows with a ``zone`` id -> integer levels, one row per (date, slot, zone)."""
+    order, row_id, file_cols = _row_order(row_id)
     parsed = traffic.select(
         F.to_date("ts").alias("date"),
         slot_of_day("ts", slot_seconds).alias("slot"),
         "zone",
         *[parse_level(f"level{i}").alias(f"t{i}") for i in (1, 2, 3, 4)],
         "ts",
-        row_id,
-    )
-    return last_wins(
-        parsed, ["date", "slot", "zone"], "ts", row_id, ["t1", "t2", "t3", "t4"], slot_seconds
+        *order,
     )
+    levels = ["t1", "t2", "t3", "t4"]
+    return last_wins(parsed, ["date", "slot", "zone"], "ts", row_id, levels, slot_seconds, file_cols)
 
 
 def latest_weather(
     weather: DataFrame, slot_seconds: int = DEFAULT.slot_seconds, row_id: str = "event_id"
 ) -> DataFrame:
     """Weather rows -> one row per (date, slot), in raw units."""
+    order, row_id, file_cols = _row_order(row_id)
     keyed = weather.select(
         F.to_date("ts").alias("date"),
         slot_of_day("ts", slot_seconds).alias("slot"),
@@ -86,8 +97,7 @@ def latest_weather(
         F.col("temperature").alias("temp"),
         "pollution",
         "ts",
-        row_id,
-    )
-    return last_wins(
-        keyed, ["date", "slot"], "ts", row_id, ["weather", "temp", "pollution"], slot_seconds
+        *order,
     )
+    fields = ["weather", "temp", "pollution"]
+    return last_wins(keyed, ["date", "slot"], "ts", row_id, fields, slot_seconds, file_cols)

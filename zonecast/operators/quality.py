@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 
 
-def drop_all_null(df: DataFrame) -> DataFrame:
-    """A row goes only when every field is missing."""
-    return df.na.drop(how="all")
+def drop_all_null(df: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """A row goes only when every field (of those named) is missing."""
+    return df.na.drop(how="all", subset=fields)
 
 
 def audit_slots(df: DataFrame, slot: Column | str, n_slots: int = DEFAULT.n_slots) -> DataFrame:

@@ -1,8 +1,7 @@
 """Keyed series: index, lags, spectrum, regression and causality.
 
-One key may hold most rows, so no step puts a whole series into one group.  A
-series is cut along its order column; blocks are numbered by a window over one
-row per block.
+One key may hold most rows, so no step puts a whole series into one group: a
+series is cut into ranges of its order column.
 """
 
 from __future__ import annotations
@@ -16,31 +15,37 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.special import f_sf
+from ..session import stage
 
 BLOCK = 65_536
 
 
-def series_index(df: DataFrame, key: str, order: str, width: int = BLOCK) -> DataFrame:
+def series_index(df: DataFrame, key: str, order: str) -> DataFrame:
     """Add the 0-based position ``j`` of each row in its series, and the length ``n``.
 
-    ``order`` must be integral and unique within a key, so a block of ``width``
-    order values holds at most ``width`` rows.
+    The rows are range-partitioned by (key, order) and written; a row's partition
+    is then fixed, rows are numbered inside it, and offsets come from one count per
+    partition and key.  So no window holds more of a series than one partition
+    does, whatever values the order column holds.
     """
-    cut = df.withColumn("_b", F.floor(F.col(order) / width))
-    blocks = cut.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    placed = df.repartitionByRange(parts, key, order).withColumn("_part", F.spark_partition_id())
+    placed = stage(placed, "series")
+    counts = placed.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(
         key,
-        "_b",
+        "_part",
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"),
         F.sum("_rows").over(Window.partitionBy(key)).alias("n"),
     )
-    pos = F.row_number().over(Window.partitionBy(key, "_b").orderBy(order)) - 1
+    pos = F.row_number().over(Window.partitionBy(key, "_part").orderBy(order)) - 1
     return (
-        cut.withColumn("_p", pos)
-        .join(blocks, [key, "_b"])
+        placed.withColumn("_p", pos)
+        .join(counts, [key, "_part"])
         .withColumn("j", F.col("_start") + F.col("_p"))
-        .drop("_b", "_p", "_start")
+        .drop("_part", "_p", "_start")
     )
 
 
@@ -57,7 +62,7 @@ def lag_matrix(
     for its first lags.
     """
     width = max(width, lag)
-    rows = series_index(df, key, order, width).select(key, order, *cols, "j")
+    rows = series_index(df, key, order).select(key, order, *cols, "j")
     block = F.floor(F.col("j") / width)
     homes = F.when(F.col("j") % width >= width - lag, F.array(block, block + 1)).otherwise(
         F.array(block)
@@ -84,61 +89,71 @@ def padded_len(n: Column | str) -> Column:
     return F.when(n <= 1, n).otherwise(F.pow(F.lit(2.0), bits).cast("bigint"))
 
 
-def _turn(a: Column, b: Column, p: Column) -> Column:
-    """Angle of ``a * b / p`` turns, reduced to one turn first to stay accurate."""
-    return ((a * b) % p).cast("double") / p.cast("double") * F.lit(2.0 * np.pi)
+def _transform(rows: DataFrame, key: str, size: str, into: str, keep: list[str]) -> DataFrame:
+    """One Fourier transform per row over arrays of (at, re, im), of length ``size``; bins come out as ``into``."""
+    key_type = rows.schema[key].dataType.simpleString()
+    longs = ", ".join(f"{c} long" for c in keep)
+
+    def run(batches):
+        for pdf in batches:
+            bins = []
+            for n, at, re, im in zip(pdf[size], pdf["at"], pdf["re"], pdf["im"], strict=True):
+                x = np.zeros(int(n), complex)
+                x[np.asarray(at, dtype=int)] = np.asarray(re) + 1j * np.asarray(im)
+                bins.append(np.fft.fft(x))
+            out = pdf[[key, *keep]].copy()
+            out["out_re"], out["out_im"] = [b.real for b in bins], [b.imag for b in bins]
+            yield out
+
+    done = rows.mapInPandas(run, f"`{key}` {key_type}, {longs}, out_re array<double>, out_im array<double>")
+    pairs = F.arrays_zip("out_re", "out_im")
+    return done.select(key, *keep, F.posexplode(pairs).alias(into, "z")).select(
+        key, *keep, F.col(into).cast("bigint").alias(into), F.col("z.out_re").alias("re"), F.col("z.out_im").alias("im")
+    )
 
 
-def spectrum(df: DataFrame, key: str, order: str, value: str, width: int = BLOCK) -> DataFrame:
+def spectrum(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """(key, n, padded, bin, mag): magnitude of bins 0..P/2 of the zero-padded series.
 
-    The transform of length P = P1 * P2 (both near sqrt P) is two grouped sums:
-    positions ``j1 * P2 + j2`` first over j1, then, turned by ``j2 * k1 / P``,
-    over j2 into bins ``k1 + P1 * k2``.  A series of N rows costs about
-    N * P1 + P * P2 / 2 products instead of N * P / 2, spread over P groups, so a
-    long series is as exact as a short one.
+    The transform of length P = P1 * P2 (both near sqrt P) in four steps: rows at
+    positions ``j1 * P2 + j2`` are transformed over j1, turned by ``j2 * k1 / P``,
+    and transformed over j2 into bins ``k1 + P1 * k2``.  That is P log P work in
+    arrays of about sqrt P values, so a long series is spread over as many tasks.
     """
-    rows = series_index(df, key, order, width).select(
-        key, "n", "j", F.col(value).cast("double").alias("x")
-    )
+    rows = series_index(df, key, order).select(key, "n", "j", F.col(value).cast("double").alias("x"))
     log_p = F.log2(padded_len("n").cast("double")).cast("int")
     rows = rows.withColumn("p", padded_len("n")).withColumn(
         "p1", F.pow(F.lit(2.0), F.floor(log_p / 2)).cast("bigint")
     )
     rows = rows.withColumn("p2", (F.col("p") / F.col("p1")).cast("bigint"))
 
-    first = rows.select(
-        key, "n", "p", "p1", "p2",
-        (F.col("j") % F.col("p2")).alias("j2"),
-        F.floor(F.col("j") / F.col("p2")).alias("j1"),
-        "x",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("p1") - 1)).alias("k1"),
-    )
-    a = _turn(F.col("j1"), F.col("k1"), F.col("p1"))
-    inner = first.groupBy(key, "n", "p", "p1", "p2", "j2", "k1").agg(
-        F.sum(F.col("x") * F.cos(a)).alias("re"), F.sum(-F.col("x") * F.sin(a)).alias("im")
-    )
+    def gathered(points: DataFrame, group: list[str], at: str) -> DataFrame:
+        point = F.collect_list(F.struct(F.col(at).alias("at"), "re", "im"))
+        lists = points.groupBy(key, *group).agg(point.alias("v"))
+        return lists.select(key, *group, *(F.col(f"v.{c}").alias(c) for c in ("at", "re", "im")))
 
-    # bins k = k1 + P1 * k2 up to P / 2
-    top = F.floor((F.col("p") / 2 - F.col("k1")) / F.col("p1"))
-    second = inner.where(F.col("k1") <= F.col("p") / 2).select(
-        "*", F.explode(F.sequence(F.lit(0).cast("bigint"), top)).alias("k2")
-    )
-    second = second.withColumn("bin", F.col("k1") + F.col("p1") * F.col("k2"))
-    b = _turn(F.col("j2"), F.col("bin"), F.col("p"))
-    return (
-        second.groupBy(key, "n", F.col("p").alias("padded"), "bin")
-        .agg(
-            F.sum(F.col("re") * F.cos(b) + F.col("im") * F.sin(b)).alias("_re"),
-            F.sum(F.col("im") * F.cos(b) - F.col("re") * F.sin(b)).alias("_im"),
-        )
-        .select(key, "n", "padded", "bin", F.sqrt(F.expr("_re * _re + _im * _im")).alias("mag"))
+    keep = ["n", "p", "p1", "p2"]
+    split = rows.select(
+        key, *keep, (F.col("j") % F.col("p2")).alias("j2"), F.floor(F.col("j") / F.col("p2")).alias("j1"),
+        F.col("x").alias("re"), F.lit(0.0).alias("im"),
+    )
+    first = _transform(gathered(split, [*keep, "j2"], "j1"), key, "p1", "k1", [*keep, "j2"])
+    # Reduced to one turn first to stay accurate.
+    angle = ((F.col("j2") * F.col("k1")) % F.col("p")).cast("double") / F.col("p") * F.lit(2.0 * np.pi)
+    turned = first.withColumns(
+        {
+            "re": F.col("re") * F.cos(angle) + F.col("im") * F.sin(angle),
+            "im": F.col("im") * F.cos(angle) - F.col("re") * F.sin(angle),
+        }
     )
+    second = _transform(gathered(turned, [*keep, "k1"], "j2"), key, "p2", "k2", [*keep, "k1"])
+    bins = second.withColumn("bin", F.col("k1") + F.col("p1") * F.col("k2")).where("bin <= p / 2")
+    return bins.select(key, "n", F.col("p").alias("padded"), "bin", F.sqrt(F.expr("re * re + im * im")).alias("mag"))
 
 
-def power_spectrum(df: DataFrame, key: str, order: str, value: str, width: int = BLOCK) -> DataFrame:
+def power_spectrum(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Spectrum with ``psd`` = magnitude squared over padded length."""
-    s = spectrum(df, key, order, value, width)
+    s = spectrum(df, key, order, value)
     return s.withColumn("psd", F.col("mag") * F.col("mag") / F.col("padded"))
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, GridConfig
+from ..config import DEFAULT, GridConfig, month_dates
 from ..models.trees import (
     FOREST,
     Preset,
@@ -26,6 +27,10 @@ from ..sources.writers import load_model, save_model, write_daily, write_forecas
 from . import features as pf
 
 
+# Two days to learn from, one to forecast.
+SHORT_TRAIN, SHORT_TEST = month_dates([20, 21]), month_dates([22])
+
+
 @dataclass
 class GapForecast:
     model: PipelineModel
@@ -42,7 +47,7 @@ def full_forecast(
     The split follows the keys of a row: unlike a random split it sorts nothing and
     gives the same parts however the table is partitioned or recomputed.
     """
-    fit_rows, held_out = hash_split(train, "id", F.dayofmonth("date"))
+    fit_rows, held_out = hash_split(train, "id")
     model = fit_forest(fit_rows, preset)
     if model_path:
         save_model(model, model_path)
@@ -51,12 +56,12 @@ def full_forecast(
 
 def short_forecast(
     features: DataFrame,
-    train_days: tuple[int, ...] = (20, 21),
-    test_days: tuple[int, ...] = (22,),
+    train_days: list[dt.date] = SHORT_TRAIN,
+    test_days: list[dt.date] = SHORT_TEST,
     preset: Preset = FOREST["short"],
 ) -> GapForecast:
     """Two days to learn from, one to forecast."""
-    train, test = day_split(features, list(train_days), list(test_days))
+    train, test = day_split(features, train_days, test_days)
     model = fit_forest(train, preset)
     return GapForecast(model, forecast_rollup(score(model, test)))
 
@@ -94,8 +99,8 @@ class Cleaned:
     weather: DataFrame
     poi: DataFrame
 
-    def of_days(self, days: list[int]) -> Cleaned:
-        keep = F.dayofmonth("date").isin(days)
+    def of_days(self, days: list[dt.date]) -> Cleaned:
+        keep = F.col("date").isin(days)
         return Cleaned(
             self.days.where(keep),
             self.gaps.where(keep),
@@ -113,8 +118,8 @@ class Cleaned:
 
 def end_to_end(
     inputs: Cleaned,
-    train_days: list[int],
-    test_days: list[int],
+    train_days: list[dt.date],
+    test_days: list[dt.date],
     out_dir: str,
     cfg: GridConfig = DEFAULT,
     traffic_preset: Preset = FOREST["traffic"],

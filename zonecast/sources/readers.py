@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.quality import drop_all_null
 from . import schemas
 
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
-Paths = "str | list[str]"
+Paths = str | list[str]
 
 
-def _tsv(spark: SparkSession, path: Paths, schema: T.StructType, file_day: bool) -> DataFrame:
+def _tsv(
+    spark: SparkSession, path: Paths, schema: T.StructType, file_day: bool, row_pos: bool = False
+) -> DataFrame:
+    """Rows of which at least one field is there."""
     df = (
         spark.read.schema(schema)
         .option("sep", "\t")
@@ -22,7 +27,18 @@ def _tsv(spark: SparkSession, path: Paths, schema: T.StructType, file_day: bool)
         .option("timestampNTZFormat", TIME_FORMAT)
         .csv(path)
     )
-    return with_file_day(df) if file_day else df
+    df = with_file_day(df) if file_day else df
+    df = with_row_pos(df) if row_pos else df
+    return drop_all_null(df, schema.names)
+
+
+def with_row_pos(df: DataFrame) -> DataFrame:
+    """Add ``row_pos``, the place of a row over all files: file name, start of its split, row in it.
+
+    Spark may read large files first, so a running id alone is no file order.
+    """
+    place = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    return df.withColumn("row_pos", F.struct(*place, F.monotonically_increasing_id().alias("row")))
 
 
 def with_file_day(df: DataFrame, out: str = "date") -> DataFrame:
@@ -31,32 +47,33 @@ def with_file_day(df: DataFrame, out: str = "date") -> DataFrame:
     return df.withColumn(out, F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2})", 1).cast("date"))
 
 
-def read_orders(spark: SparkSession, path: Paths, file_day: bool = False) -> DataFrame:
+def read_orders(spark: SparkSession, path: Paths, file_day: bool = False, row_pos: bool = False) -> DataFrame:
     """Order log, tab separated.  The text ``NULL`` in driver_id is a value, not a SQL NULL."""
-    return _tsv(spark, path, schemas.ORDERS, file_day)
+    return _tsv(spark, path, schemas.ORDERS, file_day, row_pos)
 
 
-def read_traffic(spark: SparkSession, path: Paths, file_day: bool = False) -> DataFrame:
+def read_traffic(spark: SparkSession, path: Paths, file_day: bool = False, row_pos: bool = False) -> DataFrame:
     """Traffic levels as ``"k:v"`` text, tab separated."""
-    return _tsv(spark, path, schemas.TRAFFIC, file_day)
+    return _tsv(spark, path, schemas.TRAFFIC, file_day, row_pos)
 
 
-def read_weather(spark: SparkSession, path: Paths, file_day: bool = False) -> DataFrame:
-    return _tsv(spark, path, schemas.WEATHER, file_day)
+def read_weather(spark: SparkSession, path: Paths, file_day: bool = False, row_pos: bool = False) -> DataFrame:
+    return _tsv(spark, path, schemas.WEATHER, file_day, row_pos)
 
 
 def read_zones(spark: SparkSession, path: Paths) -> DataFrame:
-    raw = _tsv(spark, path, schemas.ZONES_TEXT, file_day=False)
-    return raw.select("zone_hash", F.trim("zone_id").cast("int").alias("zone_id"))
+    """Hash and id of each zone; ``row_pos`` tells which of several rows is the last."""
+    raw = _tsv(spark, path, schemas.ZONES_TEXT, file_day=False, row_pos=True)
+    return raw.select("zone_hash", F.trim("zone_id").cast("int").alias("zone_id"), "row_pos")
 
 
 def read_poi(spark: SparkSession, path: Paths) -> DataFrame:
     """Ragged rows: zone hash, then any number of tokens.  ``row_pos`` keeps the file order."""
     parts = F.split("value", "\t")
-    return spark.read.text(path).select(
+    return with_row_pos(spark.read.text(path)).select(
         parts[0].alias("zone_hash"),
         F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))).alias("tokens"),
-        F.monotonically_increasing_id().alias("row_pos"),
+        "row_pos",
     )
 
 
@@ -92,9 +109,9 @@ def read_forecast(spark: SparkSession, path: Paths, fmt: str = "csv") -> DataFra
     return _table(spark, path, schemas.FORECAST, fmt)
 
 
-def select_days(df: DataFrame, days: Iterable[int], date_col: str = "date") -> DataFrame:
-    """Keep the given days of the month.  On a ``date`` partition column this prunes files."""
-    return df.where(F.dayofmonth(date_col).isin(list(days)))
+def select_days(df: DataFrame, days: Iterable[dt.date], date_col: str = "date") -> DataFrame:
+    """Keep the given dates.  On a ``date`` partition column this prunes files."""
+    return df.where(F.col(date_col).isin(list(days)))
 
 
 def zone_dim(spark: SparkSession) -> DataFrame:
