@@ -62,16 +62,13 @@ def text_blocks(
     )
 
 
-def block_words(
-    texts: bytes, sizes: list[int], lower: bool = False, only: list[bool] | None = None
-) -> Iterator[list[bytes]]:
-    """The words of each text of a block (of those that ``only`` names)."""
-    text, at = zstandard.decompress(texts) if sum(sizes) else b"", 0
-    for k, size in enumerate(sizes):
-        if only is None or only[k]:
-            part = text[at : at + size]
-            yield (part.lower() if lower else part).split()
+def block_texts(texts: bytes, sizes: list[int]) -> list[bytes]:
+    """The texts of a block."""
+    text, out, at = zstandard.decompress(texts) if sum(sizes) else b"", [], 0
+    for size in sizes:
+        out.append(text[at : at + size])
         at += size
+    return out
 
 
 def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

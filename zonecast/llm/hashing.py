@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
-import xxhash
 
 U = np.uint64
-#: Distinct words kept in a worker, about 120 bytes each.
-CACHE = 800_000
-_words: dict[bytes, int] = {}
+_GOLD = 0x9E3779B97F4A7C15
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Bytes of text that are hashed at once; a longer document is hashed whole.
+CHUNK = 1 << 17
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -19,17 +25,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    try:
-        return np.array(list(map(_words.__getitem__, words)), dtype=U)
-    except KeyError:
-        if len(_words) > CACHE:
-            _words.clear()
-        for w in words:
-            if w not in _words:
-                _words[w] = xxhash.xxh3_64_intdigest(w)
-        return np.array(list(map(_words.__getitem__, words)), dtype=U)
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base^k and base^-k modulo 2^64 for k < n (base is odd)."""
+    if base not in _powers or len(_powers[base][0]) < n:
+        size = max(n, 1 << 16)
+        inverse = pow(base, -1, 1 << 64)
+        _powers[base] = tuple(
+            np.cumprod(np.concatenate([np.ones(1, U), np.full(size - 1, U(b))])) for b in (base, inverse)
+        )
+    up, down = _powers[base]
+    return up[:n], down[:n]
+
+
+def _hash_chunk(text: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word: differences of a prefix sum of bytes times powers."""
+    b = np.frombuffer(text, np.uint8)
+    space = np.ones(len(b) + 2, np.int8)
+    space[1:-1] = _SPACE[b]
+    edges = np.flatnonzero(np.diff(space))
+    starts, ends = edges[0::2], edges[1::2]
+    up, down = powers(_GOLD, len(b) + 1)
+    total = np.zeros(len(b) + 1, U)
+    np.cumsum((_LOWER[b] if lower else b).astype(U) * up[:-1] + up[:-1], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts] ^ (ends - starts).astype(U) * U(_GOLD)), starts
+
+
+def hash_words(texts: Sequence[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts end to end, and the number of words of each text."""
+    hashes, counts, at = [], [], 0
+    while at < len(texts):
+        size, to = 0, at
+        while to < len(texts) and (to == at or size + len(texts[to]) <= CHUNK):
+            size += len(texts[to]) + 1
+            to += 1
+        part = texts[at:to]
+        h, starts = _hash_chunk(b"\n".join(part), lower)
+        ends = np.cumsum([len(t) + 1 for t in part])
+        counts.append(np.diff(np.searchsorted(starts, ends), prepend=0))
+        hashes.append(h)
+        at = to
+    if not hashes:
+        return np.empty(0, U), np.empty(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(counts)
 
 
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
@@ -40,7 +77,7 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
     size = min(width, n)
     h = np.full(n - size + 1, U(size), U)
     for k in range(size):
-        h = mix(h * U(0x9E3779B97F4A7C15) + words[k : n - size + 1 + k])
+        h = mix(h * U(_GOLD) + words[k : n - size + 1 + k])
     return np.unique(h)
 
 
@@ -49,8 +86,7 @@ def windows(words: np.ndarray, width: int, seed: int) -> np.ndarray:
     n = len(words)
     if n < width:
         return np.empty(0, U)
-    base = 0x9E3779B97F4A7C15 + 2 * seed
-    up = np.cumprod(np.concatenate([np.ones(1, U), np.full(n, U(base))]))
-    down = np.cumprod(np.concatenate([np.ones(1, U), np.full(n - width, U(pow(base, -1, 1 << 64)))]))
-    total = np.concatenate([np.zeros(1, U), np.cumsum(mix(words + U(seed)) * up[:n])])
-    return mix((total[width:] - total[:-width]) * down)
+    up, down = powers((_GOLD + 8 * seed) % (1 << 64), n + 1)
+    total = np.zeros(n + 1, U)
+    np.cumsum(mix(words + U(seed)) * up[:n], out=total[1:])
+    return mix((total[width:] - total[:-width]) * down[: n - width + 1])

@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package, stage
-from .blocks import block_words, each_row, text_blocks
+from .blocks import block_texts, each_row, text_blocks
 from .common import table
-from .hashing import U, windows, word_hashes
+from .hashing import U, hash_words, windows
 
 WINDOW = 35
 #: A perfect difference set, every difference modulo 21 occurs.
@@ -45,11 +45,6 @@ def _keys(words: np.ndarray, width: int) -> np.ndarray:
     return keys
 
 
-def _anchor_places(n: int, width: int) -> np.ndarray:
-    places = np.arange(max(n - width + 1, 0))
-    return places[np.isin(places % PERIOD, COVER)]
-
-
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct keys, which of them occur twice, and where each key went."""
     order = np.lexsort((keys["check"], keys["hash"]))
@@ -63,36 +58,40 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class _Block:
-    """Anchors and candidate windows of one block, the same each time they are computed."""
+    """Anchors and candidate windows of one block, the same each time they are computed.
+
+    The words of all its documents lie end to end; ``first`` and ``last`` bound
+    the document of each word.
+    """
 
     def __init__(self, texts: bytes, sizes: list[int], window: int):
         self.window, self.width = window, window - PERIOD + 1
-        self.words = list(block_words(texts, sizes))
-        self.hashes = [word_hashes(w) for w in self.words]
-        self.places = [_anchor_places(len(h), self.width) if len(h) >= window else np.empty(0, np.int64) for h in self.hashes]
+        self.texts = block_texts(texts, sizes)
+        self.hashes, self.counts = hash_words(self.texts)
+        ends = np.cumsum(self.counts)
+        self.first, self.last = np.repeat(ends - self.counts, self.counts), np.repeat(ends, self.counts)
+        place = np.arange(len(self.hashes))
+        fits = (self.last - self.first >= window) & (place + self.width <= self.last)
+        self.places = np.flatnonzero(fits & np.isin((place - self.first) % PERIOD, COVER))
 
     def anchors(self) -> np.ndarray:
-        found = [
-            _keys(h, self.width)[p] for h, p in zip(self.hashes, self.places, strict=True) if len(p)
-        ]
-        return np.concatenate(found) if found else np.empty(0, KEY)
-
-    def candidates(self, repeated: np.ndarray) -> list[np.ndarray]:
-        """Starts of the windows that hold a repeated anchor, for each document."""
-        out, at = [], 0
-        for h, places in zip(self.hashes, self.places, strict=True):
-            hit = places[repeated[at : at + len(places)]]
-            at += len(places)
-            starts = max(len(h) - self.window + 1, 0)
-            edge = np.zeros(starts + 1, np.int64)
-            np.add.at(edge, np.clip(hit - PERIOD + 1, 0, starts), 1)
-            np.add.at(edge, np.clip(hit + 1, 0, starts), -1)
-            out.append(np.flatnonzero(np.cumsum(edge)[:starts] > 0))
-        return out
-
-    def window_keys(self, starts: list[np.ndarray]) -> np.ndarray:
-        found = [_keys(h, self.window)[s] for h, s in zip(self.hashes, starts, strict=True) if len(s)]
-        return np.concatenate(found) if found else np.empty(0, KEY)
+        return _keys(self.hashes, self.width)[self.places] if len(self.places) else np.empty(0, KEY)
+
+    def candidates(self, repeated: np.ndarray) -> np.ndarray:
+        """Starts of the windows that hold a repeated anchor."""
+        hit = self.places[repeated]
+        low = np.maximum(hit - PERIOD + 1, self.first[hit])
+        high = np.minimum(hit, self.last[hit] - self.window)
+        return np.flatnonzero(_covered(low, high + 1, len(self.hashes)))
+
+    def window_keys(self, starts: np.ndarray) -> np.ndarray:
+        return _keys(self.hashes, self.window)[starts] if len(starts) else np.empty(0, KEY)
+
+
+def _covered(low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie in a range from ``low`` up to but not including ``high``."""
+    edge = np.bincount(low, minlength=n + 1) - np.bincount(high, minlength=n + 1)
+    return np.cumsum(edge)[:n] > 0
 
 
 def _ask(block: int, keys: np.ndarray, ranges: int) -> Iterator[tuple]:
@@ -187,16 +186,17 @@ def remove_repeats(
         for row in each_row(batches):
             b = _Block(row["texts"], row["sizes"], window)
             starts = b.candidates(_answered(b.anchors(), row["anchors"]))
-            repeated, at, out = _answered(b.window_keys(starts), row["windows"]), 0, []
-            for doc, words, start in zip(row["docs"], b.words, starts, strict=True):
-                edge = np.zeros(len(words) + 1, np.int64)
-                hit = start[repeated[at : at + len(start)]]
-                at += len(start)
-                np.add.at(edge, hit, 1)
-                np.add.at(edge, hit + window, -1)
-                gone = np.cumsum(edge)[:-1] > 0
-                kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words)
-                out.append((doc, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+            hit = starts[_answered(b.window_keys(starts), row["windows"])]
+            gone = _covered(hit, hit + window, len(b.hashes))
+            out, at = [], 0
+            for doc, text, n in zip(row["docs"], b.texts, b.counts.tolist(), strict=True):
+                words, out_of = text.split(), gone[at : at + n]
+                at += n
+                removed = int(out_of.sum())
+                if removed:
+                    words = [w for w, g in zip(words, out_of.tolist(), strict=True) if not g]
+                kept = b" ".join(words)
+                out.append((doc, n, removed, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
             columns = list(zip(*out, strict=True)) or [()] * 5
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
