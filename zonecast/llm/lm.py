@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package, stage
 from . import gru
-from .blocks import block_words, each_row, text_blocks
+from .blocks import block_texts, each_row, text_blocks
 from .common import table
-from .hashing import U, word_hashes
+from .hashing import U, hash_words
 
 SYMBOLS = 4096
 #: Training documents per document that the recurrent weights are trained on, and rounds of averaging.
@@ -38,8 +38,8 @@ SHARE, ROUNDS = 12, 2
 BLOCK_BYTES = 8 << 20
 #: Words of text for each range of the hash space.
 RANGE_WORDS = 4_000_000
-#: No word holds a line break.
-END = b"\n"
+#: Stands for the end of a text among the word hashes.
+END = U(0)
 
 
 def held_out(doc: int | None) -> bool:
@@ -50,15 +50,19 @@ def _picked(doc: int | None, round_: int) -> bool:
     return not held_out(doc) and xxhash.xxh3_64_intdigest(str(doc).encode()) % (SHARE * ROUNDS) == round_
 
 
+def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of all texts end to end, and how many each text has; every text closes with its end."""
+    words, counts = hash_words(texts, lower=True)
+    return np.insert(words, np.cumsum(counts), END), counts + 1
+
+
 class _Block:
     """A block's words as numbers into its sorted distinct hashes."""
 
     def __init__(self, row: dict):
         self.docs = row["docs"]
-        words = list(block_words(row["texts"], row["sizes"], lower=True))
-        hashes = [word_hashes([*w, END]) for w in words]
-        self.sizes = np.array([len(h) for h in hashes])
-        codes, distinct = pd.factorize(np.concatenate(hashes))
+        hashes, self.sizes = _tokens(block_texts(row["texts"], row["sizes"]))
+        codes, distinct = pd.factorize(hashes)
         order = np.argsort(distinct, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -147,9 +151,10 @@ def _train_round(blocks: DataFrame, symbols: _Symbols, classes: gru.Classes, wei
         squares, tokens = gru.fresh_squares(w), 0
         for row in each_row(batches):
             chosen = [_picked(d, round_) for d in row["docs"]]
-            words = block_words(row["texts"], row["sizes"], lower=True, only=chosen)
-            texts = [symbols.of(word_hashes([*x, END])) for x in words]
-            tokens += gru.train(w, classes, texts, squares)
+            texts = [t for t, c in zip(block_texts(row["texts"], row["sizes"]), chosen, strict=True) if c]
+            hashes, sizes = _tokens(texts)
+            own = np.split(symbols.of(hashes), np.cumsum(sizes)[:-1]) if texts else []
+            tokens += gru.train(w, classes, own, squares)
         if tokens:
             flat = np.frombuffer(gru.pack(w), np.float32).astype(np.float64) * tokens
             yield _weights_row(flat, tokens)

@@ -29,15 +29,21 @@ from pyspark.sql import functions as F
 from ..session import ship_package, stage
 from .common import table, utf8
 from .exact_dedup import filter_bits, flag_possible, repeat_filter
-from .hashing import U, mix, shingles, word_hashes
+from .hashing import U, hash_words, mix, shingles
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 WIDTH = 4
 
 
+def _sets(texts: list[bytes | None], width: int) -> Iterator[np.ndarray]:
+    hashes, counts = hash_words([t or b"" for t in texts], lower=True)
+    for own in np.split(hashes, np.cumsum(counts)[:-1]) if texts else ():
+        yield shingles(own, width)
+
+
 def _set_of(text: bytes | None, width: int) -> np.ndarray:
-    return shingles(word_hashes((text or b"").lower().split()), width)
+    return next(_sets([text], width))
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
@@ -70,8 +76,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, node, keys = [], [], []
-            for text in utf8(batch.column(2)):
-                s = _set_of(text, width)
+            for s in _sets(utf8(batch.column(2)), width):
                 n.append(len(s))
                 node.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 keys.append(bands(sketch(s)) if len(s) else None)
@@ -135,7 +140,7 @@ def unit_links(outsiders: DataFrame, inside: DataFrame, texts: DataFrame, width:
     def run(t: pa.Table) -> pa.Table:
         asks = t.column("asks").to_numpy()
         node, label = t.column("node").to_pylist(), t.column("label").to_pylist()
-        sets = [_set_of(x, width) for x in utf8(t.column("text").combine_chunks())]
+        sets = list(_sets(utf8(t.column("text").combine_chunks()), width))
         known = np.flatnonzero(~asks)
         sizes = np.array([len(sets[k]) for k in known])
         codes = {x: i for i, x in enumerate(dict.fromkeys(label))}
