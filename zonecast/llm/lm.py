@@ -36,6 +36,8 @@ SYMBOLS = 4096
 #: Training documents per document that the recurrent weights are trained on, and rounds of averaging.
 SHARE, ROUNDS = 12, 2
 BLOCK_BYTES = 8 << 20
+#: Tokens of one training stream.
+STREAM = 1024
 #: Words of text for each range of the hash space.
 RANGE_WORDS = 4_000_000
 #: Stands for the end of a text among the word hashes.
@@ -154,6 +156,8 @@ def _train_round(blocks: DataFrame, symbols: _Symbols, classes: gru.Classes, wei
             texts = [t for t, c in zip(block_texts(row["texts"], row["sizes"]), chosen, strict=True) if c]
             hashes, sizes = _tokens(texts)
             own = np.split(symbols.of(hashes), np.cumsum(sizes)[:-1]) if texts else []
+            # A long text trains as several streams, so that they run side by side; scoring carries its state through.
+            own = [x[at : at + STREAM] for x in own for at in range(0, len(x), STREAM)]
             tokens += gru.train(w, classes, own, squares)
         if tokens:
             flat = np.frombuffer(gru.pack(w), np.float32).astype(np.float64) * tokens
