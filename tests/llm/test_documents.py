@@ -266,7 +266,7 @@ def test_co_training_hands_over_labels():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 4000).astype(float)
     views = tuple(y[:, None] * 1.2 + rng.standard_normal((4000, 5)) for _ in range(2))
-    has, fold = np.arange(4000) < 80, np.arange(80) % 4 == 0
+    has, fold = np.arange(4000) < 400, np.arange(400) % 4 == 0  # 100 rows to calibrate on
     model = quality.co_train(
         tuple(v[has] for v in views), y[has], fold, tuple(v[~has] for v in views), quality.CoTraining()
     )
@@ -312,11 +312,12 @@ def _check_packing(rows, docs, window=2048):
         assert at == len(ids)
     assert not by_doc
     total = sum(n for p in bins.values() for _, n in p)
-    return 1 - total / (window * len(bins))
+    return len(bins) - total / window
 
 
 def test_packing(spark, real):
-    assert _check_packing(QUERIES["op2_packing"](spark, SF).collect(), real) < 0.01
+    """The slack of all sequences together stays below two windows: only the last few have any."""
+    assert _check_packing(QUERIES["op2_packing"](spark, SF).collect(), real) < 2
 
 
 def test_packing_odd(odd, empty):
