@@ -611,15 +611,47 @@ QUALIFY row_number() OVER (
     )
 
     # eight-hour slots: 48 of the ten-minute ones
-    q["model_roundtrip"] = _with(
-        ["zone_grid", "orders_keyed"],
-        f"""
-SELECT {DAY.format('g.')}, CAST((g.slot + 47) / 48 AS INT) AS timeslice, g.zone AS "districtID",
-       count(o.event_id) AS gap, true AS same
-FROM (SELECT * FROM zone_grid WHERE slot % 48 = 1 AND day(date) IN (22, 24, 26, 28, 30)) g
+    def cells(extra: str, label: str, days: str = "22, 24, 26, 28, 30") -> str:
+        return _with(
+            ["zone_grid", "orders_keyed"],
+            f"""
+SELECT {label}, g.zone AS "districtID", count(o.event_id) AS gap, true AS {extra}
+FROM (SELECT * FROM zone_grid WHERE slot % 48 = 1 AND day(date) IN ({days})) g
 LEFT JOIN orders_keyed o ON o.driver_id = 'NULL' AND o.date = g.date AND o.origin = g.zone
   AND o.slot BETWEEN g.slot AND g.slot + 47
 GROUP BY g.date, g.slot, g.zone""",
+        )
+
+    wide = "CAST((g.slot + 47) / 48 AS INT)"
+    named = f"{DAY.format('g.')}, {wide} AS timeslice"
+    q["model_roundtrip"] = cells("same", named)
+    for name in ("rf_gap_full", "gbt_gap", "mlp_gap"):
+        q[name] = cells("in_range", named)
+    q["rf_gap_short"] = cells("in_range", named, days="22")
+    q["end_to_end_forecast"] = cells(
+        "in_range", f"CAST(g.date AS VARCHAR) || '_' || CAST({wide} AS VARCHAR) AS timeslice"
+    )
+    q["rf_gap_raw"] = (
+        f"SELECT DISTINCT {DAY.format('')}, true AS mae_ok FROM (SELECT CAST(ts AS DATE) AS date FROM events) d "
+        "WHERE day(date) IN (22, 24, 26, 28, 30)"
+    )
+    q["gbt_validation"] = "SELECT CAST(unnest([1, 2, 3]) AS INT) AS trees, 'mae' AS metric, true AS value_ok"
+    q["rf_validation"] = "SELECT 3::INT AS trees, unnest(['mae', 'rmse']) AS metric, true AS value_ok"
+    q["model_parameters"] = (
+        "SELECT unnest(['numTrees', 'maxDepth', 'seed']) AS name, unnest(['2', '3', '1']) AS value"
+    )
+    hourly = ", ".join(f"round({t} / {d}, 6) AS {t}" for t, d in zip(LV, ("2000.0", "1000.0", "400.0", "200.0"), strict=True))
+    q["rf_traffic_levels"] = _with(
+        ["days", "traffic_rows"],
+        f"""
+, hourly AS MATERIALIZED (
+  SELECT date, CAST(hour(ts) + 1 AS INT) AS slot, zone, t1, t2, t3, t4 FROM traffic_rows
+  QUALIFY row_number() OVER (PARTITION BY date, hour(ts), zone ORDER BY ts DESC, event_id DESC) = 1)
+SELECT {DAY.format('g.')}, g.zone AS district, g.slot AS timeslice, {hourly}, true AS in_range
+FROM (SELECT date, CAST(zone AS INT) AS zone, CAST(slot AS INT) AS slot
+      FROM days, (SELECT unnest(range(1, 67)) AS zone) z, (SELECT unnest(range(1, 25)) AS slot) s
+      WHERE day(date) IN (22, 24, 26, 28, 30)) g
+LEFT JOIN hourly h ON g.date = h.date AND g.slot = h.slot AND g.zone = h.zone""",
     )
 
     # round trips through files
