@@ -230,20 +230,22 @@ def _groups(docs: DataFrame, key: str, text: str, width: int, share: int) -> Dat
         "links",
     )
     labels = components(links)
+    known = _mixed_buckets(members, labels)
     for round_ in range(STAR_ROUNDS):
-        known = _mixed_buckets(members, labels)
+        if known.isEmpty():
+            break
         chosen = known.where("label = main").groupBy("bucket", "main").agg(
             F.min_by("node", F.xxhash64("node", F.lit(round_))).alias("b")
         )
         pairs = known.where("label != main").join(chosen.select("bucket", "b"), "bucket").select(F.col("node").alias("a"), "b")
         links = links.union(stage(verified(pairs.distinct(), texts, width, share), "links"))
         labels = components(links)
-    known = _mixed_buckets(members, labels).join(nodes.select("node", "n"), "node")
-    known = stage(known.select(F.col("main").alias("unit"), "node", "label", "n").distinct(), "units")
-    more = stage(
-        unit_links(known.where("label != unit"), known.where("label = unit"), texts, width, share), "links"
-    )
-    labels = components(links.union(more))
+        known = _mixed_buckets(members, labels)
+    if not known.isEmpty():
+        units = known.join(nodes.select("node", "n"), "node").select(F.col("main").alias("unit"), "node", "label", "n")
+        units = stage(units.distinct(), "units")
+        more = unit_links(units.where("label != unit"), units.where("label = unit"), texts, width, share)
+        labels = components(links.union(stage(more, "links")))
     found = nodes.join(labels, "node", "left").select(
         "node", "first_id", F.coalesce("label", "node").alias("label")
     )
