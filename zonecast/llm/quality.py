@@ -97,20 +97,20 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 300, penalty: float = 1e-3) -> Linear:
+def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 150, penalty: float = 1e-3) -> Linear:
     """Class-balanced logistic regression by accelerated gradient steps on standardised columns."""
     mean, scale = x.mean(0), x.std(0) + 1e-3
     z = (x - mean) / scale
     share = np.clip(y.mean(), 1e-6, 1 - 1e-6)
     weight = np.where(y > 0.5, 0.5 / share, 0.5 / (1 - share)) / len(y)
     rate = 4.0 / (float((z * z).sum(1).mean()) + 1)
-    w, b = np.zeros(x.shape[1]), 0.0
+    w, b = np.zeros(x.shape[1], z.dtype), 0.0
     vw, vb = w, b
     for k in range(steps):
-        slope = weight * (_sigmoid(z @ vw + vb) - y)
-        nw, nb = vw - rate * (z.T @ slope + penalty * vw), vb - rate * slope.sum()
+        slope = (weight * (_sigmoid(z @ vw + vb) - y)).astype(z.dtype)
+        nw, nb = vw - z.dtype.type(rate) * (z.T @ slope + z.dtype.type(penalty) * vw), vb - rate * float(slope.sum())
         m = k / (k + 3)
-        vw, vb = nw + m * (nw - w), nb + m * (nb - b)
+        vw, vb = nw + z.dtype.type(m) * (nw - w), nb + m * (nb - b)
         w, b = nw, nb
     return Linear(w, float(b), mean, scale)
 
