@@ -19,7 +19,7 @@ import re
 from array import array
 
 #: Distinct chunks kept in a worker, about 200 bytes each.
-CACHE = 600_000
+CACHE = 250_000
 _NO_CUT = re.compile(r"\s \s")
 
 

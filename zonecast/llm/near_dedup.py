@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package, stage
-from .common import table, utf8
+from .common import slices, table, utf8
 from .exact_dedup import filter_bits, flag_possible, repeat_filter
 from .hashing import U, hash_words, mix, shingles
 
@@ -74,7 +74,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, pick, n, node, bands): node is a 128-bit digest of the shingle set, null if that is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 512):
             n, node, keys = [], [], []
             for s in _sets(utf8(batch.column(2)), width):
                 n.append(len(s))
@@ -101,7 +101,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, share: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[bytes | None, np.ndarray] = (None, np.empty(0, U))
-        for batch in batches:
+        for batch in slices(batches, 512):
             keep = []
             for b, x, y in zip(batch.column(1).to_pylist(), utf8(batch.column(2)), utf8(batch.column(3)), strict=True):
                 if b != last[0]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package, stage
-from .common import prefix_sums, table
+from .common import prefix_sums, slices, table
 from .encode import default_vocabulary, encoder
 
 WINDOW = 2048
@@ -37,7 +37,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, window: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(vocabulary), end_id.to_bytes(4, "little")
-        for batch in batches:
+        for batch in slices(batches, 512):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = enc.ids(text or "") + end

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import table, utf8
+from .common import slices, table, utf8
 
 TRIGRAMS, SOURCES, LANGS = 1024, 16, 8
 LAYOUT = 12
@@ -33,8 +33,8 @@ LAYOUT = 12
 class CoTraining:
     """Documented bounds and settings.  ``floor``: share of good held-out documents that the cut may reject."""
 
-    labelled: int = 6000
-    pool: int = 6000
+    labelled: int = 4000
+    pool: int = 4000
     rounds: int = 4
     handed: float = 0.05
     floor: float = 0.002
@@ -216,6 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, how: CoTraining = CoTraining()) -> Q
     y = np.array([np.nan if r.y is None else float(r.y >= 0.5) for r in got])
     has = ~np.isnan(y)
     fold = np.array([zlib.crc32(f"fold{r.doc_id}".encode()) % 4 == 0 for r in got])
+    del got
     content, metadata = x[:, :TRIGRAMS], x[:, TRIGRAMS:]
     return co_train((content[has], metadata[has]), y[has], fold[has], (content[~has], metadata[~has]), how)
 
@@ -242,14 +243,12 @@ def score(docs: DataFrame, model: QualityModel | None) -> DataFrame:
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                found = list(_features(part))
-                c, m, s = model.scores(*(np.stack(v) for v in zip(*found, strict=True)))
-                arrays = [part.column(k) for k in range(len(INPUT), part.num_columns)]
-                arrays += [pa.array(v, pa.float64()) for v in (c, m, s)] + [pa.array(s >= model.cut, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(arrays, [*kept, *added])
+        for part in slices(batches, 512):
+            found = list(_features(part))
+            c, m, s = model.scores(*(np.stack(v) for v in zip(*found, strict=True)))
+            arrays = [part.column(k) for k in range(len(INPUT), part.num_columns)]
+            arrays += [pa.array(v, pa.float64()) for v in (c, m, s)] + [pa.array(s >= model.cut, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(arrays, [*kept, *added])
 
     return rows.mapInArrow(run, f"{out}, content_score double, metadata_score double, quality_score double, good boolean")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package, stage
-from .common import prefix_sums, table
+from .common import prefix_sums, slices, table
 from .encode import default_vocabulary, encoder
 
 #: Lengths in one block of the suffix sums.
@@ -21,7 +21,7 @@ def lengths(docs: DataFrame, vocabulary: str, group: str = "source") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
-        for batch in batches:
+        for batch in slices(batches, 512):
             counts = [len(enc.ids(t or "")) // 4 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.string()), pa.array(counts, pa.int64())], ["group", "length"]
