@@ -219,6 +219,31 @@ def test_lm_beats_word_counts_on_held_out_text(spark):
     assert score > base
 
 
+def test_lm_trains_on_every_training_document_whole(real):
+    """Each document that is not held out is in one round, from its first token to its end."""
+    texts = [(t or "").encode() for _, t in real] + [b"long " * 5000]
+    ids = [d for d, _ in real] + [next(d for d in range(10**6, 10**7) if not lm.held_out(d))]
+    row = {"docs": ids, "texts": lm.zstandard.compress(b"".join(texts)), "sizes": [len(t) for t in texts]}
+    hashes, sizes = lm._tokens(texts)
+    symbols = lm._Symbols(np.unique(hashes))
+    rounds = [lm._whole_texts(row, symbols, k) for k in range(lm.ROUNDS)]
+    train = [not lm.held_out(d) for d in ids]
+    assert sorted(len(x) for r in rounds for x in r) == sorted(sizes[train].tolist())
+
+
+def test_gru_lanes_start_each_text_anew():
+    """Texts one after the other in a lane give the gradient of the same texts side by side."""
+    rng, classes, w = _tiny()
+    w = {k: v.astype(np.float64) for k, v in w.items()}
+    texts = [rng.integers(0, classes.n + 1, n) for n in (9, 6, 5, 0, 3)]
+    found = []
+    for lanes in (1, 2, 5):
+        squares = {k: np.zeros_like(v) for k, v in w.items()}
+        assert gru.train({k: v.copy() for k, v in w.items()}, classes, texts, squares, rate=0.0, lanes=lanes) == 23
+        found.append(np.concatenate([squares[k].ravel() for k in gru.SHAPES]))
+    assert np.allclose(found[0], found[2], rtol=1e-6) and np.allclose(found[1], found[2], rtol=1e-6)
+
+
 def _tiny():
     rng = np.random.default_rng(3)
     classes = gru.Classes(np.array([50.0, 30, 20, 9, 8, 7, 3, 2, 1]), 12.0)

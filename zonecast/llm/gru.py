@@ -7,6 +7,7 @@ given the state times that of the word given class and state.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -66,9 +67,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
+def _softmax(logits: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of each target, and all probabilities; ``logits`` are overwritten."""
+    row = np.arange(len(y))
     logits -= logits.max(1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(1, keepdims=True))
+    own = logits[row, y]
+    np.exp(logits, out=logits)
+    total = logits.sum(1, keepdims=True)
+    logits /= total
+    return own - np.log(total[:, 0]), logits
 
 
 def _step(w: dict, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -83,28 +90,25 @@ def _step(w: dict, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
 def _output(w: dict, classes: Classes, h: np.ndarray, y: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Natural log probability of each target, and the gradient of its negative sum for the states if asked for."""
     kind = classes.of[y]
-    logp = _log_softmax(h @ w["class_w"].T + w["class_b"])
-    row = np.arange(len(y))
-    out = logp[row, kind].astype(np.float64)
-    back = np.zeros_like(h) if grad is not None else h
+    logp, d = _softmax(h @ w["class_w"].T + w["class_b"], kind)
+    out = logp.astype(np.float64)
+    back = h
     if grad is not None:
-        d = np.exp(logp)
-        d[row, kind] -= 1
+        d[np.arange(len(y)), kind] -= 1
         grad["class_w"], grad["class_b"] = d.T @ h, d.sum(0)
         back = d @ w["class_w"]
-    order = np.argsort(kind, kind="stable")
+    order = np.argsort(kind.astype(np.int16), kind="stable")  # at most 65 classes: a radix sort
     cut = np.searchsorted(kind[order], np.arange(len(classes.edges)))
     for c in range(len(classes.edges) - 1):
         lo, hi = classes.edges[c], classes.edges[c + 1]
         own = order[cut[c] : cut[c + 1]]
         if hi - lo > 1 and len(own):
-            logw = _log_softmax(h[own] @ w["word_w"][lo:hi].T + w["word_b"][lo:hi])
-            at, r = y[own] - lo, np.arange(len(own))
-            out[own] += logw[r, at]
+            state, at = h[own], y[own] - lo
+            logw, d = _softmax(state @ w["word_w"][lo:hi].T + w["word_b"][lo:hi], at)
+            out[own] += logw
             if grad is not None:
-                d = np.exp(logw)
-                d[r, at] -= 1
-                grad["word_w"][lo:hi] = d.T @ h[own]
+                d[np.arange(len(own)), at] -= 1
+                grad["word_w"][lo:hi] = d.T @ state
                 grad["word_b"][lo:hi] = d.sum(0)
                 back[own] += d @ w["word_w"][lo:hi]
     return out, back
@@ -142,38 +146,70 @@ def scores(w: dict, classes: Classes, texts: Sequence[np.ndarray], window: int =
 
 
 def _rows_sum(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(rows, kind="stable")
-    own, first = np.unique(rows[order], return_index=True)
-    return own, np.add.reduceat(values[order], first)
-
-
-def train(w: dict, classes: Classes, texts: Sequence[np.ndarray], squares: dict, window: int = 24, rate: float = 0.05) -> int:
-    """Truncated backpropagation through windows of all texts side by side; Adagrad steps in place.
-
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # symbols are few: a radix sort
+    rows = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    return rows[first], np.add.reduceat(values[order], first)
+
+
+def _lanes(sizes: np.ndarray, lanes: int) -> list[list[int]]:
+    """Texts dealt to at most ``lanes`` lanes, the longest first and each to the shortest lane; lanes by falling length."""
+    heap = [(0, k) for k in range(min(lanes, int((sizes > 0).sum())))]
+    out: list[list[int]] = [[] for _ in heap]
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        if sizes[i]:
+            n, k = heap[0]
+            out[k].append(i)
+            heapq.heapreplace(heap, (n + int(sizes[i]), k))
+    return [out[k] for _, k in sorted(heap, key=lambda x: (-x[0], x[1]))]
+
+
+def train(
+    w: dict,
+    classes: Classes,
+    texts: Sequence[np.ndarray],
+    squares: dict,
+    window: int = 24,
+    rate: float = 0.05,
+    lanes: int = 1 << 30,
+) -> int:
+    """Truncated backpropagation through windows of all lanes side by side; Adagrad steps in place.
+
+    A lane holds whole texts one after the other.  The state runs through a text
+    from its first token to its last, and starts anew with the next text.
     Returns the number of tokens.  ``squares`` holds the summed squares of the gradients.
     """
-    order, sizes, offset = _lockstep(texts)
-    if not len(texts) or not sizes.sum():
+    dealt = _lanes(np.array([len(t) for t in texts], np.int64), lanes)
+    if not dealt:
         return 0
-    flat = np.concatenate([texts[i] for i in order])
-    h = np.zeros((len(texts), w["loop"].shape[0]), F32)
-    last = np.full(len(texts), classes.n + 1)
+    flat = np.concatenate([texts[i] for own in dealt for i in own])
+    inputs = np.concatenate([flat[:1], flat[:-1]])
+    begins = np.zeros(len(flat), bool)
+    begins[np.cumsum([0] + [len(texts[i]) for own in dealt for i in own])[:-1]] = True
+    inputs[begins] = classes.n + 1
+    sizes = np.array([sum(len(texts[i]) for i in own) for own in dealt])
+    offset = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    h = np.zeros((len(dealt), w["loop"].shape[0]), w["loop"].dtype)
     for start in range(0, int(sizes[0]), window):
         tape, states, targets = [], [], []
         for t in range(start, min(start + window, int(sizes[0]))):
             live = int(np.searchsorted(-sizes, -t, side="left"))
-            before, x = h[:live], last[:live]
+            at = offset[:live] + t
+            x, new_text = inputs[at], np.flatnonzero(begins[at])
+            before = h[:live]
+            if len(new_text):
+                before = before.copy()
+                before[new_text] = 0
             h, keep, reset, new, inner = _step(w, w["table"][x], before)
-            last = flat[offset[:live] + t]
-            tape.append((x, before, keep, reset, new, inner))
+            tape.append((x, new_text, before, keep, reset, new, inner))
             states.append(h)
-            targets.append(last)
+            targets.append(flat[at])
         grad = {k: np.zeros_like(w[k]) for k in ("word_w", "word_b", "loop", "bias")}
         y = np.concatenate(targets)
         _, back = _output(w, classes, np.concatenate(states), y, grad)
         seen, slopes = [], []
         at, flow = len(y), np.zeros_like(states[-1])
-        for x, before, keep, reset, new, inner in reversed(tape):
+        for x, new_text, before, keep, reset, new, inner in reversed(tape):
             n = len(x)
             d = back[at - n : at].copy()
             at -= n
@@ -186,6 +222,7 @@ def train(w: dict, classes: Classes, texts: Sequence[np.ndarray], squares: dict,
             grad["loop"] += before.T @ inside
             grad["bias"] += inside.sum(0)
             flow = d * keep + inside @ w["loop"].T
+            flow[new_text] = 0
             seen.append(x)
             slopes.append(outer)
         rows, values = _rows_sum(np.concatenate(seen), np.concatenate(slopes))

@@ -7,9 +7,8 @@ all training documents, and no vocabulary is broadcast.
 
 The recurrent model knows the most frequent words (``SYMBOLS``, a bounded table);
 a rarer word is its class's share times the word's share in that class.  It is
-trained side by side in all tasks, on the documents that a hash of the id picks
-(one in ``SHARE`` in all rounds together, so it grows with the corpus); after
-each round the weights are averaged.
+trained side by side in all tasks on every training document, each in the round
+that a hash of its id picks; after each round the weights are averaged.
 """
 
 from __future__ import annotations
@@ -33,11 +32,11 @@ from .common import table
 from .hashing import U, hash_words
 
 SYMBOLS = 4096
-#: Training documents per document that the recurrent weights are trained on, and rounds of averaging.
-SHARE, ROUNDS = 12, 2
+#: Rounds of averaging; every training document is in one of them.
+ROUNDS = 2
 BLOCK_BYTES = 8 << 20
-#: Tokens of one training stream.
-STREAM = 1024
+#: Texts that train side by side in a task, and the tokens that are gathered for them (texts stay whole).
+LANES, LANE_TOKENS = 256, 4_000_000
 #: Words of text for each range of the hash space.
 RANGE_WORDS = 4_000_000
 #: Stands for the end of a text among the word hashes.
@@ -49,7 +48,17 @@ def held_out(doc: int | None) -> bool:
 
 
 def _picked(doc: int | None, round_: int) -> bool:
-    return not held_out(doc) and xxhash.xxh3_64_intdigest(str(doc).encode()) % (SHARE * ROUNDS) == round_
+    return not held_out(doc) and xxhash.xxh3_64_intdigest(str(doc).encode()) % ROUNDS == round_
+
+
+def _whole_texts(row: dict, symbols: _Symbols, round_: int) -> list[np.ndarray]:
+    """Symbols of the block's documents of this round, each from its first token to its end."""
+    chosen = [_picked(d, round_) for d in row["docs"]]
+    texts = [t for t, c in zip(block_texts(row["texts"], row["sizes"]), chosen, strict=True) if c]
+    if not texts:
+        return []
+    hashes, sizes = _tokens(texts)
+    return np.split(symbols.of(hashes).astype(np.int32), np.cumsum(sizes)[:-1])
 
 
 def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -151,14 +160,13 @@ def _train_round(blocks: DataFrame, symbols: _Symbols, classes: gru.Classes, wei
         symbols, classes, start = shared.value
         w = {k: v.copy() for k, v in start.items()}
         squares, tokens = gru.fresh_squares(w), 0
+        own: list[np.ndarray] = []
         for row in each_row(batches):
-            chosen = [_picked(d, round_) for d in row["docs"]]
-            texts = [t for t, c in zip(block_texts(row["texts"], row["sizes"]), chosen, strict=True) if c]
-            hashes, sizes = _tokens(texts)
-            own = np.split(symbols.of(hashes), np.cumsum(sizes)[:-1]) if texts else []
-            # A long text trains as several streams, so that they run side by side; scoring carries its state through.
-            own = [x[at : at + STREAM] for x in own for at in range(0, len(x), STREAM)]
-            tokens += gru.train(w, classes, own, squares)
+            own += _whole_texts(row, symbols, round_)
+            if sum(map(len, own)) >= LANE_TOKENS:
+                tokens += gru.train(w, classes, own, squares, lanes=LANES)
+                own = []
+        tokens += gru.train(w, classes, own, squares, lanes=LANES)
         if tokens:
             flat = np.frombuffer(gru.pack(w), np.float32).astype(np.float64) * tokens
             yield _weights_row(flat, tokens)
