@@ -5,6 +5,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from zonecast.catalog import model_queries
 from zonecast.operators.split import day_split
 from zonecast.config import GAP_COLUMNS, LEVELS, POI_COLUMNS, TEST_DAYS, TRAIN_DAYS, GridConfig
 from zonecast.models import net, trees
@@ -173,3 +174,20 @@ def test_mean_of_training_rows(spark):
     assert [r.a for r in impute_mean(df, ["a"]).collect()] == [1.0, 3.0, 2.0]
     train = spark.createDataFrame([(10.0,)], "a double")
     assert impute_mean(df, ["a"], train).where("a = 10").count() == 1
+
+
+def test_forecasts_and_errors_are_shown_beside_the_mean(spark, tables):
+    """A model that answers 0 for every cell would fail here."""
+    train, test = tables
+    preset = replace(trees.FOREST["full"], **SMALL)
+    cells = model_queries.beside_mean(jobs.full_forecast(train, test, preset).forecast, train)
+    assert cells.columns[-3:] == ["predict", "error", "mean_error"]
+    error, mean = cells.agg(F.avg("error"), F.avg("mean_error")).first()
+    assert error < mean
+    shown = model_queries.errors_beside_mean(trees.validate(trees.fit_forest(train, preset), test), train, test).collect()
+    assert {r.metric for r in shown} == {"mae", "rmse"} and all(0 < r.value < r.mean_value for r in shown)
+
+
+def test_all_model_parameters(spark):
+    rows = model_queries.REGISTRY["model_parameters_all"](spark, "/root/testdata/sf0.001").collect()
+    assert int(dict(map(tuple, rows))["maxBins"]) > 66

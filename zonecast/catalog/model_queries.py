@@ -1,11 +1,11 @@
 """Registered queries that train models.
 
-All use every row of the tables on a calendar of wider slots (8 hours for the gap
-matrix, 1 hour for traffic), because the ten-minute training matrix of 21 days
-has 13.4 million rows.  ``rf_gap_short`` and ``mlp_gap`` run published models;
-the others are smaller than the published sizes, which are the defaults of the
-job functions.  Predictions have no SQL form, so a query shows the keys and
-gaps beside properties of the forecast that must hold.
+Each job is there twice.  The queries with SQL use every row of the tables on a
+calendar of wider slots (8 hours for the gap matrix, 1 hour for traffic), most
+with small models, and show keys, gaps and properties of the forecast that must
+hold.  Those without SQL (``…_forecast``, ``…_errors``, ``model_parameters_all``,
+``end_to_end_values``) run the published models on ten-minute slots and show the
+forecasts, and errors beside those of the mean of the training rows.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from ..plans import features as pf
 from ..plans import forecast as jobs
 from ..session import new_path, stage
 from ..sources.writers import load_model, model_params, save_model
-from .queries import norm_matrix, query
+from .queries import REGISTRY, norm_matrix, query  # noqa: F401
 
 WIDE = GridConfig(slot_seconds=8 * 3600)
 HOURLY = GridConfig(slot_seconds=3600)
@@ -204,3 +204,108 @@ def end_to_end_forecast(i: Inputs) -> DataFrame:
         _small(trees.FOREST["full"]),
     )
     return merged.select("timeslice", "districtID", "gap", (F.col("predict") >= 0).alias("in_range"))
+
+
+# Without SQL: published models on ten-minute slots, with their forecasts and errors.
+
+
+def _ten_minute_tables(i: Inputs) -> tuple[DataFrame, DataFrame]:
+    return day_split(stage(norm_matrix(i), "gap_features"), TRAIN_DAYS, TEST_DAYS)
+
+
+def _short_matrix(i: Inputs) -> DataFrame:
+    c = jobs.Cleaned(i.days, i.gaps, i.traffic, i.weather, poi.poi_pivot(i.poi))
+    c = c.of_days([*jobs.SHORT_TRAIN, *jobs.SHORT_TEST])
+    return stage(pf.features_norm(c.days, c.gaps, c.traffic, c.weather, c.poi, i.cfg), "gap_features", "date")
+
+
+def beside_mean(forecast: DataFrame, train: DataFrame) -> DataFrame:
+    """Each cell's gap and forecast, its error, and the error of the mean cell of the training rows."""
+    cells = train.groupBy("date", "timeslice", "districtID").agg(F.sum("gap").alias("gap"))
+    mean = float(cells.agg(F.avg("gap")).first()[0])
+    return forecast.select(
+        F.col("date").cast("string").alias("date"), "timeslice", "districtID", "gap", "predict",
+        F.abs(F.col("predict") - F.col("gap")).alias("error"), F.abs(F.col("gap") - mean).alias("mean_error"),
+    )
+
+
+def errors_beside_mean(errors: DataFrame, train: DataFrame, test: DataFrame) -> DataFrame:
+    """(trees, metric, value, mean_value): held-out errors beside those of the mean of the training rows."""
+    off = F.col("gap") - float(train.agg(F.avg("gap")).first()[0])
+    mae, rmse = test.agg(F.avg(F.abs(off)), F.sqrt(F.avg(off * off))).first()
+    return errors.withColumn("mean_value", F.when(F.col("metric") == "mae", mae).otherwise(rmse))
+
+
+@query
+def rf_gap_full_forecast(i: Inputs) -> DataFrame:
+    train, test = _ten_minute_tables(i)
+    return beside_mean(jobs.full_forecast(train, test).forecast, train)
+
+
+@query
+def rf_gap_short_forecast(i: Inputs) -> DataFrame:
+    matrix = _short_matrix(i)
+    train, _ = day_split(matrix, jobs.SHORT_TRAIN, jobs.SHORT_TEST)
+    return beside_mean(jobs.short_forecast(matrix).forecast, train)
+
+
+@query
+def rf_gap_raw_errors(i: Inputs) -> DataFrame:
+    """(date, mae, mean_mae) of the test days."""
+    pivot = poi.poi_pivot(i.poi, scaled=False)
+    matrix = stage(pf.features_raw(i.days, i.gaps, i.traffic, i.weather, pivot, i.cfg), "gap_raw")
+    train, test = day_split(matrix, TRAIN_DAYS, TEST_DAYS)
+    cells = beside_mean(jobs.raw_forecast(train, test).forecast, train)
+    return cells.groupBy("date").agg(F.avg("error").alias("mae"), F.avg("mean_error").alias("mean_mae"))
+
+
+@query
+def gbt_gap_forecast(i: Inputs) -> DataFrame:
+    train, test = _ten_minute_tables(i)
+    return beside_mean(forecast_rollup(trees.score(trees.fit_boosted(train, "raw"), test)), train)
+
+
+@query
+def gbt_validation_errors(i: Inputs) -> DataFrame:
+    train, test = _ten_minute_tables(i)
+    return errors_beside_mean(trees.validate(trees.fit_boosted(train), test), train, test)
+
+
+@query
+def rf_validation_errors(i: Inputs) -> DataFrame:
+    train, test = _ten_minute_tables(i)
+    return errors_beside_mean(trees.validate(trees.fit_forest(train), test), train, test)
+
+
+@query
+def mlp_gap_forecast(i: Inputs) -> DataFrame:
+    train, test = _ten_minute_tables(i)
+    return beside_mean(forecast_rollup(net.fit_net(train, "short").transform(test)), train)
+
+
+@query
+def rf_traffic_levels_forecast(i: Inputs) -> DataFrame:
+    """Observed and forecast levels of every cell of the test days."""
+    pivot = poi.poi_pivot(i.poi)
+    dense = stage(pf.traffic_train(i.days, i.traffic, i.weather, pivot, i.cfg), "traffic_train")
+    sparse = stage(pf.traffic_predict_grid(i.days, i.traffic, i.weather, pivot, i.cfg), "traffic_predict")
+    train, predict = day_split(dense, TRAIN_DAYS, TEST_DAYS)[0], day_split(sparse, TRAIN_DAYS, TEST_DAYS)[1]
+    return jobs.traffic_forecast(train, predict).withColumn("date", F.col("date").cast("string"))
+
+
+@query
+def model_parameters_all(i: Inputs) -> DataFrame:
+    """Every parameter of the loaded model of ``model_parameters``, maxBins among them."""
+    train, _ = _traffic_tables(i)
+    path = new_path(i.spark, "model")
+    preset = replace(trees.FOREST["traffic"], response="t1", ignored=("t2", "t3", "t4"), trees=2, depth=3)
+    save_model(trees.fit_forest(train, preset, TRAFFIC_COLUMNS), path)
+    return i.spark.createDataFrame(sorted(model_params(load_model(path)).items()), "name string, value string")
+
+
+@query
+def end_to_end_values(i: Inputs) -> DataFrame:
+    """The merged forecast of the published models."""
+    inputs = jobs.Cleaned(i.days, i.gaps, i.traffic, i.weather, poi.poi_pivot(i.poi))
+    merged = jobs.end_to_end(inputs, TRAIN_DAYS, TEST_DAYS, new_path(i.spark, "end_to_end"), i.cfg)
+    return merged.select("timeslice", "districtID", "gap", "predict")
