@@ -116,3 +116,22 @@ def test_nothing_else_imports_the_package():
     root = Path(__file__).parents[2]
     outside = [p for p in root.glob("zonecast/**/*.py") if "llm" not in p.parts] + [root / "bench.py", root / "check.py"]
     assert not [p for p in outside if "llm" in p.read_text()]
+
+
+def test_toxic_documents_are_rejected(spark):
+    """Held-out documents of good quality: most toxic ones go, nearly all clean ones stay; a null label is passed over."""
+    rng = np.random.default_rng(4)
+    words = [f"word{k}" for k in range(300)]
+    docs, labels = [], []
+    for k in range(1600):
+        text, toxic = list(rng.choice(words, 80)), k % 5 == 0
+        text[10:13] = rng.choice(["badone", "badtwo", "badthree"], 3) if toxic else text[10:13]
+        docs.append((k, " ".join(text), "en", "a", 500))
+        if k < 1200:
+            labels.append((k, None if k % 50 == 7 else int(k % 7 > 0), int(toxic) if k % 50 != 9 else None))
+    sent = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in quality.score(sent, None, quality.fit(sent, known, target="toxic")).where("good").collect()}
+    fresh = range(1200, 1600)
+    assert sum(k in kept for k in fresh if k % 5 == 0) < 0.3 * 80
+    assert sum(k in kept for k in fresh if k % 5) > 0.95 * 320

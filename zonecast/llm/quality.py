@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 from .common import slices, table, utf8
 
-TRIGRAMS, SOURCES, LANGS = 1024, 16, 8
+TRIGRAMS, WORDS, SOURCES, LANGS = 1024, 2048, 16, 8
 LAYOUT = 12
 
 
@@ -38,6 +38,8 @@ class CoTraining:
     rounds: int = 4
     handed: float = 0.05
     floor: float = 0.002
+    #: The same for toxicity, which words show less surely than layout shows junk.
+    clean_floor: float = 0.01
 
 
 def content_features(text: bytes) -> np.ndarray:
@@ -50,6 +52,14 @@ def content_features(text: bytes) -> np.ndarray:
     return np.sqrt(np.bincount(cell, minlength=TRIGRAMS) / len(cell)).astype(np.float32)
 
 
+def word_features(text: bytes) -> np.ndarray:
+    """Which cells of ``WORDS`` the lower-case words of a text fall in: the second view of toxicity, which no metadata shows."""
+    x = np.zeros(WORDS, np.float32)
+    for w in {w.strip(b".,;:!?\"'()") for w in text.lower().split()}:
+        x[zlib.crc32(w) % WORDS] = 1
+    return x
+
+
 def metadata_features(text: bytes, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
     """Length and layout, then hashed language and source; null language or source is a value of its own."""
     x = np.zeros(LAYOUT + LANGS + SOURCES, np.float32)
@@ -140,7 +150,8 @@ class QualityModel:
 
 
 def co_train(
-    views: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.ndarray, pool: tuple[np.ndarray, np.ndarray], how: CoTraining
+    views: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.ndarray, pool: tuple[np.ndarray, np.ndarray], how: CoTraining,
+    floor: float | None = None, cap: float = 0.5,
 ) -> QualityModel | None:
     """``fold``: rows kept for calibration.  None when the training rows hold one class only."""
     train = ~fold
@@ -173,7 +184,7 @@ def co_train(
     both = _sigmoid(content.calibrated(views[0][fold]) + metadata.calibrated(views[1][fold]))
     kept = both[y[fold] > 0.5]
     # Rejected is what is likelier bad than good, and below nearly all good held-out documents.
-    cut = min(0.5, float(np.quantile(kept, how.floor))) if len(kept) else 0.5
+    cut = min(cap, float(np.quantile(kept, how.floor if floor is None else floor))) if len(kept) else cap
     return QualityModel(content, metadata, cut, tuple(history))
 
 
@@ -183,30 +194,42 @@ def _features(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield content_features(text or b""), metadata_features(text or b"", lang, source, n)
 
 
+def _clean_features(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for text in utf8(batch.column(0)):
+        yield content_features(text or b""), word_features(text or b"")
+
+
+SCORES = ("content_score", "metadata_score", "quality_score")
 INPUT = ("text", "lang", "source", "n_chars")
 
 
-def fit(docs: DataFrame, labels: DataFrame, how: CoTraining = CoTraining()) -> QualityModel | None:
-    """Labels of one document that disagree are averaged and rounded; null labels and ids are passed over."""
+def fit(
+    docs: DataFrame, labels: DataFrame, how: CoTraining = CoTraining(), target: str = "quality"
+) -> QualityModel | None:
+    """A model of ``quality``, or with the target ``toxic`` of being free of toxicity.
+
+    Labels of one document that disagree are averaged and rounded; null labels and ids are passed over.
+    """
     spark = docs.sparkSession
     ship_package(spark)
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(
-        F.avg("quality").alias("y")
-    )
+    label = 1 - F.col(target) if target == "toxic" else F.col(target)
+    known = labels.where(F.col("doc_id").isNotNull() & label.isNotNull()).groupBy("doc_id").agg(F.avg(label).alias("y"))
     order = F.xxhash64("doc_id")
     chosen = known.orderBy(order, "doc_id").limit(how.labelled)
     ids = docs.where("doc_id is not null").select("doc_id")
     pooled = ids.join(known.select("doc_id"), "doc_id", "left_anti").distinct().orderBy(order, "doc_id").limit(how.pool)
     wanted = chosen.unionByName(pooled.withColumn("y", F.lit(None).cast("double")))
 
+    features = _clean_features if target == "toxic" else _features
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.concatenate(f).astype(np.float16).tobytes() for f in _features(batch)]
+            found = [np.concatenate(f).astype(np.float16).tobytes() for f in features(batch)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(4), batch.column(5), pa.array(found, pa.binary())], ["doc_id", "y", "x"]
             )
 
-    # At most labelled + pool rows of 2 KB reach the driver.
+    # At most labelled + pool rows of 2 KB (6 KB for toxicity) reach the driver.
     rows = docs.join(F.broadcast(wanted), "doc_id").select(*INPUT, "doc_id", "y")
     got = rows.mapInArrow(run, "doc_id long, y double, x binary").collect()
     got = sorted({(r.doc_id, bytes(r.x)): r for r in got}.values(), key=lambda r: (r.doc_id, bytes(r.x)))
@@ -218,20 +241,26 @@ def fit(docs: DataFrame, labels: DataFrame, how: CoTraining = CoTraining()) -> Q
     fold = np.array([zlib.crc32(f"fold{r.doc_id}".encode()) % 4 == 0 for r in got])
     del got
     content, metadata = x[:, :TRIGRAMS], x[:, TRIGRAMS:]
-    return co_train((content[has], metadata[has]), y[has], fold[has], (content[~has], metadata[~has]), how)
+    views, pool = (content[has], metadata[has]), (content[~has], metadata[~has])
+    if target != "toxic" or not has.any():
+        return co_train(views, y[has], fold[has], pool, how)
+    # Each view's calibrated logit holds the prior, so their sum is even at the prior's score, not at a half.
+    return co_train(views, y[has], fold[has], pool, how, how.clean_floor, float(y[has].mean()))
 
 
-def score(docs: DataFrame, model: QualityModel | None) -> DataFrame:
+def score(docs: DataFrame, model: QualityModel | None, clean: QualityModel | None = None) -> DataFrame:
     """All rows and columns, with content_score, metadata_score, quality_score and good.
 
     Columns of these names are replaced.  Without a model (no labels, or one
     class only) the scores are null and every document is good.  Columns that
-    the views need and the table lacks count as null.
+    the views need and the table lacks count as null.  With ``clean``, a model of
+    the target ``toxic``, good is what neither model rejects, and clean_score is
+    added.
     """
-    added = ["content_score", "metadata_score", "quality_score", "good"]
+    added = [*SCORES, *(["clean_score"] if clean else []), "good"]
     kept = [c for c in docs.columns if c not in added]
-    if model is None:
-        none = {c: F.lit(None).cast("double") for c in added[:3]}
+    if model is None and clean is None:
+        none = {c: F.lit(None).cast("double") for c in SCORES}
         return docs.select(*kept).withColumns({**none, "good": F.lit(True)})
     ship_package(docs.sparkSession)
     types = {"n_chars": "long"}
@@ -245,20 +274,34 @@ def score(docs: DataFrame, model: QualityModel | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 512):
             found = list(_features(part))
-            c, m, s = model.scores(*(np.stack(v) for v in zip(*found, strict=True)))
+            views = [np.stack(v) for v in zip(*found, strict=True)]
+            shown, good = [np.full(part.num_rows, None)] * 3, np.ones(part.num_rows, bool)
+            if model:
+                shown = [*model.scores(*views)]
+                good &= shown[2] >= model.cut
+            if clean:
+                words = np.stack([word_features(t or b"") for t in utf8(part.column(0))])
+                shown.append(clean.scores(views[0], words)[2])
+                good &= shown[-1] >= clean.cut
             arrays = [part.column(k) for k in range(len(INPUT), part.num_columns)]
-            arrays += [pa.array(v, pa.float64()) for v in (c, m, s)] + [pa.array(s >= model.cut, pa.bool_())]
+            arrays += [pa.array(v, pa.float64()) for v in shown] + [pa.array(good, pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, [*kept, *added])
 
-    return rows.mapInArrow(run, f"{out}, content_score double, metadata_score double, quality_score double, good boolean")
+    return rows.mapInArrow(run, ", ".join([out, *(f"{c} double" for c in added[:-1]), "good boolean"]))
+
+
+def score_both(docs: DataFrame, labels: DataFrame, how: CoTraining = CoTraining()) -> DataFrame:
+    """Good is what neither the quality model nor the toxicity model rejects."""
+    return score(docs, fit(docs, labels, how), fit(docs, labels, how, "toxic"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, how: CoTraining = CoTraining()) -> DataFrame:
-    """The documents that the classifier does not reject, with their own columns."""
-    return score(docs, fit(docs, labels, how)).where("good").select(*docs.columns)
+    """The documents that neither classifier rejects, with their own columns."""
+    return score_both(docs, labels, how).where("good").select(*docs.columns)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    scored = score(docs, fit(docs, labels))
-    return scored.select("doc_id", "content_score", "metadata_score", "quality_score", "good")
+    scored = score_both(docs, labels)
+    extra = ["clean_score"] if "clean_score" in scored.columns else []
+    return scored.select("doc_id", *SCORES, "good", *extra)
