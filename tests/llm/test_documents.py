@@ -410,3 +410,9 @@ def test_mixing_targets_and_reruns(spark, odd):
     total = sum(r.size for r in rows)
     assert sum(target.values()) == pytest.approx(1.5 * total)
     assert mixing.mix(odd.where("doc_id in (3, 4, 5)"), mixing.word_count(F.col("text"))).agg(F.sum("taken")).first()[0] == 0
+
+
+def test_pii_long_runs_are_candidates(spark):
+    docs = [(k, f'token = "{"a1B2c3D4" * (3 + 80 * k)}" end') for k in range(3)]
+    found = pii.candidates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert [[(s.kind, s.end - s.start) for s in r.loose] for r in sorted(found)] == [[("secret", 8 * (3 + 80 * k))] for k in range(3)]
