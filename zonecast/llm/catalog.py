@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, lm, mixing, near_dedup, packing, pii, quality, substring_dedup, token_counts, topk
+from . import (
+    ann, exact_dedup, lm, merkle, mixing, near_dedup, packing, periodic_runs, pii, quality, substring_dedup, token_counts, topk
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,9 +23,14 @@ QUERIES: dict[str, Query] = {
     "op8_quality": quality.op8_quality,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_mixing": mixing.op10_mixing,
+    "op11_merkle": merkle.op11_merkle,
+    "op12_ann": ann.op12_ann,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 SQL: dict[str, str] = {
     "op1_topk": topk.OP1_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op10_mixing": mixing.OP10_SQL,
+    "op11_merkle": merkle.OP11_SQL,
+    "op12_ann": ann.OP12_SQL,
 }
