@@ -86,9 +86,10 @@ def test_pipeline_stages(spark):
         assert docs.columns == columns
         kept.append((name, docs))
     first = spark.read.parquet(f"{SF}/documents.parquet")
-    good = quality.score(first, quality.fit(first, labels)).where("good")
+    scored = quality.score(first, *quality.fit(first, labels)).select("doc_id", "quality_score", "clean_score", "good").collect()
     ids = lambda d: {r.doc_id for r in d.select("doc_id").collect()}
-    assert ids(kept[0][1]) == ids(good)
+    assert ids(kept[0][1]) == {r.doc_id for r in scored if r.good}
+    assert 0 < sum(r.good for r in scored) < len(scored)
     assert ids(kept[1][1]) == ids(exact_dedup.exact_groups(kept[0][1]).where("kept"))
     want = brute.near_components([(r.doc_id, r.text) for r in kept[1][1].collect()], width=5)
     assert ids(kept[2][1]) == {doc for doc, (_, component) in want.items() if doc == component}
@@ -131,7 +132,8 @@ def test_toxic_documents_are_rejected(spark):
             labels.append((k, None if k % 50 == 7 else int(k % 7 > 0), int(toxic) if k % 50 != 9 else None))
     sent = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
     known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    kept = {r.doc_id for r in quality.score(sent, None, quality.fit(sent, known, target="toxic")).where("good").collect()}
+    _, clean, words = quality.fit(sent, known)
+    kept = {r.doc_id for r in quality.score(sent, None, clean, words).where("good").collect()}
     fresh = range(1200, 1600)
     assert sum(k in kept for k in fresh if k % 5 == 0) < 0.3 * 80
     assert sum(k in kept for k in fresh if k % 5) > 0.95 * 320
