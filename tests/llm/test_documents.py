@@ -352,14 +352,15 @@ def test_encoder_gives_the_ids_of_the_library(real):
     from tokenizers import Tokenizer
 
     path = encode.default_vocabulary()
-    reference = Tokenizer.from_file(path)
-    reference.encode_special_tokens = True
+    reference = Tokenizer.from_file(path)  # as it comes: added tokens stand for themselves
     rng = random.Random(1)
     parts = [" ", "  ", "\n", " \n ", "a", "b'", "'s", "é", "9", "\t", "\xa0", " ", "<|endoftext|>", "don't", " 's", "中文", "🙂", "_"]
     texts = [t for _, t in real] + ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(3000)]
     want = [np.array(e.ids, "<u4").tobytes() for e in reference.encode_batch_fast(texts, add_special_tokens=False)]
     coder = encode.encoder(path)
     assert [coder.ids(t) for t in texts] == want
+    marked = np.frombuffer(coder.ids("a <|endoftext|> b<|endoftext|><|endoftext|>"), "<u4").tolist()
+    assert marked == [64, 220, 50256, 275, 50256, 50256]
 
 
 def _check_packing(rows, docs, window=2048):

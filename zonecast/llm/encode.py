@@ -5,8 +5,9 @@ non-space, so a text is cut there and each distinct chunk is encoded once; the
 ids of a text are the joined ids of its chunks.  Texts in which a space stands
 between two other white-space characters are encoded whole.
 
-Ids are those that ``tokenizers`` gives for the vocabulary file.  Where the file
-numbers merged tokens in the order of its merges, as the usual ones do, merging
+Ids are those that ``tokenizers`` gives for the vocabulary file as it is.  Its
+added tokens stand for themselves: a text is cut at them first, and what lies
+between is encoded by itself.  Where the file numbers merged tokens in the order of its merges, as the usual ones do, merging
 the lowest id first is the same rule, and the chunks go through ``tiktoken``,
 which needs a fraction of the time; else through ``tokenizers``.
 """
@@ -43,13 +44,27 @@ def merge_ranks(path: str) -> dict[bytes, int] | None:
     return {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
 
 
+def _added(spec: dict) -> dict[str, int] | None:
+    """Added tokens and their ids; None if one takes the white space or the words around it into account."""
+    tokens = spec.get("added_tokens", [])
+    if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in tokens):
+        return None
+    return {t["content"]: t["id"] for t in tokens if t["content"]}
+
+
 class Encoder:
     """``ids(text)`` gives little-endian unsigned 32-bit ids as bytes."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.cache: dict[str, bytes] = {}
-        ranks = merge_ranks(path)
+        with open(path, encoding="utf-8") as f:
+            added = _added(json.load(f))
+        ranks = merge_ranks(path) if added is not None else None
+        self._whole = added is None
+        self._added = {t: i.to_bytes(4, "little") for t, i in (added or {}).items()}
+        # Of added tokens that begin at one place the longest is meant.
+        self._cut = re.compile("|".join(map(re.escape, sorted(self._added, key=lambda t: -len(t))))) if added else None
         if ranks:
             import public_tokenizers
             import tiktoken
@@ -60,12 +75,23 @@ class Encoder:
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
             self._encode = lambda texts: [
                 array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             ]
 
     def ids(self, text: str) -> bytes:
+        if self._whole:
+            return self._encode([text])[0]
+        if self._cut is None:
+            return self._plain(text)
+        out, at = [], 0
+        for m in self._cut.finditer(text):
+            out += [self._plain(text[at : m.start()]), self._added[m.group()]]
+            at = m.end()
+        return b"".join(out) + self._plain(text[at:]) if out else self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
         if not text:
             return b""
         if _NO_CUT.search(text):
