@@ -14,7 +14,8 @@ from dataclasses import dataclass, field
 import numpy as np
 
 F32 = np.float32
-HIDDEN = 24
+#: Widths of the state and of a symbol's input.
+HIDDEN, EMBED = 24, 16
 
 
 @dataclass(frozen=True)
@@ -44,74 +45,86 @@ class Classes:
         return len(self.counts)
 
 
-SHAPES = ("table", "loop", "bias", "class_w", "class_b", "word_w", "word_b")
+SHAPES = ("embed", "enter", "loop", "bias", "class_w", "class_b", "word_w", "word_b")
 
 
-def initial(classes: Classes, hidden: int = HIDDEN, seed: int = 7) -> dict[str, np.ndarray]:
+def initial(classes: Classes, hidden: int = HIDDEN, embed: int = EMBED, seed: int = 7) -> dict[str, np.ndarray]:
     """Small random weights; the output biases start at the counted frequencies."""
     rng = np.random.default_rng(seed)
     n, groups = classes.n, len(classes.edges)
     mass = np.add.reduceat(classes.counts, classes.edges[:-1]) if n else np.empty(0)
     mass = np.concatenate([mass, [classes.rest]]) + 0.1
     words = np.log((classes.counts + 0.1) / (mass[classes.of[:-1]] if n else 1))
-    draw = lambda *s: (rng.standard_normal(s) * 0.1).astype(F32)
+    draw = lambda scale, *s: (rng.standard_normal(s) * scale).astype(F32)
     return {
-        "table": draw(n + 2, 3 * hidden), "loop": draw(hidden, 3 * hidden),
+        "embed": draw(0.3, n + 2, embed), "enter": draw(0.3, embed, 3 * hidden), "loop": draw(0.1, hidden, 3 * hidden),
         "bias": np.concatenate([np.full(hidden, 1.0), np.zeros(2 * hidden)]).astype(F32),
         "class_w": np.zeros((groups, hidden), F32), "class_b": np.log(mass / mass.sum()).astype(F32),
         "word_w": np.zeros((n, hidden), F32), "word_b": words.astype(F32),
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def _softmax(logits: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log probability of each target, and all probabilities; ``logits`` are overwritten."""
+def _softmax(logits: np.ndarray, y: np.ndarray, slopes: bool) -> np.ndarray:
+    """Log probability of each target; ``logits`` become the slopes of its negative, if asked for."""
     row = np.arange(len(y))
     logits -= logits.max(1, keepdims=True)
     own = logits[row, y]
     np.exp(logits, out=logits)
     total = logits.sum(1, keepdims=True)
-    logits /= total
-    return own - np.log(total[:, 0]), logits
+    if slopes:
+        logits /= total
+        logits[row, y] -= 1
+    return own - np.log(total[:, 0])
 
 
 def _step(w: dict, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """State after one symbol, the two gates, the new part, and what the second gate lets through; ``x`` is overwritten."""
     size = h.shape[1]
-    inner = h @ w["loop"] + w["bias"]
-    gates = _sigmoid(x[:, : 2 * size] + inner[:, : 2 * size])
-    keep, reset = gates[:, :size], gates[:, size:]
-    new = np.tanh(x[:, 2 * size :] + reset * inner[:, 2 * size :])
-    return new + keep * (h - new), keep, reset, new, inner[:, 2 * size :]
+    inner = h @ w["loop"]
+    inner += w["bias"]
+    gates = x[:, : 2 * size]
+    gates += inner[:, : 2 * size]
+    np.negative(gates, out=gates)
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    keep, reset, past = gates[:, :size], gates[:, size:], inner[:, 2 * size :]
+    new = x[:, 2 * size :]
+    new += reset * past
+    np.tanh(new, out=new)
+    after = h - new
+    after *= keep
+    after += new
+    return after, keep, reset, new, past
 
 
 def _output(w: dict, classes: Classes, h: np.ndarray, y: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Natural log probability of each target, and the gradient of its negative sum for the states if asked for."""
     kind = classes.of[y]
-    logp, d = _softmax(h @ w["class_w"].T + w["class_b"], kind)
-    out = logp.astype(np.float64)
+    order = np.argsort(kind.astype(np.int16), kind="stable")  # at most 65 classes: a radix sort
+    h, y, kind = h[order], y[order], kind[order]
+    cut = np.searchsorted(kind, np.arange(len(classes.edges)))
+    d = h @ w["class_w"].T
+    d += w["class_b"]
+    logp = _softmax(d, kind, grad is not None).astype(np.float64)
     back = h
     if grad is not None:
-        d[np.arange(len(y)), kind] -= 1
         grad["class_w"], grad["class_b"] = d.T @ h, d.sum(0)
         back = d @ w["class_w"]
-    order = np.argsort(kind.astype(np.int16), kind="stable")  # at most 65 classes: a radix sort
-    cut = np.searchsorted(kind[order], np.arange(len(classes.edges)))
     for c in range(len(classes.edges) - 1):
-        lo, hi = classes.edges[c], classes.edges[c + 1]
-        own = order[cut[c] : cut[c + 1]]
-        if hi - lo > 1 and len(own):
-            state, at = h[own], y[own] - lo
-            logw, d = _softmax(state @ w["word_w"][lo:hi].T + w["word_b"][lo:hi], at)
-            out[own] += logw
+        lo, hi, at, to = classes.edges[c], classes.edges[c + 1], cut[c], cut[c + 1]
+        if hi - lo > 1 and to > at:
+            state, weights = h[at:to], w["word_w"][lo:hi]
+            d = state @ weights.T
+            d += w["word_b"][lo:hi]
+            logp[at:to] += _softmax(d, y[at:to] - lo, grad is not None)
             if grad is not None:
-                d[np.arange(len(own)), at] -= 1
-                grad["word_w"][lo:hi] = d.T @ state
-                grad["word_b"][lo:hi] = d.sum(0)
-                back[own] += d @ w["word_w"][lo:hi]
-    return out, back
+                np.matmul(d.T, state, out=grad["word_w"][lo:hi])
+                np.sum(d, 0, out=grad["word_b"][lo:hi])
+                back[at:to] += d @ weights
+    out, unsorted = np.empty_like(logp), np.empty_like(back)
+    out[order], unsorted[order] = logp, back
+    return out, unsorted
 
 
 def _lockstep(texts: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,12 +143,12 @@ def scores(w: dict, classes: Classes, texts: Sequence[np.ndarray], window: int =
     flat = np.concatenate([texts[i] for i in order])
     h = np.zeros((len(texts), w["loop"].shape[0]), F32)
     last = np.full(len(texts), classes.n + 1)
+    enters = w["embed"] @ w["enter"]
     for start in range(0, int(sizes[0]), window):
         states, targets, owners = [], [], []
         for t in range(start, min(start + window, int(sizes[0]))):
             live = int(np.searchsorted(-sizes, -t, side="left"))
-            h = h[:live]
-            h = _step(w, w["table"][last[:live]], h)[0]
+            h = _step(w, enters[last[:live]], h[:live])[0]
             last = flat[offset[:live] + t]
             states.append(h)
             targets.append(last)
@@ -189,51 +202,56 @@ def train(
     inputs[begins] = classes.n + 1
     sizes = np.array([sum(len(texts[i]) for i in own) for own in dealt])
     offset = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    h = np.zeros((len(dealt), w["loop"].shape[0]), w["loop"].dtype)
+    size = w["loop"].shape[0]
+    h = np.zeros((len(dealt), size), w["loop"].dtype)
     for start in range(0, int(sizes[0]), window):
-        tape, states, targets = [], [], []
-        for t in range(start, min(start + window, int(sizes[0]))):
-            live = int(np.searchsorted(-sizes, -t, side="left"))
-            at = offset[:live] + t
-            x, new_text = inputs[at], np.flatnonzero(begins[at])
-            before = h[:live]
+        lives = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(start, min(start + window, int(sizes[0])))]
+        places = np.concatenate([offset[:n] + start + k for k, n in enumerate(lives)])
+        symbols, y, fresh = inputs[places], flat[places], begins[places]
+        shown = w["embed"][symbols]
+        x = shown @ w["enter"]
+        edge = np.concatenate([[0], np.cumsum(lives)])
+        tape = []
+        for at, to in zip(edge[:-1], edge[1:], strict=True):
+            new_text = np.flatnonzero(fresh[at:to])
+            before = h[: to - at]
             if len(new_text):
                 before = before.copy()
                 before[new_text] = 0
-            h, keep, reset, new, inner = _step(w, w["table"][x], before)
-            tape.append((x, new_text, before, keep, reset, new, inner))
-            states.append(h)
-            targets.append(flat[at])
-        grad = {k: np.zeros_like(w[k]) for k in ("word_w", "word_b", "loop", "bias")}
-        y = np.concatenate(targets)
-        _, back = _output(w, classes, np.concatenate(states), y, grad)
-        seen, slopes = [], []
-        at, flow = len(y), np.zeros_like(states[-1])
-        for x, new_text, before, keep, reset, new, inner in reversed(tape):
-            n = len(x)
-            d = back[at - n : at].copy()
-            at -= n
+            h, *rest = _step(w, x[at:to], before)
+            tape.append((before, h, *rest))
+        before, states, keep, reset, new, past = (np.concatenate(part) for part in zip(*tape, strict=True))
+        grad = {k: np.zeros_like(w[k]) for k in ("word_w", "word_b")}
+        _, slope = _output(w, classes, states, y, grad)
+        # What a slope of the state becomes at the gates and at the new part, for the whole window.
+        to_new = (1 - keep) * (1 - new * new)
+        gain = np.empty((len(y), 3, size), keep.dtype)
+        np.multiply((before - new) * keep, 1 - keep, out=gain[:, 0])
+        np.multiply(to_new * past * reset, 1 - reset, out=gain[:, 1])
+        np.multiply(to_new, reset, out=gain[:, 2])
+        inside = np.empty_like(gain)
+        flow, back_loop = np.zeros((0, size), keep.dtype), np.ascontiguousarray(w["loop"].T)
+        for at, to in zip(edge[-2::-1], edge[:0:-1], strict=True):
+            d = slope[at:to]
             d[: len(flow)] += flow
-            d_new = d * (1 - keep) * (1 - new * new)
-            d_keep = d * (before - new) * keep * (1 - keep)
-            d_reset = d_new * inner * reset * (1 - reset)
-            outer = np.concatenate([d_keep, d_reset, d_new], 1)
-            inside = np.concatenate([d_keep, d_reset, d_new * reset], 1)
-            grad["loop"] += before.T @ inside
-            grad["bias"] += inside.sum(0)
-            flow = d * keep + inside @ w["loop"].T
-            flow[new_text] = 0
-            seen.append(x)
-            slopes.append(outer)
-        rows, values = _rows_sum(np.concatenate(seen), np.concatenate(slopes))
+            np.multiply(d[:, None, :], gain[at:to], out=inside[at:to])
+            flow = inside[at:to].reshape(to - at, 3 * size) @ back_loop
+            flow += d * keep[at:to]
+            flow[fresh[at:to]] = 0
+        inner = inside.reshape(-1, 3 * size)
+        grad["loop"], grad["bias"] = before.T @ inner, inner.sum(0)
+        outer = inner.copy()
+        np.multiply(slope, to_new, out=outer[:, 2 * size :])
+        grad["enter"] = shown.T @ outer
+        rows, values = _rows_sum(symbols, outer @ w["enter"].T)
         scale = F32(1 / max(np.sqrt(len(y)), 1))
         for k, g in grad.items():
             g *= scale
             squares[k] += g * g
             w[k] -= rate * g / (np.sqrt(squares[k]) + 1e-6)
         values *= scale
-        squares["table"][rows] += values * values
-        w["table"][rows] -= rate * values / (np.sqrt(squares["table"][rows]) + 1e-6)
+        squares["embed"][rows] += values * values
+        w["embed"][rows] -= rate * values / (np.sqrt(squares["embed"][rows]) + 1e-6)
     return len(flat)
 
 
