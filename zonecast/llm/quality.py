@@ -176,7 +176,8 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 150, penalty: float = 1e-3) -> Linear:
     """Class-balanced logistic regression by accelerated gradient steps on standardised columns."""
     mean, scale = x.mean(0), x.std(0) + 1e-3
-    z = (x - mean) / scale
+    z = x - mean
+    z /= scale
     share = np.clip(y.mean(), 1e-6, 1 - 1e-6)
     weight = np.where(y > 0.5, 0.5 / share, 0.5 / (1 - share)) / len(y)
     rate = 4.0 / (float((z * z).sum(1).mean()) + 1)
@@ -361,8 +362,8 @@ def _logits(rows: DataFrame, models: list[QualityModel | None], vocabulary: np.n
 
 def _surest(free: DataFrame, models: list[QualityModel | None], how: CoTraining) -> DataFrame | None:
     """(sign, marks): the documents that each view is surest of, for the other view; at most ``handed`` a view and target."""
-    # Documents that look alike to all views count once.
-    free = free.groupBy(*LOGITS).agg(F.min("sign").alias("sign"))
+    # Documents that look alike to all views count once.  Written, as each class of each view reads it.
+    free = stage(free.groupBy(*LOGITS).agg(F.min("sign").alias("sign")), "free")
     picked = None
     for target, model in enumerate(models):
         for v in (0, 1) if model else ():
