@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -204,6 +205,23 @@ def test_pii_adds_what_labelers_agree_on(spark):
     assert not any(kinds[100 + k] for k in range(40))
 
 
+def test_pii_time_grows_with_the_text(spark):
+    """A run of a million characters, and a text of a hundred thousand numbers: each takes seconds."""
+    rng = random.Random(1)
+    run = "".join(rng.choices("abcdefXYZ0123456789", k=1_000_000))
+    numbers = " ".join(f"n{k}" for k in range(100_000))
+    found = []
+    for text in (run, numbers):
+        df = stage(spark.createDataFrame([(1, "token = " + text + " mail a@b.cd")], "doc_id long, text string"), "long")
+        begin = time.perf_counter()
+        found.append(pii.candidates(df).collect()[0])
+        assert time.perf_counter() - begin < 20
+    assert [(s.kind, s.start, s.end) for s in found[0].loose] == [("secret", 8, 1_000_008)]
+    assert found[0].loose[0].variety == 1
+    for text, row in zip((run, numbers), found, strict=True):
+        assert [f"{s.kind}:{s.start}:{s.end}" for s in row.base] == brute.base_spans("token = " + text + " mail a@b.cd")
+
+
 def test_lm_base_and_held_out(spark, real):
     rows = QUERIES["op4_lm_scoring"](spark, SF).collect()
     want = brute.base_scores(real)

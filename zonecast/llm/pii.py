@@ -15,7 +15,7 @@ whatever the corpus.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,27 +60,30 @@ def _valid(kind: str, hit: Column) -> Column:
         return F.forall(parts, lambda p: (F.length(small(p)) <= 3) & (F.coalesce(small(p).try_cast("int"), F.lit(0)) <= 255))
     if kind == "card":
         digits = _digits(hit)
-        return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
+        # Most numbers are too short: their digits are not looked at.
+        return (F.length(hit) >= 13) & F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
     if kind == "phone":
         return F.length(_digits(hit)).between(9, 15)
     return F.lit(True)
 
 
-def find(text: Column, pattern: str) -> Column:
-    """All matches from left to right as (start, end, hit) in code points, the end exclusive.
+def find(text: Column, pattern: str, valid: Callable[[Column], Column]) -> Column:
+    """All valid matches from left to right as (start, end, hit) in code points, the end exclusive.
 
     The pieces between the matches come from ``split``; their lengths and the
-    matches' add up to the positions.
+    matches' add up to the positions.  Only valid matches are gathered, so a text
+    with very many numbers takes no longer for each.
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    empty = F.struct(F.lit(0).alias("at"), F.lit([]).cast("array<struct<start:int,end:int,hit:string>>").alias("out"))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         end = start + F.length(x["hit"])
         span = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), x["hit"].alias("hit"))
-        return F.struct(end.cast("int").alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        out = F.when(valid(x["hit"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+        return F.struct(end.cast("int").alias("at"), out.alias("out"))
 
     pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
     return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
@@ -102,14 +105,14 @@ def _features(text: Column, kind: Column, s: Column) -> Column:
     near = F.substr(before, F.greatest(F.length(before) - 3, F.lit(1)), F.lit(4))
     vote = lambda yes, no: F.when(no, -1).when(yes, 1).otherwise(0)
     n_digits, n = F.length(_digits(hit)), F.length(hit)
-    same = F.length(F.regexp_replace(hit, r"(.)(?=.*\1)", ""))
+    different = F.size(F.array_distinct(F.split(hit, "")))
     strict = kind.isin(*BASE) | (kind == "masked_email") | hit.rlike(r"^(?:[0-9a-f]{32,}|\([0-9]{3}\) [0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})$")
     return F.struct(
         kind.alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
         vote(strict, F.lit(False)).alias("shape"),
         vote(before.rlike(rf"(?<![a-z])(?:{CUES})(?![a-z])"), before.rlike(rf"(?<![a-z])(?:{ANTI_CUES})(?![a-z])")).alias("cue"),
         vote(near.rlike(r"[:=]\s?[\"']?$"), near.rlike(r"[a-z0-9_]$")).alias("context"),
-        vote(same >= 6, same <= 3).alias("variety"),
+        vote(different >= 6, different <= 3).alias("variety"),
         near.rlike(r"[\"'(<\[]$").cast("int").alias("quoted"),
         F.when(n < 12, 0).when(n < 24, 1).otherwise(2).alias("long"),
         F.when(n_digits == n, 2).when(n_digits * 2 >= n, 1).otherwise(0).alias("numeric"),
@@ -123,15 +126,16 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """(doc_id, base, loose): arrays of spans with their features; a null text is empty."""
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     t = F.col("t")
-    none = F.lit([]).cast("array<struct<start:int,end:int,hit:string>>")
+    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
     for kind, pattern in BASE.items():
-        rows = rows.withColumn(kind, F.when(GATES[kind](t), find(t, pattern)).otherwise(none))
+        spans = find(t, pattern, lambda hit, kind=kind: _valid(kind, hit))
+        rows = rows.withColumn(kind, F.when(GATES[kind](t), spans).otherwise(none))
     gate = t.rlike(r"[A-Za-z0-9_-]{24}|[0-9]{3}[) .-]|[\[(]at[\])]")
-    rows = rows.withColumn("loose", F.when(gate, find(t, "|".join(f"(?:{p})" for p in LOOSE.values()))).otherwise(none))
+    loose = find(t, "|".join(f"(?:{p})" for p in LOOSE.values()), lambda hit: F.lit(True))
+    rows = rows.withColumn("loose", F.when(gate, loose).otherwise(none))
 
     def valid_spans(kind: str) -> Column:
-        good = F.filter(kind, lambda s: _valid(kind, s["hit"]))
-        return F.transform(good, lambda s: _features(t, F.lit(kind), s))
+        return F.transform(kind, lambda s: _features(t, F.lit(kind), s))
 
     base = F.concat(*map(valid_spans, BASE))
     masked, ident = F.lit(r"[\[(]at[\])]"), F.lit(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$")
@@ -260,5 +264,5 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id", *(f"n_{k}" for k in BASE), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
-        _joined(F.concat("base", "added")).alias("spans"),
+        _joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"),
     )
