@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -170,24 +169,34 @@ def score_traffic(models: dict[str, PipelineModel], df: DataFrame) -> DataFrame:
     return df.select("date", "district", "timeslice", *LEVELS, *[f"{t}p" for t in LEVELS])
 
 
+def errors_by_tree(model: PipelineModel, df: DataFrame, response: str = "gap") -> DataFrame:
+    """(trees, metric, value) of a forest after each of its trees, in one pass.
+
+    Every tree forecasts a row once; the running means over the trees are
+    compared with the response in one aggregate, so no prefix is scored again.
+    """
+    ready = PipelineModel(model.stages[:-1]).transform(df)
+    trees = model.stages[-1].trees
+    for k, tree in enumerate(trees):
+        ready = tree.copy({tree.predictionCol: f"__tree{k}"}).transform(ready)
+    total, aggs = F.lit(0.0), []
+    for k in range(len(trees)):
+        total = total + F.col(f"__tree{k}")
+        off = total / (k + 1) - F.col(response)
+        aggs.append(F.struct(F.avg(F.abs(off)).alias("mae"), F.sqrt(F.avg(off * off)).alias("rmse")).alias(f"e{k}"))
+    sums = ready.select(response, *(f"__tree{k}" for k in range(len(trees)))).agg(*aggs)
+    rows = [
+        F.struct(F.lit(k + 1).alias("trees"), F.lit(m).alias("metric"), F.col(f"e{k}.{m}").alias("value"))
+        for k in range(len(trees)) for m in ("mae", "rmse")
+    ]
+    return sums.select(F.inline(F.array(*rows)))
+
+
 def validate(model: PipelineModel, df: DataFrame, response: str = "gap") -> DataFrame:
-    """(trees, metric, value) on held-out rows: one line per round for boosted trees."""
-    spark, final = df.sparkSession, model.stages[-1]
-    if isinstance(final, GBTRegressionModel):
-        ready = PipelineModel(model.stages[:-1]).transform(df)
-        errors = final.evaluateEachIteration(ready, "absolute")
-        rows = [(k, "mae", float(e)) for k, e in enumerate(errors, start=1)]
-    else:
-        scored = model.transform(df)
-        output = final.getPredictionCol()
-        rows = [
-            (
-                final.getNumTrees,
-                metric,
-                RegressionEvaluator(
-                    labelCol=response, predictionCol=output, metricName=metric
-                ).evaluate(scored),
-            )
-            for metric in ("mae", "rmse")
-        ]
-    return spark.createDataFrame(rows, "trees int, metric string, value double")
+    """(trees, metric, value) on held-out rows after each tree or boosting round."""
+    final = model.stages[-1]
+    if not isinstance(final, GBTRegressionModel):
+        return errors_by_tree(model, df, response)
+    ready = PipelineModel(model.stages[:-1]).transform(df)
+    errors = final.evaluateEachIteration(ready, "absolute")
+    return df.sparkSession.createDataFrame([(k, "mae", float(e)) for k, e in enumerate(errors, start=1)], "trees int, metric string, value double")

@@ -43,33 +43,32 @@ def join_poi(cells: DataFrame, poi: DataFrame, cfg: GridConfig = DEFAULT) -> Dat
     return cells.join(F.broadcast(bounded), "zone", "left")
 
 
-def _gap_matrix(
-    cells: DataFrame, weather: DataFrame, gaps: DataFrame, poi: DataFrame, cfg: GridConfig
-) -> DataFrame:
+NAMES = {"slot": "timeslice", "zone": "districtID", "dest": "destDistrict", **{f"t{i}": f"traffic{i}" for i in (1, 2, 3, 4)}}
+
+
+def _packed(cells: DataFrame, weather: DataFrame, gaps: DataFrame, poi: DataFrame, cfg: GridConfig) -> DataFrame:
+    """Zone grain: every feature that the destinations of a cell share, and ``gaps``, the map of those with a gap."""
     packed = pack_by_dest(gaps).withColumnRenamed("origin", "zone")
     wide = cells.join(packed, ["date", "slot", "zone"], "left")
     wide = spread(join_weather(wide, weather), cfg)
-    wide = join_poi(wide, poi, cfg)
+    return join_poi(wide, poi, cfg).withColumn("day", day_mod7("date"))
+
+
+def packed_matrix(wide: DataFrame) -> DataFrame:
+    """Packed cells under the names of the gap matrix: (date, its columns but id, destDistrict and gap; gaps)."""
+    columns = [c for c in GAP_COLUMNS if c not in ("id", "destDistrict", "gap")]
+    return wide.withColumnsRenamed(NAMES).select("date", *_quoted(columns), "gaps")
+
+
+def _gap_matrix(
+    cells: DataFrame, weather: DataFrame, gaps: DataFrame, poi: DataFrame, cfg: GridConfig, packed: bool = False
+) -> DataFrame:
+    wide = _packed(cells, weather, gaps, poi, cfg)
+    if packed:
+        return packed_matrix(wide)
     gap = F.coalesce(F.try_element_at("gaps", F.col("dest")), F.lit(0).cast("bigint"))
-    return (
-        add_dests(wide, cfg)
-        .withColumns(
-            {
-                "id": od_encode("slot", "zone", "dest"),
-                "day": day_mod7("date"),
-                "gap": gap,
-            }
-        )
-        .withColumnsRenamed(
-            {
-                "slot": "timeslice",
-                "zone": "districtID",
-                "dest": "destDistrict",
-                **{f"t{i}": f"traffic{i}" for i in (1, 2, 3, 4)},
-            }
-        )
-        .select("date", *_quoted(GAP_COLUMNS))
-    )
+    rows = add_dests(wide, cfg).withColumns({"id": od_encode("slot", "zone", "dest"), "gap": gap})
+    return rows.withColumnsRenamed(NAMES).select("date", *_quoted(GAP_COLUMNS))
 
 
 def features_raw(
@@ -79,14 +78,16 @@ def features_raw(
     weather: DataFrame,
     poi: DataFrame,
     cfg: GridConfig = DEFAULT,
+    packed: bool = False,
 ) -> DataFrame:
     """Gap matrix in raw units: negative temperatures clamped, levels and POI counts unscaled.
 
     ``gaps``, ``traffic`` and ``weather`` are the sparse tables of ``gap_counts``,
     ``latest_traffic`` and ``latest_weather``; ``poi`` is an unscaled pivot.
+    ``packed`` gives the cells before the destinations are exploded.
     """
     weather = fill_weather(days, raw_weather(weather), cfg)
-    return _gap_matrix(fill_traffic(days, traffic, cfg), weather, gaps, poi, cfg)
+    return _gap_matrix(fill_traffic(days, traffic, cfg), weather, gaps, poi, cfg, packed)
 
 
 def features_norm(
@@ -96,11 +97,12 @@ def features_norm(
     weather: DataFrame,
     poi: DataFrame,
     cfg: GridConfig = DEFAULT,
+    packed: bool = False,
 ) -> DataFrame:
     """Gap matrix with rescaled traffic, weather and POI, traffic filled."""
     weather = fill_weather(days, scale_weather(weather), cfg)
     cells = scale_traffic(fill_traffic(days, traffic, cfg))
-    return _gap_matrix(cells, weather, gaps, poi, cfg)
+    return _gap_matrix(cells, weather, gaps, poi, cfg, packed)
 
 
 def features_test(
@@ -110,6 +112,7 @@ def features_test(
     weather: DataFrame,
     poi: DataFrame,
     cfg: GridConfig = DEFAULT,
+    packed: bool = False,
 ) -> DataFrame:
     """Gap matrix of days to forecast.
 
@@ -122,7 +125,7 @@ def features_test(
         "date", "slot", "zone", *[observed_or(t, t + "p").alias(t) for t in LEVELS]
     )
     cells = join_traffic(zone_grid(days, cfg), levels)
-    return _gap_matrix(cells, weather, gaps, poi, cfg)
+    return _gap_matrix(cells, weather, gaps, poi, cfg, packed)
 
 
 # -- traffic tables -----------------------------------------------------------
