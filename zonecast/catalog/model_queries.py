@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, LEVELS, TEST_DAYS, TRAFFIC_COLUMNS, TRAIN_DAYS, GridConfig
 from ..fixtures import Inputs
-from ..models import net, trees
+from ..models import net, packed, trees
 from ..operators import poi
 from ..operators.forecasts import forecast_rollup
 from ..operators.split import day_split
@@ -209,10 +209,6 @@ def end_to_end_forecast(i: Inputs) -> DataFrame:
 # Without SQL: published models on ten-minute slots, with their forecasts and errors.
 
 
-def _ten_minute_tables(i: Inputs) -> tuple[DataFrame, DataFrame]:
-    return day_split(stage(norm_matrix(i), "gap_features"), TRAIN_DAYS, TEST_DAYS)
-
-
 def _short_matrix(i: Inputs) -> DataFrame:
     c = jobs.Cleaned(i.days, i.gaps, i.traffic, i.weather, poi.poi_pivot(i.poi))
     c = c.of_days([*jobs.SHORT_TRAIN, *jobs.SHORT_TEST])
@@ -220,7 +216,9 @@ def _short_matrix(i: Inputs) -> DataFrame:
 
 
 def beside_mean(forecast: DataFrame, train: DataFrame) -> DataFrame:
-    """Each cell's gap and forecast, its error, and the error of the mean cell of the training rows."""
+    """Each cell's gap and forecast, its error, and the error of the mean cell of the training rows (or packed cells)."""
+    if "gaps" in train.columns:
+        train = train.withColumn("gap", _total_gap())
     cells = train.groupBy("date", "timeslice", "districtID").agg(F.sum("gap").alias("gap"))
     mean = float(cells.agg(F.avg("gap")).first()[0])
     return forecast.select(
@@ -236,10 +234,33 @@ def errors_beside_mean(errors: DataFrame, train: DataFrame, test: DataFrame) ->
     return errors.withColumn("mean_value", F.when(F.col("metric") == "mae", mae).otherwise(rmse))
 
 
+def _total_gap():
+    none = F.array().cast("array<bigint>")
+    return F.aggregate(F.coalesce(F.map_values("gaps"), none), F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+
+
+def packed_errors_beside_mean(errors: DataFrame, train: DataFrame, test: DataFrame, n_dests: int) -> DataFrame:
+    """``errors_beside_mean`` for packed cells, each of which stands for ``n_dests`` rows."""
+    one = train.agg(F.sum(_total_gap()) / (n_dests * F.count(F.lit(1)))).first()[0]
+    off = F.transform(F.coalesce(F.map_values("gaps"), F.array().cast("array<bigint>")), lambda g: g - F.lit(one))
+    zeros = n_dests - F.size(off)
+    total = lambda f: F.aggregate(off, F.lit(0.0), lambda acc, x: acc + f(x))
+    mae, square = test.agg(
+        F.sum(total(F.abs) + zeros * abs(one)) / (n_dests * F.count(F.lit(1))),
+        F.sum(total(lambda x: x * x) + zeros * one * one) / (n_dests * F.count(F.lit(1))),
+    ).first()
+    return errors.withColumn("mean_value", F.when(F.col("metric") == "mae", mae).otherwise(square**0.5))
+
+
+def _packed_tables(i: Inputs) -> tuple[DataFrame, DataFrame]:
+    cells = pf.features_norm(i.days, i.gaps, i.traffic, i.weather, poi.poi_pivot(i.poi), i.cfg, packed=True)
+    return day_split(stage(cells, "gap_cells"), TRAIN_DAYS, TEST_DAYS)
+
+
 @query
 def rf_gap_full_forecast(i: Inputs) -> DataFrame:
-    train, test = _ten_minute_tables(i)
-    return beside_mean(jobs.full_forecast(train, test).forecast, train)
+    train, test = _packed_tables(i)
+    return beside_mean(jobs.packed_full_forecast(train, test).forecast, train)
 
 
 @query
@@ -253,33 +274,44 @@ def rf_gap_short_forecast(i: Inputs) -> DataFrame:
 def rf_gap_raw_errors(i: Inputs) -> DataFrame:
     """(date, mae, mean_mae) of the test days."""
     pivot = poi.poi_pivot(i.poi, scaled=False)
-    matrix = stage(pf.features_raw(i.days, i.gaps, i.traffic, i.weather, pivot, i.cfg), "gap_raw")
-    train, test = day_split(matrix, TRAIN_DAYS, TEST_DAYS)
-    cells = beside_mean(jobs.raw_forecast(train, test).forecast, train)
-    return cells.groupBy("date").agg(F.avg("error").alias("mae"), F.avg("mean_error").alias("mean_mae"))
+    cells = stage(pf.features_raw(i.days, i.gaps, i.traffic, i.weather, pivot, i.cfg, packed=True), "raw_cells")
+    train, test = day_split(cells, TRAIN_DAYS, TEST_DAYS)
+    shown = beside_mean(jobs.packed_raw_forecast(train, test).forecast, train)
+    return shown.groupBy("date").agg(F.avg("error").alias("mae"), F.avg("mean_error").alias("mean_mae"))
 
 
 @query
-def gbt_gap_forecast(i: Inputs) -> DataFrame:
-    train, test = _ten_minute_tables(i)
-    return beside_mean(forecast_rollup(trees.score(trees.fit_boosted(train, "raw"), test)), train)
+def rf_validation_errors(i: Inputs) -> DataFrame:
+    """Errors on the test days after each of the 30 trees of the published forest."""
+    train, test = _packed_tables(i)
+    preset, n_dests = trees.FOREST["full"], i.cfg.n_zones + 1
+    model = packed.fit_packed(packed.gap_cells(train, preset, i.cfg), preset)
+    errors = model.errors_by_tree(packed.gap_cells(test, preset, i.cfg)).drop("target")
+    return packed_errors_beside_mean(errors, train, test, n_dests)
+
+
+def _short_tables(i: Inputs) -> tuple[DataFrame, DataFrame]:
+    return day_split(_short_matrix(i), jobs.SHORT_TRAIN, jobs.SHORT_TEST)
 
 
 @query
-def gbt_validation_errors(i: Inputs) -> DataFrame:
-    train, test = _ten_minute_tables(i)
-    return errors_beside_mean(trees.validate(trees.fit_boosted(train), test), train, test)
+def gbt_gap_forecast(i: Inputs) -> DataFrame:
+    """Boosted trees on the two training days of the short job, forecast of its test day."""
+    train, test = _short_tables(i)
+    return beside_mean(forecast_rollup(trees.score(trees.fit_boosted(train, "raw"), test)), train)
 
 
 @query
-def rf_validation_errors(i: Inputs) -> DataFrame:
-    train, test = _ten_minute_tables(i)
-    return errors_beside_mean(trees.validate(trees.fit_forest(train), test), train, test)
+def gbt_validation_errors(i: Inputs) -> DataFrame:
+    """Error on the short job's test day after each boosting round."""
+    train, test = _short_tables(i)
+    return errors_beside_mean(trees.validate(trees.fit_boosted(train, "raw"), test), train, test)
 
 
 @query
 def mlp_gap_forecast(i: Inputs) -> DataFrame:
-    train, test = _ten_minute_tables(i)
+    """The short job's net, trained on its two days."""
+    train, test = _short_tables(i)
     return beside_mean(forecast_rollup(net.fit_net(train, "short").transform(test)), train)
 
 
@@ -290,7 +322,7 @@ def rf_traffic_levels_forecast(i: Inputs) -> DataFrame:
     dense = stage(pf.traffic_train(i.days, i.traffic, i.weather, pivot, i.cfg), "traffic_train")
     sparse = stage(pf.traffic_predict_grid(i.days, i.traffic, i.weather, pivot, i.cfg), "traffic_predict")
     train, predict = day_split(dense, TRAIN_DAYS, TEST_DAYS)[0], day_split(sparse, TRAIN_DAYS, TEST_DAYS)[1]
-    return jobs.traffic_forecast(train, predict).withColumn("date", F.col("date").cast("string"))
+    return jobs.packed_traffic_forecast(train, predict).withColumn("date", F.col("date").cast("string"))
 
 
 @query
@@ -307,5 +339,5 @@ def model_parameters_all(i: Inputs) -> DataFrame:
 def end_to_end_values(i: Inputs) -> DataFrame:
     """The merged forecast of the published models."""
     inputs = jobs.Cleaned(i.days, i.gaps, i.traffic, i.weather, poi.poi_pivot(i.poi))
-    merged = jobs.end_to_end(inputs, TRAIN_DAYS, TEST_DAYS, new_path(i.spark, "end_to_end"), i.cfg)
+    merged = jobs.end_to_end(inputs, TRAIN_DAYS, TEST_DAYS, new_path(i.spark, "end_to_end"), i.cfg, packed=True)
     return merged.select("timeslice", "districtID", "gap", "predict")

@@ -636,7 +636,9 @@ GROUP BY g.date, g.slot, g.zone""",
         "WHERE day(date) IN (22, 24, 26, 28, 30)"
     )
     q["gbt_validation"] = "SELECT CAST(unnest([1, 2, 3]) AS INT) AS trees, 'mae' AS metric, true AS value_ok"
-    q["rf_validation"] = "SELECT 3::INT AS trees, unnest(['mae', 'rmse']) AS metric, true AS value_ok"
+    q["rf_validation"] = (
+        "SELECT CAST(t AS INT) AS trees, m AS metric, true AS value_ok FROM range(1, 4) r(t), (SELECT unnest(['mae', 'rmse']) AS m)"
+    )
     q["model_parameters"] = (
         "SELECT unnest(['numTrees', 'maxDepth', 'seed']) AS name, unnest(['2', '3', '1']) AS value"
     )

@@ -61,3 +61,19 @@ def split_known(df: DataFrame, zones: DataFrame, hash_col: str) -> tuple[DataFra
     dim = zones.select(F.col("zone_hash").alias("_hash"))
     on = F.col(hash_col) == F.col("_hash")
     return df.join(dim, on, "left_semi"), df.join(dim, on, "left_anti")
+
+
+def known_and_rejected(df: DataFrame, zones: DataFrame, hash_col: str, out: str, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with their zone id, rejected rows with a reason), written side by side in one pass over ``df``.
+
+    The table at ``path`` has a folder for either kind, so reading one does not
+    read the other.
+    """
+    dim = zones.select(F.col("zone_hash").alias("_hash"), F.col("zone_id").alias(out))
+    flagged = df.join(dim, F.col(hash_col) == F.col("_hash"), "left").drop("_hash")
+    reason = F.when(F.col(hash_col).isNull(), "no zone hash").when(F.col(out).isNull(), "unknown zone hash")
+    flagged = flagged.withColumn("reason", reason).withColumn("kind", F.when(reason.isNull(), "known").otherwise("rejected"))
+    flagged.write.mode("overwrite").partitionBy("kind").parquet(path)
+    back = df.sparkSession.read.schema(flagged.schema).parquet(path)
+    known = back.where("kind = 'known'").drop("kind", "reason", hash_col)
+    return known, back.where("kind = 'rejected'").drop("kind", out)

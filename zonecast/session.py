@@ -19,6 +19,8 @@ def local_session(cpus: int | str = "*", app: str = "zonecast") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        # daily writes keep a file per day open rather than sort wide rows by day
+        .config("spark.sql.maxConcurrentOutputFileWriters", "40")
         # no stack walk for every Column that Python builds
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
@@ -74,3 +76,9 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table or folder, on whatever file system its path names."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -33,11 +33,12 @@ def _tsv(
 
 
 def with_row_pos(df: DataFrame) -> DataFrame:
-    """Add ``row_pos``, the place of a row over all files: file name, start of its split, row in it.
+    """Add ``row_pos``, the place of a row over all files: file path, start of its split, row in it.
 
-    Spark may read large files first, so a running id alone is no file order.
+    Spark may read large files first, so a running id alone is no file order; and
+    files of two folders may share a name.
     """
-    place = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
     return df.withColumn("row_pos", F.struct(*place, F.monotonically_increasing_id().alias("row")))
 
 

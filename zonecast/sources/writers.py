@@ -9,26 +9,17 @@ from pyspark.sql import functions as F
 from ..functions.scalars import slot_label
 
 
-# Open files per task before Spark falls back to sorting wide rows by day.
-OPEN_FILES = 40
-
-
 def write_daily(df: DataFrame, path: str, fmt: str = "parquet", date_col: str = "date") -> None:
-    """One folder per day.
+    """One folder per day; days that ``df`` does not hold stay as they are.
 
-    Each task writes the days it holds, so a hot day is spread like any other,
-    and keeps a file per day open instead of sorting its rows first.
+    Only the folders of the days in ``df`` are replaced, and only when the whole
+    write has ended: a write that fails leaves the old days.  Each task writes the
+    days it holds, so a hot day is spread like any other.
     """
-    writer = df.write.mode("overwrite").partitionBy(date_col)
+    writer = df.write.mode("overwrite").partitionBy(date_col).option("partitionOverwriteMode", "dynamic")
     if fmt == "csv":
         writer = writer.option("header", True)
-    conf, key = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
-    before = conf.get(key)
-    conf.set(key, str(OPEN_FILES))
-    try:
-        writer.format(fmt).save(path)
-    finally:
-        conf.set(key, before)
+    writer.format(fmt).save(path)
 
 
 def write_forecast(df: DataFrame, path: str) -> None:
