@@ -16,6 +16,8 @@ import numpy as np
 F32 = np.float32
 #: Widths of the state and of a symbol's input.
 HIDDEN, EMBED = 24, 16
+#: Bound of a logit either way.
+LIMIT = F32(60)
 
 
 @dataclass(frozen=True)
@@ -65,16 +67,21 @@ def initial(classes: Classes, hidden: int = HIDDEN, embed: int = EMBED, seed: in
 
 
 def _softmax(logits: np.ndarray, y: np.ndarray, slopes: bool) -> np.ndarray:
-    """Log probability of each target; ``logits`` become the slopes of its negative, if asked for."""
-    row = np.arange(len(y))
-    logits -= logits.max(1, keepdims=True)
-    own = logits[row, y]
+    """Log probability of each target; a column of ``logits`` is a token.
+
+    ``logits`` become the slopes of the negative log probability, if asked for.
+    They are held within ``LIMIT``, far above what the state can add to a bias, so
+    that nothing overflows.
+    """
+    token = np.arange(len(y))
+    np.clip(logits, -LIMIT, LIMIT, out=logits)
+    own = logits[y, token]
     np.exp(logits, out=logits)
-    total = logits.sum(1, keepdims=True)
+    total = logits.sum(0)
     if slopes:
-        logits /= total
-        logits[row, y] -= 1
-    return own - np.log(total[:, 0])
+        logits *= 1 / total
+        logits[y, token] -= 1
+    return own - np.log(total)
 
 
 def _step(w: dict, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -104,24 +111,24 @@ def _output(w: dict, classes: Classes, h: np.ndarray, y: np.ndarray, grad: dict
     order = np.argsort(kind.astype(np.int16), kind="stable")  # at most 65 classes: a radix sort
     h, y, kind = h[order], y[order], kind[order]
     cut = np.searchsorted(kind, np.arange(len(classes.edges)))
-    d = h @ w["class_w"].T
-    d += w["class_b"]
+    d = w["class_w"] @ h.T
+    d += w["class_b"][:, None]
     logp = _softmax(d, kind, grad is not None).astype(np.float64)
     back = h
     if grad is not None:
-        grad["class_w"], grad["class_b"] = d.T @ h, d.sum(0)
-        back = d @ w["class_w"]
+        grad["class_w"], grad["class_b"] = d @ h, d.sum(1)
+        back = d.T @ w["class_w"]
     for c in range(len(classes.edges) - 1):
         lo, hi, at, to = classes.edges[c], classes.edges[c + 1], cut[c], cut[c + 1]
         if hi - lo > 1 and to > at:
             state, weights = h[at:to], w["word_w"][lo:hi]
-            d = state @ weights.T
-            d += w["word_b"][lo:hi]
+            d = weights @ state.T
+            d += w["word_b"][lo:hi, None]
             logp[at:to] += _softmax(d, y[at:to] - lo, grad is not None)
             if grad is not None:
-                np.matmul(d.T, state, out=grad["word_w"][lo:hi])
-                np.sum(d, 0, out=grad["word_b"][lo:hi])
-                back[at:to] += d @ weights
+                np.matmul(d, state, out=grad["word_w"][lo:hi])
+                np.sum(d, 1, out=grad["word_b"][lo:hi])
+                back[at:to] += d.T @ weights
     out, unsorted = np.empty_like(logp), np.empty_like(back)
     out[order], unsorted[order] = logp, back
     return out, unsorted
@@ -134,8 +141,13 @@ def _lockstep(texts: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.n
     return order, sizes[order], np.concatenate([[0], np.cumsum(sizes[order])[:-1]])
 
 
-def scores(w: dict, classes: Classes, texts: Sequence[np.ndarray], window: int = 64) -> np.ndarray:
-    """Natural log probability of each whole text; the state is carried from window to window."""
+def scores(w: dict, classes: Classes, texts: Sequence[np.ndarray], window: int = 1 << 14) -> np.ndarray:
+    """Natural log probability of each whole text.
+
+    Texts run side by side, each with its state from its first symbol to its
+    last.  Outputs are computed for at least ``window`` symbols at a time, so the
+    long texts that go on alone do so in long windows.
+    """
     out = np.zeros(len(texts))
     order, sizes, offset = _lockstep(texts)
     if not len(texts) or not sizes.sum():
@@ -144,17 +156,20 @@ def scores(w: dict, classes: Classes, texts: Sequence[np.ndarray], window: int =
     h = np.zeros((len(texts), w["loop"].shape[0]), F32)
     last = np.full(len(texts), classes.n + 1)
     enters = w["embed"] @ w["enter"]
-    for start in range(0, int(sizes[0]), window):
-        states, targets, owners = [], [], []
-        for t in range(start, min(start + window, int(sizes[0]))):
-            live = int(np.searchsorted(-sizes, -t, side="left"))
-            h = _step(w, enters[last[:live]], h[:live])[0]
-            last = flat[offset[:live] + t]
-            states.append(h)
-            targets.append(last)
-            owners.append(order[:live])
-        owner = np.concatenate(owners)
-        out += np.bincount(owner, _output(w, classes, np.concatenate(states), np.concatenate(targets))[0], minlength=len(texts))
+    # How many texts are longer than t.
+    lives = len(texts) - np.searchsorted(sizes[::-1], np.arange(int(sizes[0])), side="right")
+    states, targets, owners, held = [], [], [], 0
+    for t, live in enumerate(lives.tolist()):
+        h = _step(w, enters[last[:live]], h[:live])[0]
+        last = flat[offset[:live] + t]
+        states.append(h)
+        targets.append(last)
+        owners.append(order[:live])
+        held += live
+        if held >= window or t + 1 == len(lives):
+            logp = _output(w, classes, np.concatenate(states), np.concatenate(targets))[0]
+            out += np.bincount(np.concatenate(owners), logp, minlength=len(texts))
+            states, targets, owners, held = [], [], [], 0
     return out
 
 

@@ -234,6 +234,24 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols, classes, weights = shared.value
+        rows, texts, tokens = [], [], 0
+
+        def scored() -> pa.RecordBatch:
+            docs, train, sizes, known, base, rare = (np.concatenate(x) for x in zip(*rows, strict=True))
+            model = gru.scores(weights, classes, texts) / math.log(10) + rare
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(docs, pa.int64()),
+                    pa.array(~train.astype(bool), pa.bool_()),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(known.astype(np.int64), pa.int64()),
+                    pa.array(np.full(len(docs), n), pa.int64()),
+                    pa.array(base, pa.float64()),
+                    pa.array(model, pa.float64()),
+                ],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
         for row in each_row(batches):
             b = _Block(row)
             parts = sorted(row["replies"], key=lambda r: r["range"])
@@ -243,21 +261,16 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             rare = np.where(symbol == classes.n, np.log10((c + 0.1) / (rest + 0.1 * (rare_types + 1))), 0.0)
             owner = np.repeat(np.arange(len(b.docs)), b.sizes)
             total = lambda x: np.bincount(owner, x[b.codes], minlength=len(b.docs))
-            flat = symbol[b.codes]
-            texts = np.split(flat, np.cumsum(b.sizes)[:-1])
-            model = gru.scores(weights, classes, texts) / math.log(10) + total(rare)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(b.docs, pa.int64()),
-                    pa.array(~b.train, pa.bool_()),
-                    pa.array(b.sizes, pa.int64()),
-                    pa.array(total((c > 0).astype(float)).astype(np.int64), pa.int64()),
-                    pa.array(np.full(len(b.docs), n), pa.int64()),
-                    pa.array(total(base), pa.float64()),
-                    pa.array(model, pa.float64()),
-                ],
-                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+            ids = np.array(b.docs, object)
+            rows.append((ids, b.train, b.sizes, total((c > 0).astype(float)), total(base), total(rare)))
+            texts += np.split(symbol[b.codes].astype(np.int32), np.cumsum(b.sizes)[:-1])
+            tokens += int(b.sizes.sum())
+            # Texts of several blocks run side by side.
+            if tokens >= LANE_TOKENS:
+                yield scored()
+                rows, texts, tokens = [], [], 0
+        if rows:
+            yield scored()
 
     replies = counted.groupBy("block").agg(F.collect_list(F.struct("range", "counts")).alias("replies"))
     return body.join(replies, "block").mapInArrow(
