@@ -2,16 +2,22 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import numpy as np
 import pytest
+from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 from zonecast.catalog import model_queries
 from zonecast.operators.split import day_split
 from zonecast.config import GAP_COLUMNS, LEVELS, POI_COLUMNS, TEST_DAYS, TRAIN_DAYS, GridConfig
-from zonecast.models import net, trees
+from zonecast.models import net, packed, trees
+from zonecast.operators.forecasts import forecast_rollup
 from zonecast.operators.prepare import impute_mean
 from zonecast.plans import features as pf
 from zonecast.plans import forecast as jobs
+from zonecast.plans.stages import Stages
 from zonecast.session import new_path, stage
 from zonecast.sources.writers import load_model, model_params, save_model
 
@@ -100,14 +106,120 @@ def test_saved_model_gives_the_same_forecast(spark, tables):
     assert model_params(load_model(path))["maxDepth"] == "6"
 
 
-def test_net(tables):
+def test_net(tables, spark):
+    """Better than the mean, saved and loaded with its pipeline, and read back parameter by parameter."""
     train, test = tables
     model = net.fit_net(train, "full", hidden=(16, 16), epochs=3)
-    scored = model.transform(test)
+    scored = trees.score(model, test)
     assert scored.columns == [*test.columns, "predict"] and scored.count() == test.count()
     assert mae(scored) < baseline(train, test)
-    again = net.fit_net(train, "full", hidden=(16, 16), epochs=3)
-    assert (model.weights == pytest.approx(again.weights, rel=1e-9))
+    path = new_path(spark, "net")
+    save_model(model, path)
+    loaded = load_model(path)
+    keys = ["date", "id", "predict"]
+    assert sorted(scored.select(keys).collect()) == sorted(trees.score(loaded, test).select(keys).collect())
+    assert jobs.rescore(path, test).count() == forecast_rollup(scored).count()
+    before, after = model_params(model), model_params(loaded)
+    assert before == after and {"hidden", "levels", "numbers", "weights", "seed", "predictionCol"} <= set(before)
+
+
+def test_net_does_not_depend_on_the_layout(tables):
+    """Equal weights for two and for eight partitions of the training rows."""
+    train, _ = tables
+    found = [net.fit_net(train.repartition(n), "full", hidden=(8,), epochs=2, replicas=4).stages[-1] for n in (2, 8)]
+    weights = [np.array(m.getOrDefault(m.weights)) for m in found]
+    assert np.allclose(weights[0], weights[1], rtol=1e-6, atol=1e-9)
+
+
+def test_net_errors_by_epoch(tables):
+    """The last line is the error of the model; accumulators go on, so two epochs are not one epoch twice."""
+    train, test = tables
+    model, errors = net.errors_by_epoch(train, test, "full", hidden=(8,), epochs=3)
+    lines = {(r.epoch, r.metric): r.value for r in errors.collect()}
+    assert len(lines) == 6
+    scored = trees.score(model, test)
+    for metric in ("mae", "rmse"):
+        want = RegressionEvaluator(labelCol="gap", predictionCol="predict", metricName=metric).evaluate(scored)
+        assert lines[3, metric] == pytest.approx(want, rel=1e-9)
+
+
+def test_forest_errors_by_tree(tables):
+    """One line a tree and metric; the last is the evaluator's, the first that of a forest of the first tree."""
+    train, test = tables
+    model = trees.fit_forest(train, replace(trees.FOREST["full"], trees=4, depth=4))
+    lines = {(r.trees, r.metric): r.value for r in trees.validate(model, test).collect()}
+    assert len(lines) == 8
+    scored = trees.score(model, test)
+    for metric in ("mae", "rmse"):
+        want = RegressionEvaluator(labelCol="gap", predictionCol="predict", metricName=metric).evaluate(scored)
+        assert lines[4, metric] == pytest.approx(want, rel=1e-9)
+
+
+def _cells(spark, n_dests=5):
+    rng, rows = np.random.default_rng(0), []
+    for date in range(4):
+        for slot in range(1, 13):
+            for zone in range(1, 7):
+                a, b = float(rng.integers(0, 6)), float(rng.integers(0, 4))
+                gaps = {d: float(rng.normal() + (slot > 6) * d + a * (zone == 2)) for d in range(n_dests) if rng.random() < 0.7}
+                rows.append((date, slot, zone, a, b, gaps))
+    kind = "date int, timeslice int, districtID int, a double, b double, gaps map<int,double>"
+    cells = stage(spark.createDataFrame(rows, kind).repartition(3), "cells")
+    arrays = cells.withColumns({"dests": F.map_keys("gaps"), "gap": F.map_values("gaps")})
+    keys = ("date", "timeslice", "districtID")
+    return cells, packed.Packed(arrays, keys, ("timeslice", "districtID"), ("a", "b"), ("gap",), n_dests)
+
+
+def test_packed_tree_is_the_tree_of_the_exploded_rows(spark):
+    """One tree on all rows and features forecasts what Spark's own tree does."""
+    cells, data = _cells(spark)
+    model = packed.fit_packed(data, trees.Preset(trees=1, depth=5, drop_constant=False), sample=1.0, third=False)
+    keys = ["date", "timeslice", "districtID"]
+    mine = model.score(data, keys).select(*keys, F.posexplode("gap_predict").alias("dest", "mine"))
+    rows = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("dest"))
+    rows = rows.withColumn("gap", F.coalesce(F.try_element_at("gaps", F.col("dest")), F.lit(0.0)))
+    indexed = StringIndexer(inputCols=["timeslice", "districtID", "dest"], outputCols=["i0", "i1", "i2"]).fit(rows).transform(rows)
+    ready = VectorAssembler(inputCols=["i0", "i1", "a", "b", "i2"], outputCol="features").transform(indexed)
+    tree = RandomForestRegressor(
+        numTrees=1, maxDepth=5, featureSubsetStrategy="all", bootstrap=False, subsamplingRate=1.0, labelCol="gap"
+    ).fit(ready)
+    both = tree.transform(ready).join(mine, [*keys, "dest"])
+    assert both.count() == 1440 and both.where("abs(mine - prediction) > 1e-9").isEmpty()
+
+
+def test_packed_forest(spark):
+    """Layout does not matter, NULL and unseen values have a place, errors run over the trees, saving keeps all."""
+    cells, data = _cells(spark)
+    preset = trees.Preset(trees=6, depth=6, seed=5, drop_constant=False)
+    model = packed.fit_packed(data, preset)
+    other = packed.fit_packed(replace(data, cells=data.cells.repartition(7)), preset)
+    assert np.array_equal(model.trees.feature, other.trees.feature) and np.allclose(model.trees.value, other.trees.value)
+    keys = ["date", "timeslice", "districtID"]
+    odd = data.cells.withColumns({"timeslice": F.lit(99), "a": F.lit(None).cast("double"), "dests": F.lit(None).cast("array<int>")})
+    strange = replace(data, cells=odd.withColumn("gap", F.lit(None).cast("array<double>")))
+    assert model.score(strange, keys).where("exists(gap_predict, x -> x is null or isnan(x))").isEmpty()
+    lines = {(r.trees, r.metric): r.value for r in model.errors_by_tree(data).collect()}
+    assert len(lines) == 12 and lines[6, "rmse"] < lines[1, "rmse"]
+    long = model.score(data, [*keys, "gaps"]).select("gaps", F.posexplode("gap_predict").alias("dest", "p"))
+    off = F.col("p") - F.coalesce(F.try_element_at("gaps", F.col("dest")), F.lit(0.0))
+    assert lines[6, "mae"] == pytest.approx(long.agg(F.avg(F.abs(off))).first()[0], rel=1e-9)
+    path = new_path(spark, "packed")
+    model.save(spark, path)
+    loaded = packed.PackedForest.load(spark, path)
+    assert sorted(map(str, loaded.score(data, keys).collect())) == sorted(map(str, model.score(data, keys).collect()))
+    empty = replace(data, cells=data.cells.where("date > 100"))
+    assert packed.fit_packed(empty, preset).score(data, keys).count() == cells.count()
+
+
+def test_packed_sample_is_a_share(spark):
+    """A tree learns from about the given share of the rows, and two trees from different ones."""
+    _, data = _cells(spark, 67)
+    bins = packed.make_bins(data, 20, False)
+    batch = data.rows().toArrow().combine_chunks().to_batches()[0]
+    block = packed.Block(batch, bins, [0, 1, 2, 3], 1)
+    sets = [block.sampled(k, 3, 0.632) for k in (0, 1)]
+    share = [np.bitwise_count(s).sum() / (67 * block.n) for s in (*sets, sets[0] & sets[1])]
+    assert share[0] == pytest.approx(0.632, abs=0.02) and share[2] == pytest.approx(0.632**2, abs=0.02)
 
 
 def test_net_gradient():
@@ -169,6 +281,78 @@ def test_end_to_end(spark, inputs):
     assert back.count() == merged.count()
 
 
+def test_a_run_goes_on_where_it_ended(spark, inputs, monkeypatch):
+    """Killed at its fourth step, the second call starts there; the third call does nothing; counts ride along."""
+    out, made = new_path(spark, "run"), []
+    small = replace(trees.FOREST["traffic"], trees=2, depth=3), replace(trees.FOREST["full"], trees=2, depth=4)
+
+    def cleaned():
+        made.append("inputs")
+        return inputs
+
+    def go():
+        return jobs.end_to_end(cleaned, TRAIN_DAYS, TEST_DAYS, out, CFG, *small, packed=True)
+
+    for name in ("traffic_train", "traffic_observed", "traffic_predict_grid", "features_norm", "features_test"):
+        real = getattr(pf, name)
+        monkeypatch.setattr(pf, name, lambda *a, real=real, name=name: made.append(name) or real(*a))
+    with monkeypatch.context() as broken:
+        broken.setattr(jobs, "packed_traffic_forecast", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            go()
+    assert made == ["inputs", "traffic_train", "traffic_observed", "traffic_predict_grid"]
+    first = go()
+    assert made[4:] == ["features_norm", "features_test"] and first.count() == 3 * 4 * 8
+    again = go()
+    assert len(made) == 6 and sorted(again.collect()) == sorted(first.collect())
+    lines = {r.name: r for r in Stages(spark, out, "").audit().collect()}
+    assert lines["traffic_predict"].n_rows == 3 * 4 * 8 and lines["traffic_predict"].first_day == "2024-01-22"
+    assert lines["gap_train"].n_rows == 21 * 4 * 8 and {"forecast", "merged"} <= set(lines)
+    # The cleaned tables are gone.
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(f"{out}/cleaned_gaps")
+
+
+def test_packed_jobs(spark, inputs):
+    """Cells in, forecasts out: the validation has a line a tree, a saved forest forecasts the same."""
+    cells = stage(pf.features_norm(inputs.days, inputs.gaps, inputs.traffic, inputs.weather, inputs.poi, CFG, packed=True), "cells")
+    assert cells.count() == 26 * 4 * 8 and "destDistrict" not in cells.columns
+    train, test = day_split(cells, TRAIN_DAYS, TEST_DAYS)
+    preset, path = replace(trees.FOREST["full"], trees=5, depth=8), new_path(spark, "forest")
+    full = jobs.packed_full_forecast(train, test, preset, path, CFG)
+    shown = model_queries.beside_mean(full.forecast, train)
+    error, mean_error = shown.agg(F.avg("error"), F.avg("mean_error")).first()
+    assert shown.count() == 3 * 4 * 8 and error < mean_error
+    assert {(r.trees, r.metric) for r in full.validation.collect()} == {(k, m) for k in range(1, 6) for m in ("mae", "rmse")}
+    again = jobs.packed_rollup(packed.PackedForest.load(spark, path), test, preset, 0.5, CFG)
+    assert sorted(again.collect()) == sorted(full.forecast.collect())
+    raw = jobs.packed_raw_forecast(train, test, replace(preset, ignored=("id", "weather")), CFG)
+    assert {r.date.day for r in raw.validation.collect()} == {22, 24, 26}
+    # The errors of the mean agree with those of the exploded rows.
+    dests = CFG.n_zones + 1
+    lines = model_queries.packed_errors_beside_mean(full.validation, train, test, dests).collect()
+    long = lambda c: c.select(F.explode(F.sequence(F.lit(0), F.lit(dests - 1))).alias("d"), "gaps").select(
+        F.coalesce(F.try_element_at("gaps", F.col("d")), F.lit(0)).alias("gap")
+    )
+    mean = long(train).agg(F.avg("gap")).first()[0]
+    off = F.col("gap") - mean
+    mae, rmse = long(test).agg(F.avg(F.abs(off)), F.sqrt(F.avg(off * off))).first()
+    assert all(r.mean_value == pytest.approx(mae if r.metric == "mae" else rmse, rel=1e-9) for r in lines)
+
+
+def test_packed_traffic(spark, inputs):
+    """All four levels at once; unobserved cells are forecast too, and their level stays NULL."""
+    train = pf.traffic_train(inputs.days, inputs.traffic, inputs.weather, inputs.poi, CFG)
+    grid = pf.traffic_predict_grid(inputs.days, inputs.traffic, inputs.weather, inputs.poi, CFG)
+    scored = jobs.packed_traffic_forecast(train, grid, replace(trees.FOREST["traffic"], trees=8, depth=8))
+    assert scored.columns == ["date", "district", "timeslice", *LEVELS, *[f"{t}p" for t in LEVELS]]
+    assert scored.count() == 26 * 4 * 8 and 0 < scored.where("t1 is null").count() < 26 * 4 * 8
+    seen = scored.where("t1 is not null")
+    for t in LEVELS:
+        error, spread = seen.agg(F.avg(F.abs(F.col(t) - F.col(f"{t}p"))), F.stddev(t)).first()
+        assert error < 0.5 * spread
+
+
 def test_mean_of_training_rows(spark):
     df = spark.createDataFrame([(1.0,), (3.0,), (None,)], "a double")
     assert [r.a for r in impute_mean(df, ["a"]).collect()] == [1.0, 3.0, 2.0]

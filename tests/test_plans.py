@@ -8,8 +8,10 @@ from collections import Counter
 import pytest
 from conftest import SF
 
+from pyspark.sql import functions as F
+
 from zonecast.fixtures import Inputs
-from zonecast.operators import fill, grids, poi, series
+from zonecast.operators import fill, gaps, grids, poi, series
 from zonecast.plans import features as pf
 
 
@@ -34,6 +36,30 @@ def test_zone_lookups_are_broadcast_and_counts_combine_early(inputs):
     assert len(fact) == 1 and "value" not in re.search(r"ReadSchema.*", fact[0])[0]
 
 
+def test_served_orders_go_before_the_second_lookup(inputs):
+    """The driver is looked at once the origin is known, below the destination's lookup and the count."""
+    lines = plan(inputs.gaps).splitlines()
+    at = lambda what: [k for k, line in enumerate(lines) if what in line]
+    filters = [k for k in at("Filter") if "raise_error" in lines[k]]
+    joins = at("BroadcastHashJoin")
+    assert len(filters) == 1 and joins[0] < filters[0] < joins[1]
+    assert max(at("partial_count")) < filters[0]
+
+
+def test_a_served_order_of_an_unknown_origin_fails(spark):
+    zones = spark.createDataFrame([("a", 1), ("b", 2)], "zone_hash string, zone_id int")
+    kind = "driver_id string, start_hash string, dest_hash string, ts timestamp"
+    good = [("NULL", "a", "b", None), ("d1", "b", "x", None), ("NULL", "b", "x", None)]
+    ts = F.to_timestamp(F.lit("2024-01-01 10:00:00"))
+    count = lambda rows, **how: gaps.gap_counts(
+        spark.createDataFrame(rows, kind).withColumn("ts", ts), zones, **how
+    ).collect()
+    assert sorted((r.origin, r.dest, r.gap) for r in count(good)) == [(1, 2, 1), (2, 0, 1)]
+    with pytest.raises(Exception, match="unknown zone hash: z"):
+        count([*good, ("d2", "z", "a", None)])
+    assert len(count([*good, ("d2", "z", "a", None)], strict=False)) == 2
+
+
 def scans(text: str) -> Counter:
     found = re.findall(r"FileScan parquet \[(.*?)\]", text)
     return Counter(re.sub(r"#\d+L?", "", columns) for columns in found)

@@ -9,6 +9,7 @@ from world import DAYS, World
 from zonecast.functions.scalars import is_unserved
 from zonecast.operators import dims, latest, poi, quality, split
 from zonecast.operators.forecasts import first_rows, forecast_rollup, mean_abs_error, merge_forecasts
+from zonecast.session import new_path, stage
 from zonecast.sources import readers, schemas, writers
 
 
@@ -80,6 +81,48 @@ def test_daily_tables(spark, tmp_path, fmt):
     assert one_day.count() == 4 and "PartitionFilters: [isnotnull(date" in plan
 
 
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_a_day_is_written_anew_and_the_others_stay(spark, tmp_path, fmt):
+    path = str(tmp_path / "t")
+    cols = ["date", *schemas.FORECAST.names]
+    df = forecast(spark).select(*cols)
+    days = [df.where(F.dayofmonth("date") == d) for d in (22, 24)]
+    for day in days:
+        writers.write_daily(day, path, fmt)
+    writers.write_daily(days[0].withColumn("gap", F.col("gap") + 10), path, fmt)
+    back = readers.read_forecast(spark, path, fmt)
+    assert sorted(r.gap for r in back.collect()) == [1, 1, 2, 2, 11, 11, 12, 12]
+    # A write that fails leaves the old days.
+    bad = days[1].withColumn("gap", F.when(F.col("districtID") == 2, F.raise_error("broken").cast("bigint")).otherwise(0))
+    with pytest.raises(Exception, match="broken"):
+        writers.write_daily(bad, path, fmt)
+    assert sorted(r.gap for r in back.collect()) == [1, 1, 2, 2, 11, 11, 12, 12]
+
+
+def test_files_of_one_name_are_told_apart(spark, tmp_path):
+    """Two folders with files of the same name: rows are placed by folder, then by line."""
+    for folder in ("b", "a"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "part-0.tsv").write_text("".join(f"{folder}{k}\t{k + 1}\n" for k in range(3)))
+    zones = readers.read_zones(spark, [str(tmp_path / "b"), str(tmp_path / "a")])
+    assert [r.zone_hash for r in zones.orderBy("row_pos").collect()] == ["a0", "a1", "a2", "b0", "b1", "b2"]
+
+
+def test_rejects_are_written_beside_known_rows(spark):
+    """Counts add up, reasons are given, and the input is scanned once."""
+    rows = [(k, None if k % 7 == 0 else f"h{k % 5}") for k in range(70)]
+    df = stage(spark.createDataFrame(rows, "k int, zone_hash string"), "rows")
+    zones = spark.createDataFrame([(f"h{z}", z + 1) for z in range(3)], "zone_hash string, zone_id int")
+    path = new_path(spark, "known")
+    known, rejected = dims.known_and_rejected(df, F.broadcast(zones), "zone_hash", "zone", path)
+    assert known.columns == ["k", "zone"] and rejected.columns == ["k", "zone_hash", "reason"]
+    assert known.count() + rejected.count() == 70
+    assert {(r.k, r.zone) for r in known.collect()} == {(k, int(h[1]) + 1) for k, h in rows if h and int(h[1]) < 3}
+    assert {r.reason for r in rejected.collect()} == {"no zone hash", "unknown zone hash"}
+    text = known._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 1 and "PartitionFilters: [isnotnull(kind" in text
+
+
 def test_csv_with_other_columns_fails(spark, tmp_path):
     path = str(tmp_path / "t")
     writers.write_daily(forecast(spark).select("date", "districtID", "timeslice", "gap", "predict"), path, "csv")
