@@ -4,8 +4,9 @@ Each job is there twice.  The queries with SQL use every row of the tables on a
 calendar of wider slots (8 hours for the gap matrix, 1 hour for traffic), most
 with small models, and show keys, gaps and properties of the forecast that must
 hold.  Those without SQL (``…_forecast``, ``…_errors``, ``model_parameters_all``,
-``end_to_end_values``) run the published models on ten-minute slots and show the
-forecasts, and errors beside those of the mean of the training rows.
+``end_to_end_values``) work on ten-minute slots and show the forecasts, and errors
+beside those of the mean of the training rows: the gap forests in their published
+size on packed cells of all days, the others on the days of the short job.
 """
 
 from __future__ import annotations
@@ -315,14 +316,20 @@ def mlp_gap_forecast(i: Inputs) -> DataFrame:
     return beside_mean(forecast_rollup(net.fit_net(train, "short").transform(test)), train)
 
 
+#: Depth of the traffic forests that end here: the published 20 gives a leaf for nearly every row of 200 trees.
+TRAFFIC_DEPTH = 10
+
+
 @query
 def rf_traffic_levels_forecast(i: Inputs) -> DataFrame:
-    """Observed and forecast levels of every cell of the test days."""
+    """Observed and forecast levels of every cell of the short job's test day."""
     pivot = poi.poi_pivot(i.poi)
-    dense = stage(pf.traffic_train(i.days, i.traffic, i.weather, pivot, i.cfg), "traffic_train")
-    sparse = stage(pf.traffic_predict_grid(i.days, i.traffic, i.weather, pivot, i.cfg), "traffic_predict")
-    train, predict = day_split(dense, TRAIN_DAYS, TEST_DAYS)[0], day_split(sparse, TRAIN_DAYS, TEST_DAYS)[1]
-    return jobs.packed_traffic_forecast(train, predict).withColumn("date", F.col("date").cast("string"))
+    c = jobs.Cleaned(i.days, i.gaps, i.traffic, i.weather, pivot)
+    train, test = c.of_days(jobs.SHORT_TRAIN), c.of_days(jobs.SHORT_TEST)
+    dense = stage(pf.traffic_train(train.days, train.traffic, train.weather, pivot, i.cfg), "traffic_train")
+    sparse = stage(pf.traffic_predict_grid(test.days, test.traffic, test.weather, pivot, i.cfg), "traffic_predict")
+    preset = replace(trees.FOREST["traffic"], depth=TRAFFIC_DEPTH)
+    return jobs.packed_traffic_forecast(dense, sparse, preset).withColumn("date", F.col("date").cast("string"))
 
 
 @query
@@ -337,7 +344,10 @@ def model_parameters_all(i: Inputs) -> DataFrame:
 
 @query
 def end_to_end_values(i: Inputs) -> DataFrame:
-    """The merged forecast of the published models."""
+    """The merged forecast of the short job's days: its published gap forest, traffic forests of ``TRAFFIC_DEPTH``."""
     inputs = jobs.Cleaned(i.days, i.gaps, i.traffic, i.weather, poi.poi_pivot(i.poi))
-    merged = jobs.end_to_end(inputs, TRAIN_DAYS, TEST_DAYS, new_path(i.spark, "end_to_end"), i.cfg, packed=True)
+    merged = jobs.end_to_end(
+        inputs, jobs.SHORT_TRAIN, jobs.SHORT_TEST, new_path(i.spark, "end_to_end"), i.cfg,
+        replace(trees.FOREST["traffic"], depth=TRAFFIC_DEPTH), trees.FOREST["short"], packed=True,
+    )
     return merged.select("timeslice", "districtID", "gap", "predict")
