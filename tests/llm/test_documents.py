@@ -19,6 +19,7 @@ from zonecast.llm import (
     encode,
     exact_dedup,
     gru,
+    hashing,
     lm,
     mixing,
     near_dedup,
@@ -249,6 +250,18 @@ def test_lm_trains_on_every_training_document_whole(real):
     assert sorted(len(x) for r in rounds for x in r) == sorted(sizes[train].tolist())
 
 
+@pytest.mark.parametrize("ranges", [1, 3, 8, 10**6])
+def test_only_ranges_that_occur_are_visited(ranges):
+    hashes = np.sort(np.random.default_rng(1).integers(0, 1 << 64, 500, dtype=np.uint64))
+    hashes = np.concatenate([np.zeros(1, np.uint64), hashes, np.full(1, (1 << 64) - 1, np.uint64)])
+    parts = hashing.by_range(hashes, ranges)
+    assert len(parts) <= len(hashes) and [lo for _, lo, _ in parts[1:]] == [hi for _, _, hi in parts[:-1]]
+    assert parts[0][1] == 0 and parts[-1][2] == len(hashes) and parts[-1][0] == ranges - 1
+    step = (1 << 64) // ranges
+    assert all(min(int(h) // step, ranges - 1) == r for r, lo, hi in parts for h in hashes[lo:hi])
+    assert hashing.by_range(hashes[:0], ranges) == []
+
+
 def test_gru_lanes_start_each_text_anew():
     """Texts one after the other in a lane give the gradient of the same texts side by side."""
     rng, classes, w = _tiny()

@@ -90,3 +90,12 @@ def windows(words: np.ndarray, width: int, seed: int) -> np.ndarray:
     total = np.zeros(n + 1, U)
     np.cumsum(mix(words + U(seed)) * up[:n], out=total[1:])
     return mix((total[width:] - total[:-width]) * down[: n - width + 1])
+
+
+def by_range(hashes: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
+    """(range, first, end) of the equal ranges of the hash space that sorted hashes fall into; empty ones are not visited."""
+    if not len(hashes):
+        return []
+    number = np.minimum(hashes // U((1 << 64) // ranges), U(ranges - 1)).astype(np.int64) if ranges > 1 else np.zeros(len(hashes), np.int64)
+    first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+    return list(zip(number[first].tolist(), first.tolist(), [*first[1:].tolist(), len(hashes)], strict=True))

@@ -29,7 +29,7 @@ from ..session import ship_package, stage
 from . import gru
 from .blocks import block_texts, each_row, text_blocks
 from .common import table
-from .hashing import U, hash_words
+from .hashing import U, by_range, hash_words
 
 SYMBOLS = 4096
 #: Rounds of averaging; every training document is in one of them.
@@ -87,10 +87,8 @@ class _Block:
 def _ask(row: dict, ranges: int) -> Iterator[tuple]:
     b = _Block(row)
     counts = b.counts().astype("<u4")
-    cut = np.searchsorted(b.distinct, np.arange(ranges, dtype=U) * U((1 << 64) // ranges))
-    for r, (lo, hi) in enumerate(zip(cut, [*cut[1:], len(b.distinct)], strict=True)):
-        if hi > lo:
-            yield r, row["block"], b.distinct[lo:hi].tobytes(), zstandard.compress(counts[lo:hi].tobytes(), 1)
+    for r, lo, hi in by_range(b.distinct, ranges):
+        yield r, row["block"], b.distinct[lo:hi].tobytes(), zstandard.compress(counts[lo:hi].tobytes(), 1)
 
 
 def _counted(blocks: DataFrame, ranges: int, top: int) -> DataFrame:

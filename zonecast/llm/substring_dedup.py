@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..session import ship_package, stage
 from .blocks import block_texts, each_row, text_blocks
 from .common import table
-from .hashing import U, hash_words, windows
+from .hashing import U, by_range, hash_words, windows
 
 WINDOW = 35
 #: A perfect difference set, every difference modulo 21 occurs.
@@ -97,10 +97,8 @@ def _covered(low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
 def _ask(block: int, keys: np.ndarray, ranges: int) -> Iterator[tuple]:
     """(range, block, hashes, twice): what one block asks of each range."""
     distinct, twice, _ = _distinct(keys)
-    cut = np.searchsorted(distinct["hash"], np.arange(ranges, dtype=U) * U((1 << 64) // ranges))
-    for r, (lo, hi) in enumerate(zip(cut, [*cut[1:], len(distinct)], strict=True)):
-        if hi > lo:
-            yield r, block, distinct[lo:hi].tobytes(), np.packbits(twice[lo:hi]).tobytes()
+    for r, lo, hi in by_range(distinct["hash"], ranges):
+        yield r, block, distinct[lo:hi].tobytes(), np.packbits(twice[lo:hi]).tobytes()
 
 
 def _answered(keys: np.ndarray, replies: list[dict] | None) -> np.ndarray:
