@@ -242,8 +242,10 @@ def test_lm_trains_on_every_training_document_whole(real):
     """Each document that is not held out is in one round, from its first token to its end."""
     texts = [(t or "").encode() for _, t in real] + [b"long " * 5000]
     ids = [d for d, _ in real] + [next(d for d in range(10**6, 10**7) if not lm.held_out(d))]
-    row = {"docs": ids, "texts": lm.zstandard.compress(b"".join(texts)), "sizes": [len(t) for t in texts]}
     hashes, sizes = lm._tokens(texts)
+    row = dict(zip(("sizes", "hashes", "codes"), lm._numbered(texts), strict=True), docs=ids)
+    block = lm._Block(row)
+    assert (block.distinct[block.codes] == hashes).all() and (np.diff(block.distinct) > 0).all()
     symbols = lm._Symbols(np.unique(hashes))
     rounds = [lm._whole_texts(row, symbols, k) for k in range(lm.ROUNDS)]
     train = [not lm.held_out(d) for d in ids]

@@ -1,6 +1,9 @@
 """Language-model scores of whole documents.
 
-Word counts: each block of texts asks every range of the hash space for its
+Texts are hashed once: blocks are written with numbers for tokens, beside the
+distinct hashes that the numbers stand for.
+
+Word counts: each block asks every range of the hash space for its
 distinct words and brings its own training counts along; a range adds them up
 and answers with the corpus count of each word asked for.  So every count covers
 all training documents, and no vocabulary is broadcast.
@@ -54,11 +57,10 @@ def _picked(doc: int | None, round_: int) -> bool:
 def _whole_texts(row: dict, symbols: _Symbols, round_: int) -> list[np.ndarray]:
     """Symbols of the block's documents of this round, each from its first token to its end."""
     chosen = [_picked(d, round_) for d in row["docs"]]
-    texts = [t for t, c in zip(block_texts(row["texts"], row["sizes"]), chosen, strict=True) if c]
-    if not texts:
+    if not any(chosen):
         return []
-    hashes, sizes = _tokens(texts)
-    return np.split(symbols.of(hashes).astype(np.int32), np.cumsum(sizes)[:-1])
+    texts = _Block(row).texts(symbols)
+    return [t for t, c in zip(texts, chosen, strict=True) if c]
 
 
 def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -67,19 +69,51 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words, np.cumsum(counts), END), counts + 1
 
 
+def _numbered(texts: list[bytes]) -> tuple[list[int], bytes, bytes]:
+    """Tokens of each text, the sorted distinct hashes, and every token as a number into those, a plane of bytes after the other."""
+    hashes, sizes = _tokens(texts)
+    codes, distinct = pd.factorize(hashes)
+    order = np.argsort(distinct, kind="stable")
+    place = np.empty(len(order), "<u4")
+    place[order] = np.arange(len(order))
+    planes = place[codes].view(np.uint8).reshape(-1, 4).T
+    return sizes.tolist(), distinct[order].tobytes(), zstandard.compress(planes.tobytes(), 1)
+
+
+NUMBERED = "block long, docs array<long>, sizes array<long>, n_tokens long, hashes binary, codes binary"
+
+
+def _number_blocks(blocks: DataFrame) -> DataFrame:
+    """``text_blocks`` with numbers for tokens: no later step hashes a text again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in each_row(batches):
+            sizes, hashes, codes = _numbered(block_texts(row["texts"], row["sizes"]))
+            many, large = pa.list_(pa.int64()), pa.binary()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([row["block"]], pa.int64()), pa.array([row["docs"]], many), pa.array([sizes], many),
+                    pa.array([sum(sizes)], pa.int64()), pa.array([hashes], large), pa.array([codes], large),
+                ],
+                ["block", "docs", "sizes", "n_tokens", "hashes", "codes"],
+            )
+
+    return blocks.select("block", "docs", "texts", "sizes").mapInArrow(run, NUMBERED)
+
+
 class _Block:
     """A block's words as numbers into its sorted distinct hashes."""
 
     def __init__(self, row: dict):
-        self.docs = row["docs"]
-        hashes, self.sizes = _tokens(block_texts(row["texts"], row["sizes"]))
-        codes, distinct = pd.factorize(hashes)
-        order = np.argsort(distinct, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.distinct, self.codes = distinct[order], place[codes]
+        self.docs, self.sizes = row["docs"], np.array(row["sizes"], np.int64)
+        self.distinct = np.frombuffer(row["hashes"], U)
+        planes = np.frombuffer(zstandard.decompress(row["codes"]), np.uint8).reshape(4, -1)
+        self.codes = np.ascontiguousarray(planes.T).view("<u4").ravel()
         self.train = np.array([not held_out(d) for d in self.docs])
 
+    def texts(self, symbols: _Symbols) -> list[np.ndarray]:
+        return np.split(symbols.of(self.distinct).astype(np.int32)[self.codes], np.cumsum(self.sizes)[:-1])
+
     def counts(self) -> np.ndarray:
         return np.bincount(self.codes[np.repeat(self.train, self.sizes)], minlength=len(self.distinct))
 
@@ -179,7 +213,7 @@ def _train_round(blocks: DataFrame, symbols: _Symbols, classes: gru.Classes, wei
             yield _weights_row(total, tokens)
 
     schema = "weights binary, tokens long"
-    copies = blocks.select("docs", "texts", "sizes").mapInArrow(run, schema)
+    copies = blocks.mapInArrow(run, schema)
     parts = copies.rdd.getNumPartitions()
     while parts > 1:
         parts = -(-parts // FAN)
@@ -209,10 +243,10 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     spark = docs.sparkSession
     ship_package(spark)
-    blocks = stage(text_blocks(docs, key, text, BLOCK_BYTES, 1 << 16), "blocks")
-    size = blocks.agg(F.sum("n_words")).first()[0] or 0
+    blocks = stage(_number_blocks(text_blocks(docs, key, text, BLOCK_BYTES, 1 << 16)), "numbered-blocks")
+    size = blocks.agg(F.sum("n_tokens")).first()[0] or 0
     ranges = max(8, -(-size // RANGE_WORDS))
-    body = blocks.select("block", "docs", "texts", "sizes")
+    body = blocks.drop("n_tokens")
     # Words fall evenly on the ranges, so a few times its share of the symbols holds a range's frequent ones.
     counted = stage(_counted(body, ranges, 4 * SYMBOLS // ranges + 100), "word-counts")
     n, v = (x or 0 for x in counted.agg(F.sum("tokens"), F.sum("distinct")).first())
@@ -226,7 +260,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     weights = gru.initial(classes)
     if n:
         for round_ in range(ROUNDS):
-            weights = _train_round(blocks, symbols, classes, weights, round_)
+            weights = _train_round(body, symbols, classes, weights, round_)
     shared = spark.sparkContext.broadcast((symbols, classes, weights))
     rare_types = v - len(best)
 
@@ -261,7 +295,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             total = lambda x: np.bincount(owner, x[b.codes], minlength=len(b.docs))
             ids = np.array(b.docs, object)
             rows.append((ids, b.train, b.sizes, total((c > 0).astype(float)), total(base), total(rare)))
-            texts += np.split(symbol[b.codes].astype(np.int32), np.cumsum(b.sizes)[:-1])
+            texts += b.texts(symbols)
             tokens += int(b.sizes.sum())
             # Texts of several blocks run side by side.
             if tokens >= LANE_TOKENS:
