@@ -1,8 +1,9 @@
 """A gated recurrent language model with class-factored output, in numpy.
 
 Symbols are the frequent words, in classes of neighbouring frequency; all other
-words are one class of their own.  A word's probability is that of its class
-given the state times that of the word given class and state.
+words are one class of their own, and neighbouring classes form groups.  A word's
+probability is that of its group given the state, times that of the class in the
+group, times that of the word in the class.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ class Classes:
     rest: float
     edges: np.ndarray = field(init=False)
     of: np.ndarray = field(init=False)
+    #: Group g holds classes ``groups[g]`` to ``groups[g + 1]``.
+    groups: np.ndarray = field(init=False)
 
     def __post_init__(self):
         n = len(self.counts)
@@ -41,27 +44,31 @@ class Classes:
         edges = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [n]]) if n else np.zeros(1, int)
         object.__setattr__(self, "edges", edges.astype(int))
         object.__setattr__(self, "of", np.concatenate([of, [len(edges) - 1]]).astype(int))
+        object.__setattr__(self, "groups", np.linspace(0, len(edges), int(np.sqrt(len(edges))) + 1).astype(int))
 
     @property
     def n(self) -> int:
         return len(self.counts)
 
 
-SHAPES = ("embed", "enter", "loop", "bias", "class_w", "class_b", "word_w", "word_b")
+SHAPES = ("embed", "enter", "loop", "bias", "group_w", "group_b", "class_w", "class_b", "word_w", "word_b")
 
 
 def initial(classes: Classes, hidden: int = HIDDEN, embed: int = EMBED, seed: int = 7) -> dict[str, np.ndarray]:
     """Small random weights; the output biases start at the counted frequencies."""
     rng = np.random.default_rng(seed)
-    n, groups = classes.n, len(classes.edges)
+    n, kinds, groups = classes.n, len(classes.edges), len(classes.groups) - 1
     mass = np.add.reduceat(classes.counts, classes.edges[:-1]) if n else np.empty(0)
     mass = np.concatenate([mass, [classes.rest]]) + 0.1
+    grouped = np.add.reduceat(mass, classes.groups[:-1])
     words = np.log((classes.counts + 0.1) / (mass[classes.of[:-1]] if n else 1))
     draw = lambda scale, *s: (rng.standard_normal(s) * scale).astype(F32)
     return {
         "embed": draw(0.3, n + 2, embed), "enter": draw(0.3, embed, 3 * hidden), "loop": draw(0.1, hidden, 3 * hidden),
         "bias": np.concatenate([np.full(hidden, 1.0), np.zeros(2 * hidden)]).astype(F32),
-        "class_w": np.zeros((groups, hidden), F32), "class_b": np.log(mass / mass.sum()).astype(F32),
+        "group_w": np.zeros((groups, hidden), F32), "group_b": np.log(grouped / grouped.sum()).astype(F32),
+        "class_w": np.zeros((kinds, hidden), F32),
+        "class_b": np.log(mass / np.repeat(grouped, np.diff(classes.groups))).astype(F32),
         "word_w": np.zeros((n, hidden), F32), "word_b": words.astype(F32),
     }
 
@@ -105,30 +112,40 @@ def _step(w: dict, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     return after, keep, reset, new, past
 
 
+def _inside(
+    w: dict, level: str, edges: np.ndarray, parents: np.ndarray, own: np.ndarray,
+    h: np.ndarray, logp: np.ndarray, back: np.ndarray, grad: dict | None,
+) -> None:
+    """Add the log probability of each target within its parent; targets are in order of their parents."""
+    weights, biases = w[f"{level}_w"], w[f"{level}_b"]
+    cut = np.searchsorted(parents, np.arange(len(edges)))
+    for c in range(len(edges) - 1):
+        lo, hi, at, to = edges[c], edges[c + 1], cut[c], cut[c + 1]
+        if hi - lo > 1 and to > at:
+            d = weights[lo:hi] @ h[at:to].T
+            d += biases[lo:hi, None]
+            logp[at:to] += _softmax(d, own[at:to] - lo, grad is not None)
+            if grad is not None:
+                np.matmul(d, h[at:to], out=grad[f"{level}_w"][lo:hi])
+                np.sum(d, 1, out=grad[f"{level}_b"][lo:hi])
+                back[at:to] += d.T @ weights[lo:hi]
+
+
 def _output(w: dict, classes: Classes, h: np.ndarray, y: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Natural log probability of each target, and the gradient of its negative sum for the states if asked for."""
     kind = classes.of[y]
     order = np.argsort(kind.astype(np.int16), kind="stable")  # at most 65 classes: a radix sort
     h, y, kind = h[order], y[order], kind[order]
-    cut = np.searchsorted(kind, np.arange(len(classes.edges)))
-    d = w["class_w"] @ h.T
-    d += w["class_b"][:, None]
-    logp = _softmax(d, kind, grad is not None).astype(np.float64)
+    group = np.repeat(np.arange(len(classes.groups) - 1), np.diff(classes.groups))[kind]
+    d = w["group_w"] @ h.T
+    d += w["group_b"][:, None]
+    logp = _softmax(d, group, grad is not None).astype(np.float64)
     back = h
     if grad is not None:
-        grad["class_w"], grad["class_b"] = d @ h, d.sum(1)
-        back = d.T @ w["class_w"]
-    for c in range(len(classes.edges) - 1):
-        lo, hi, at, to = classes.edges[c], classes.edges[c + 1], cut[c], cut[c + 1]
-        if hi - lo > 1 and to > at:
-            state, weights = h[at:to], w["word_w"][lo:hi]
-            d = weights @ state.T
-            d += w["word_b"][lo:hi, None]
-            logp[at:to] += _softmax(d, y[at:to] - lo, grad is not None)
-            if grad is not None:
-                np.matmul(d, state, out=grad["word_w"][lo:hi])
-                np.sum(d, 1, out=grad["word_b"][lo:hi])
-                back[at:to] += d.T @ weights
+        grad["group_w"], grad["group_b"] = d @ h, d.sum(1)
+        back = d.T @ w["group_w"]
+    _inside(w, "class", classes.groups, group, kind, h, logp, back, grad)
+    _inside(w, "word", classes.edges, kind, y, h, logp, back, grad)
     out, unsorted = np.empty_like(logp), np.empty_like(back)
     out[order], unsorted[order] = logp, back
     return out, unsorted
@@ -236,7 +253,7 @@ def train(
             h, *rest = _step(w, x[at:to], before)
             tape.append((before, h, *rest))
         before, states, keep, reset, new, past = (np.concatenate(part) for part in zip(*tape, strict=True))
-        grad = {k: np.zeros_like(w[k]) for k in ("word_w", "word_b")}
+        grad = {k: np.zeros_like(w[k]) for k in ("class_w", "class_b", "word_w", "word_b")}
         _, slope = _output(w, classes, states, y, grad)
         # What a slope of the state becomes at the gates and at the new part, for the whole window.
         to_new = (1 - keep) * (1 - new * new)
