@@ -121,3 +121,33 @@ def test_sums_of_squares_and_ols(spark):
         beta, *_ = np.linalg.lstsq(m, y, rcond=None)
         np.testing.assert_allclose([r.intercept, *r.coef], beta, rtol=1e-8)
         assert r.rss == pytest.approx(np.sum((y - m @ beta) ** 2))
+
+
+def test_ols_keeps_digits_of_nearly_collinear_columns(spark):
+    """Columns near 10^6 that differ by thousandths: as exact as least squares on the whole matrix."""
+    rng = np.random.default_rng(9)
+    parts = {}
+    for key, n in (("long", 3000), ("short", 12)):
+        a = 1e6 + rng.normal(size=n)
+        b = a + 1e-3 * rng.normal(size=n)
+        parts[key] = a, b, 3 + 2 * a - b + 1e-3 * rng.normal(size=n)
+    rows = [(k, *map(float, r)) for k, v in parts.items() for r in zip(*v, strict=True)]
+    df = spark.createDataFrame(rows, "key string, a double, b double, y double").repartition(7)
+    for r in series.ols_by_key(df, "key", "y", ["a", "b"]).collect():
+        a, b, y = parts[r.key]
+        full = np.column_stack([np.ones(len(a)), a - a.mean(), b - b.mean()])
+        want = np.linalg.lstsq(full, y - y.mean(), rcond=None)[0]
+        assert r.n == len(a) and np.allclose(r.coef, want[1:], rtol=1e-6)
+        assert r.rss == pytest.approx(np.sum((y - y.mean() - full @ want) ** 2), rel=1e-6)
+
+
+def test_ols_defined_on_odd_series(spark):
+    """A constant column takes no part, missing values drop their row, a constant y has no share explained."""
+    rows = [("c", 7.1, float(t), 2.0 * t) for t in range(20)] + [("y", float(t), float(t * t), 0.3) for t in range(9)]
+    rows += [("one", 1.0, 2.0, 3.0), ("c", None, 1.0, 5.0), (None, 1.0, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "key string, a double, b double, y double")
+    got = {r.key: r for r in series.ols_by_key(df, "key", "y", ["a", "b"]).collect()}
+    assert got["c"].n == 20 and got["c"].coef == pytest.approx([0.0, 2.0], abs=1e-12) and got["c"].intercept == pytest.approx(0, abs=1e-9)
+    assert got["y"].coef == pytest.approx([0.0, 0.0]) and got["y"].r2 is None and got["y"].intercept == pytest.approx(0.3)
+    assert got["one"].coef == pytest.approx([0.0, 0.0]) and got["one"].intercept == pytest.approx(3.0)
+    assert got[None].n == 1

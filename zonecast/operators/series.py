@@ -6,8 +6,6 @@ series is cut into ranges of its order column.
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.special import f_sf
-from ..session import stage
+from ..session import ship_package, stage
 
 BLOCK = 65_536
 
@@ -173,62 +171,118 @@ def rss(df: DataFrame, key: str, resid: str) -> DataFrame:
 # -- regression ---------------------------------------------------------------
 
 
-def _moments(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """Per key: n, the means, and all centred cross products.
+#: Keys whose triangles a task holds before it hands them on, and triangles that are merged at once.
+HELD_KEYS, FAN = 4096, 256
+
+
+def _triangle(stacked: np.ndarray) -> np.ndarray:
+    """Upper triangle with the same products of columns; at most as many rows as columns."""
+    return np.linalg.qr(stacked, mode="r")
+
 
-    Co-moments merge stably across partial aggregates, so no earlier pass for the
-    means is needed, and a hot key is combined on the map side.
+def _triangles(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """(key, n, tri) with one orthogonal triangle of [1, cols...] per key, row after row.
+
+    Tasks factor their rows as they read them, and the triangles of a key are
+    factored again in groups of at most ``FAN`` task numbers, then all together.
+    Products of columns are never formed, so no digits are lost to them.  Rows
+    that lack a value take no part.
     """
-    pairs = list(combinations_with_replacement(range(len(cols)), 2))
-    return df.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.avg(c) for c in cols]).alias("means"),
-        F.array(*[F.covar_pop(cols[i], cols[j]) for i, j in pairs]).alias("cov"),
-    )
+    ship_package(df.sparkSession)
+    width = len(cols) + 1
+    key_type = df.schema[key].dataType.simpleString()
+    schema = f"`{key}` {key_type}, n long, tri array<double>"
 
+    def frame(found: dict) -> pd.DataFrame:
+        rows = [(k, n, t.ravel()) for k, (n, t) in found.items()]
+        return pd.DataFrame(rows, columns=[key, "n", "tri"])
 
-def _gram(covs: pd.Series, counts: pd.Series, size: int) -> np.ndarray:
-    gram = np.zeros((len(covs), size, size))
-    upper = np.triu_indices(size)
-    flat = np.array(covs.tolist(), dtype=float).reshape(len(covs), -1)
-    gram[:, upper[0], upper[1]] = flat
-    gram[:, upper[1], upper[0]] = flat
-    return gram * counts.to_numpy(dtype=float)[:, None, None]
+    def factor(batches):
+        held: dict = {}
+        for pdf in batches:
+            codes, keys = pd.factorize(pdf[key], use_na_sentinel=False)
+            order = np.argsort(codes, kind="stable")
+            values = np.column_stack([np.ones(len(pdf)), pdf[cols].to_numpy(dtype=float)])[order]
+            cuts = np.cumsum(np.bincount(codes, minlength=len(keys)))[:-1]
+            for k, rows in zip(keys, np.split(values, cuts), strict=True):
+                n, before = held.get(k, (0, rows[:0]))
+                held[k] = n + len(rows), _triangle(np.vstack([before, rows]))
+            if len(held) >= HELD_KEYS:
+                yield frame(held)
+                held = {}
+        if held:
+            yield frame(held)
+
+    def merge(batches):
+        for pdf in batches:
+            pdf["tri"] = [
+                (parts[0] if len(parts) == 1 else _triangle(np.concatenate(list(parts)).reshape(-1, width)).ravel())
+                for parts in pdf["tri"]
+            ]
+            yield pdf
+
+    parts = df.na.drop(subset=cols).select(key, *cols).mapInPandas(factor, schema)
+    gathered = [F.sum("n").alias("n"), F.collect_list("tri").alias("tri")]
+    group = (F.spark_partition_id() / FAN).cast("int").alias("_group")
+    some = parts.select("*", group).groupBy(key, "_group").agg(*gathered).drop("_group").mapInPandas(merge, schema)
+    return some.groupBy(key).agg(*gathered).mapInPandas(merge, schema)
 
 
-def _fit(gram: np.ndarray, regressors: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(coefficients, residual sum of squares) of column 0 on the given columns."""
-    sxx = gram[:, regressors][:, :, regressors]
-    sxy = gram[:, regressors, 0]
-    beta = np.einsum("kij,kj->ki", np.linalg.pinv(sxx, hermitian=True), sxy)
-    return beta, gram[:, 0, 0] - np.einsum("ki,ki->k", beta, sxy)
+def _squares(flat: pd.Series, width: int) -> np.ndarray:
+    """The triangles as square matrices; rows that a short series lacks are zero."""
+    out = np.zeros((len(flat), width, width))
+    for k, t in enumerate(flat):
+        out[k].flat[: len(t)] = t
+    return out
+
+
+def _fit(tri: np.ndarray, regressors: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(coefficients, residual and total sum of squares) of the last column on the given columns and a constant.
+
+    What is left of a column beside the constant counts as zero where it is below
+    the rounding of the column itself.
+    """
+    norms = np.sqrt((tri * tri).sum(axis=1))
+    norms[norms == 0] = 1
+    inner = tri[:, 1:] / norms[:, None, :]
+    floor = 8 * tri.shape[1] * np.finfo(float).eps
+    a, y = inner[:, :, regressors], inner[:, :, -1]
+    y = np.where(np.sqrt((y * y).sum(axis=1, keepdims=True)) > floor, y, 0.0)
+    u, sv, vt = np.linalg.svd(a, full_matrices=False)
+    inverse = np.divide(1.0, sv, out=np.zeros_like(sv), where=sv > floor)
+    beta = np.einsum("kji,kj,klj,kl->ki", vt, inverse, u, y, optimize=True)
+    resid = y - np.einsum("kij,kj->ki", a, beta)
+    scale = norms[:, -1]
+    return beta * (scale[:, None] / norms[:, regressors]), (resid**2).sum(axis=1) * scale**2, (y**2).sum(axis=1) * scale**2
 
 
 def ols_by_key(df: DataFrame, key: str, y: str, xs: list[str]) -> DataFrame:
     """(key, n, intercept, coef ARRAY, rss, r2) of y on xs with an intercept, per key."""
-    size = len(xs) + 1
+    size = len(xs) + 2
 
     def solve(batches):
         for pdf in batches:
             if pdf.empty:
                 continue
-            gram = _gram(pdf["cov"], pdf["n"], size)
-            beta, resid = _fit(gram, list(range(1, size)))
-            means = np.array(pdf["means"].tolist())
+            tri = _squares(pdf["tri"], size)
+            beta, resid, total = _fit(tri, list(range(1, size - 1)))
+            head = tri[:, 0] / tri[:, :1, 0]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                r2 = 1.0 - resid / total
             yield pd.DataFrame(
                 {
                     key: pdf[key],
                     "n": pdf["n"],
-                    "intercept": means[:, 0] - (beta * means[:, 1:]).sum(axis=1),
+                    "intercept": head[:, -1] - (beta * head[:, 1:-1]).sum(axis=1),
                     "coef": list(beta),
                     "rss": resid,
-                    "r2": 1.0 - resid / gram[:, 0, 0],
+                    "r2": r2,
                 }
             )
 
     key_type = df.schema[key].dataType.simpleString()
     schema = f"`{key}` {key_type}, n long, intercept double, coef array<double>, rss double, r2 double"
-    return _moments(df, key, [y, *xs]).mapInPandas(solve, schema)
+    return _triangles(df, key, [*xs, y]).mapInPandas(solve, schema)
 
 
 def granger(
@@ -237,31 +291,31 @@ def granger(
     """Does x help to predict y?  (key, n, f, r2, p) per key.
 
     Compares y on its own ``lag`` earlier values with y on those and ``lag``
-    earlier values of x, both with an intercept.  Only one row of moments per key
-    reaches Python.
+    earlier values of x, both with an intercept.  One triangle per key reaches the
+    last step.
     """
     if lag < 1:
         raise ValueError("lag must be at least 1")
     own, other = lag_names([y], lag), lag_names([x], lag)
     lagged = lag_matrix(df, key, order, [x, y], lag, width)
-    size = 2 * lag + 1
+    size = 2 * lag + 2
 
     def solve(batches):
         for pdf in batches:
             if pdf.empty:
                 continue
-            gram = _gram(pdf["cov"], pdf["n"], size)
-            _, rss0 = _fit(gram, list(range(1, lag + 1)))
-            _, rss1 = _fit(gram, list(range(1, size)))
+            tri = _squares(pdf["tri"], size)
+            _, rss0, _ = _fit(tri, list(range(1, lag + 1)))
+            _, rss1, total = _fit(tri, list(range(1, size - 1)))
             free = pdf["n"].to_numpy(dtype=float) - 2 * lag - 1
             with np.errstate(divide="ignore", invalid="ignore"):
                 f = ((rss0 - rss1) / lag) / (rss1 / free)
-                r2 = 1.0 - rss1 / gram[:, 0, 0]
+                r2 = 1.0 - rss1 / total
             yield pd.DataFrame(
                 {key: pdf[key], "n": pdf["n"], "f": f, "r2": r2, "p": f_sf(f, lag, free)}
             )
 
     key_type = df.schema[key].dataType.simpleString()
-    return _moments(lagged, key, [y, *own, *other]).mapInPandas(
+    return _triangles(lagged, key, [*own, *other, y]).mapInPandas(
         solve, f"`{key}` {key_type}, n long, f double, r2 double, p double"
     )
