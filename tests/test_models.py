@@ -211,6 +211,31 @@ def test_packed_forest(spark):
     assert packed.fit_packed(empty, preset).score(data, keys).count() == cells.count()
 
 
+def test_forests_finished_apart(spark, monkeypatch):
+    """Small nodes that are finished in tasks of their own: whole trees, whatever the layout, saved and read again."""
+    _, data = _cells(spark)
+    # Whole numbers, whose sums do not depend on their order.
+    data = replace(data, cells=data.cells.withColumn("gap", F.transform("gap", lambda x: F.round(x))))
+    preset, keys = trees.Preset(trees=6, depth=9, seed=5, drop_constant=False), ["date", "timeslice", "districtID"]
+    shown = lambda m: [r.gap_predict for r in m.score(data, keys).orderBy(*keys).collect()]
+    errors = lambda m: {(r.trees, r.metric): r.value for r in m.errors_by_tree(data).collect()}
+    every = packed.fit_packed(data, preset, sample=1.0, third=False)
+    monkeypatch.setattr(packed, "FRONTIER", 10)
+    monkeypatch.setattr(packed, "OWN_ROWS", 200)
+    model = packed.fit_packed(data, preset, sample=1.0, third=False)
+    assert every.lower is None and model.lower.count() > 6 and len(model.trees.feature) < len(every.trees.feature) / 2
+    # All features at every split: the same trees however they are grown.
+    assert np.allclose(shown(model), shown(every), rtol=1e-9, atol=1e-12)
+    want = errors(every)
+    assert len(want) == 12 and errors(model) == pytest.approx(want, rel=1e-9)
+    some = packed.fit_packed(data, preset)
+    other = packed.fit_packed(replace(data, cells=data.cells.repartition(7)), preset)
+    assert np.allclose(shown(some), shown(other), rtol=1e-9, atol=1e-12)
+    path = new_path(spark, "packed")
+    some.save(spark, path)
+    assert shown(packed.PackedForest.load(spark, path)) == shown(some)
+
+
 def test_packed_sample_is_a_share(spark):
     """A tree learns from about the given share of the rows, and two trees from different ones."""
     _, data = _cells(spark, 67)

@@ -10,16 +10,23 @@ Each level of all trees is one pass over blocks of cells and one shuffle: a bloc
 walks its sets down the levels grown last, counts them in histograms of (node,
 feature, bin), and the histograms of a node meet in one task, which picks its
 split.  Every few levels the blocks are written anew with the sets that are still
-in nodes to be parted, so that later levels start there.  The driver holds the
-trees, like Spark's own forests do; a lost executor costs its blocks of one level.
+in nodes to be parted, so that later levels start there.  A lost executor costs
+its blocks of one level.
+
+Once a level has more than ``FRONTIER`` nodes, a node of at most ``OWN_ROWS`` rows
+is taken out of the levels: its rows go to one task, with those of other such nodes,
+which grows all that hangs below it.  These lower parts are a table; the driver
+holds the upper parts only, whose size does not grow with the rows.  A forecast
+walks the upper parts, meets the lower ones in a join, and adds up chunks of cells.
 """
 
 from __future__ import annotations
 
 import json
 import pickle
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +43,10 @@ BLOCK, REWRITE = 8192, 4
 #: Bits of a cell's set of destinations, in words of 64.
 SET_WORDS = 2
 DEST = "destDistrict"
+#: Nodes of a level beyond which small nodes are finished apart, and the rows of a small node and of a group of them.
+FRONTIER, OWN_ROWS = 1 << 14, 1 << 16
+#: Lines of histograms that a task holds, nodes whose histograms meet in one group, and cells whose forecasts do (a power of two).
+HELD, NODES, CHUNK = 1 << 20, 256, 1 << 11
 
 
 @dataclass(frozen=True)
@@ -182,6 +193,23 @@ class Block:
             given = _bits(np.repeat(np.arange(self.n), per), places, self.n)
             self.sets = np.where(np.asarray(use.is_valid())[:, None], given, self.sets)
 
+    @classmethod
+    def of(cls, codes: np.ndarray, sets: np.ndarray, per: np.ndarray, place: np.ndarray, values: np.ndarray) -> Block:
+        """A block of cells that are at hand, with one response."""
+        b = cls.__new__(cls)
+        b.n, b.codes, b.sets, b.per = len(codes), codes, sets, per
+        b.row, b.place, b.first, b.values = np.repeat(np.arange(b.n), per), place, np.cumsum(per) - per, [values]
+        return b
+
+    def inside(self, row: np.ndarray, sets: np.ndarray, target: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The responses inside the sets of the given cells: number of the set, destination, response."""
+        per = self.per[row]
+        entry = np.repeat(np.arange(len(row)), per)
+        at = np.arange(len(entry)) - np.repeat(np.cumsum(per) - per, per) + np.repeat(self.first[row], per)
+        d = self.place[at]
+        has = sets[entry, d >> 6] >> (d & 63).astype(U) & U(1) > 0
+        return entry[has], d[has], self.values[target][at[has]]
+
     def sampled(self, tree: int, seed: int, share: float) -> np.ndarray:
         """The destinations of each cell that a tree learns from: each is in with a chance of ``share`` (in 256ths)."""
         if share >= 1:
@@ -307,26 +335,20 @@ def _counted(index: np.ndarray, stats: np.ndarray, size: int) -> tuple[np.ndarra
 
 def histograms(
     b: Block, trees: Trees, frontier: np.ndarray, features: np.ndarray, bins: Bins, target: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (place in the frontier, feature, bin) with count, sum and sum of squares of the responses."""
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Tree by tree, keys (place in the frontier, feature, bin) with count, sum and sum of squares of the responses."""
     n, width, dest = len(bins.names), bins.width, _dest(bins)
     place = np.full(len(trees.feature), -1)
     place[frontier] = np.arange(len(frontier))
     b.advance(trees, dest, place >= 0)
-    keys, values = [], []
     for tree, (row, node, sets) in b.entries.items():
         if not len(row):
             continue
         # Nodes of this tree from 0 on.
         own = np.unique(place[node])
         k = np.searchsorted(own, place[node])
-        looks, y_of = features[own], b.values[target[tree]]
-        # The responses inside each set.
-        entry = np.repeat(np.arange(len(row)), b.per[row])
-        at = np.arange(len(entry)) - np.repeat(np.cumsum(b.per[row]) - b.per[row], b.per[row]) + np.repeat(b.first[row], b.per[row])
-        d = b.place[at]
-        inside = sets[entry, d >> 6] >> (d & 63).astype(U) & U(1) > 0
-        entry, d, y = entry[inside], d[inside], y_of[at[inside]]
+        looks = features[own]
+        entry, d, y = b.inside(row, sets, target[tree])
         stats = np.stack(
             [np.bitwise_count(sets).sum(1), np.bincount(entry, y, len(row)), np.bincount(entry, y * y, len(row))], axis=1
         )
@@ -352,11 +374,7 @@ def histograms(
             at_k, bit = np.nonzero(counts[:, :, 0])
             parts.append(((at_k * n + dest) * width + bit, counts[at_k, bit]))
         for index_, sums in parts:
-            keys.append(index_ + (own[index_ // (n * width)] - index_ // (n * width)) * (n * width))
-            values.append(sums)
-    if not keys:
-        return np.empty(0, np.int64), np.empty((0, 3))
-    return np.concatenate(keys), np.concatenate(values)
+            yield index_ + (own[index_ // (n * width)] - index_ // (n * width)) * (n * width), sums
 
 
 def _dest(bins: Bins) -> int:
@@ -423,6 +441,9 @@ class PackedForest:
     trees: Trees
     per_target: int
     targets: tuple[str, ...]
+    #: The table of lower parts (None: all is in ``trees``), and the group in it that goes on at a node (-1: none).
+    lower: DataFrame | None = None
+    group: np.ndarray | None = None
 
     def _columns(self, data: Packed) -> list[int]:
         names = [*data.categories, *data.numbers]
@@ -434,39 +455,67 @@ class PackedForest:
         telling = self.trees.value != 0
         for tree in range(self.per_target * len(self.targets)):
             row, node, sets = self.trees.walk(b, np.arange(b.n), np.full(b.n, tree), np.tile(b.all, (b.n, 1)), dest, telling)
-            out = np.zeros((b.n, self.bins.n_dests))
-            value = self.trees.value[node]
-            for d in range(self.bins.n_dests):
-                hit = sets[:, d >> 6] >> U(d & 63) & U(1) > 0
-                out[row[hit], d] = value[hit]
-            yield tree, out
+            yield tree, _spread(row, sets, self.trees.value[node], b.n, self.bins.n_dests)
 
-    def score(self, data: Packed, keep: Sequence[str]) -> DataFrame:
-        """The columns ``keep`` with an array of forecasts for each target, ``{target}_predict``, by destination from 0 on."""
-        columns, n_targets = self._columns(data), len(data.targets)
-        shared = data.cells.sparkSession.sparkContext.broadcast(self)
-        names = [f"{t}_predict" for t in self.targets]
+    def _over(self, data: Packed, keep: Sequence[str], shown: Callable, schema: str) -> DataFrame:
+        """``shown(model, batch, block, forecasts tree by tree)`` of all cells, block by block."""
+        columns, n_targets, spark = self._columns(data), len(data.targets), data.cells.sparkSession
+        ship_package(spark)
+        shared = spark.sparkContext.broadcast(replace(self, lower=None))
+        rows = data.rows(keep)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = shared.value
             for whole in batches:
                 for at in range(0, whole.num_rows, BLOCK):
                     batch = whole.slice(at, BLOCK)
                     b = Block(batch, model.bins, columns, n_targets)
-                    sums = np.zeros((len(names), b.n, model.bins.n_dests))
-                    for tree, out in model._each(b):
-                        sums[tree // model.per_target] += out
-                    lists = []
-                    for s in sums / model.per_target:
-                        ends = pa.array(np.arange(b.n + 1) * model.bins.n_dests, pa.int32())
-                        lists.append(pa.ListArray.from_arrays(ends, pa.array(s.ravel())))
-                    yield pa.RecordBatch.from_arrays([*(batch.column(f"k{k}") for k in range(len(keep))), *lists], [*keep, *names])
+                    yield shown(model, batch, b, model._each(b))
+
+        if self.lower is None:
+            return rows.mapInArrow(alone, schema)
+
+        def together(pieces: pa.Table, cells: pa.Table) -> pa.Table:
+            model, batch = shared.value, cells.combine_chunks().to_batches()[0]
+            b, place = Block(batch, model.bins, columns, n_targets), np.empty(CHUNK, np.int64)
+            place[batch.column("cell").to_numpy() % CHUNK] = np.arange(b.n)
+            parts = [pickle.loads(x) for x in pieces.column("part").to_pylist()]
+            parts = [np.concatenate(x) for x in zip(*parts, strict=True)] or [np.empty(0, int)] * 2 + [np.empty((0, SET_WORDS), U), np.empty(0)]
+            order = np.argsort(parts[1], kind="stable")
+            cell, tree, sets, value = (x[order] for x in parts)
+            cut = np.searchsorted(tree, np.arange(model.per_target * len(model.targets) + 1))
+            each = (
+                (k, _spread(place[cell[lo:hi]], sets[lo:hi], value[lo:hi], b.n, model.bins.n_dests))
+                for k, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True))
+            )
+            return pa.Table.from_batches([shown(model, batch, b, each)])
+
+        tasks = _tasks(spark)
+        cells = stage(rows.withColumn("cell", F.monotonically_increasing_id()), "packed-cells")
+        walked = stage(cells.mapInArrow(_upper_walk(shared, columns, n_targets), "group int, chunk long, part binary"), "packed-walked")
+        below = walked.where("group >= 0").repartition(tasks, "group").groupBy("group")
+        below = below.cogroup(self.lower.repartition(tasks, "group").groupBy("group")).applyInArrow(_lower_walk(shared), "chunk long, part binary")
+        pieces = walked.where("group < 0").select("chunk", "part").unionByName(below).repartition(tasks, "chunk")
+        cells = cells.withColumn("chunk", F.floor(F.col("cell") / CHUNK).cast("long")).repartition(tasks, "chunk")
+        return pieces.groupBy("chunk").cogroup(cells.groupBy("chunk")).applyInArrow(together, schema)
+
+    def score(self, data: Packed, keep: Sequence[str]) -> DataFrame:
+        """The columns ``keep`` with an array of forecasts for each target, ``{target}_predict``, by destination from 0 on."""
+        names = [f"{t}_predict" for t in self.targets]
+
+        def shown(model: PackedForest, batch: pa.RecordBatch, b: Block, each: Iterator[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+            sums = np.zeros((len(names), b.n, model.bins.n_dests))
+            for tree, out in each:
+                sums[tree // model.per_target] += out
+            lists = []
+            for s in sums / model.per_target:
+                ends = pa.array(np.arange(b.n + 1) * model.bins.n_dests, pa.int32())
+                lists.append(pa.ListArray.from_arrays(ends, pa.array(s.ravel())))
+            return pa.RecordBatch.from_arrays([*(batch.column(f"k{k}") for k in range(len(keep))), *lists], [*keep, *names])
 
-        rows = data.rows(keep)
         schema = data.cells.select(*(F.col(f"`{c}`") for c in keep)).schema
         out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), *(f"`{n}` array<double>" for n in names)])
-        ship_package(data.cells.sparkSession)
-        return rows.mapInArrow(run, out)
+        return self._over(data, keep, shown, out)
 
     def errors_by_tree(self, data: Packed) -> DataFrame:
         """(target, trees, metric, value): mae and rmse after each tree, from one pass over the cells.
@@ -474,32 +523,23 @@ class PackedForest:
         The running mean over the trees is kept, so no prefix is scored again.
         Errors are those of the destinations in ``use``, all if it is None.
         """
-        columns, n_targets = self._columns(data), len(data.targets)
-        shared = data.cells.sparkSession.sparkContext.broadcast(self)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model = shared.value
+        def shown(model: PackedForest, batch: pa.RecordBatch, b: Block, each: Iterator[tuple[int, np.ndarray]]) -> pa.RecordBatch:
             n = model.per_target * len(model.targets)
             off, square, count = np.zeros(n), np.zeros(n), np.zeros(n)
-            for whole in batches:
-                for at in range(0, whole.num_rows, BLOCK):
-                    b = Block(whole.slice(at, BLOCK), model.bins, columns, n_targets)
-                    used = np.stack([b.sets[:, d >> 6] >> U(d & 63) & U(1) > 0 for d in range(model.bins.n_dests)], axis=1)
-                    for tree, out in model._each(b):
-                        target, k = divmod(tree, model.per_target)
-                        if k == 0:
-                            total = np.zeros_like(out)
-                            y = np.zeros_like(out)
-                            y[b.row, b.place] = b.values[target]
-                        total += out
-                        e = (total / (k + 1) - y)[used]
-                        off[tree] += np.abs(e).sum()
-                        square[tree] += (e * e).sum()
-                        count[tree] += len(e)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), *map(pa.array, (off, square, count))], ["tree", "off", "square", "n"])
-
-        ship_package(data.cells.sparkSession)
-        rows = data.rows().mapInArrow(run, "tree long, off double, square double, n double")
+            used = np.stack([b.sets[:, d >> 6] >> U(d & 63) & U(1) > 0 for d in range(model.bins.n_dests)], axis=1)
+            for tree, out in each:
+                target, k = divmod(tree, model.per_target)
+                if k == 0:
+                    total = np.zeros_like(out)
+                    y = np.zeros_like(out)
+                    y[b.row, b.place] = b.values[target]
+                total += out
+                e = (total / (k + 1) - y)[used]
+                off[tree], square[tree], count[tree] = np.abs(e).sum(), (e * e).sum(), len(e)
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(n)), *map(pa.array, (off, square, count))], ["tree", "off", "square", "n"])
+
+        rows = self._over(data, (), shown, "tree long, off double, square double, n double")
         sums = rows.groupBy("tree").agg(*(F.sum(c).alias(c) for c in ("off", "square", "n")))
         target = F.element_at(F.array(*map(F.lit, self.targets)), (F.floor(F.col("tree") / self.per_target) + 1).cast("int"))
         pairs = [(n, c) for n, c in (("mae", F.col("off") / F.col("n")), ("rmse", F.sqrt(F.col("square") / F.col("n"))))]
@@ -513,17 +553,19 @@ class PackedForest:
         nodes = pa.table(
             {
                 "node": np.arange(len(t.feature)), "tree": t.tree, "feature": t.feature.astype(np.int32), "left": t.left,
-                "right": t.right, "value": t.value,
+                "right": t.right, "value": t.value, "group": np.full(len(t.feature), -1, np.int32) if self.group is None else self.group,
                 "goes_left": pa.array([m.tobytes() for m in t.goes_left], pa.binary()),
             }
         )
         bins = {
             "names": self.bins.names, "levels": [x.tolist() for x in self.bins.levels], "means": self.bins.means,
             "thresholds": [x.tolist() for x in self.bins.thresholds], "n_dests": self.bins.n_dests,
-            "per_target": self.per_target, "targets": self.targets,
+            "per_target": self.per_target, "targets": self.targets, "lower": self.lower is not None,
         }
         spark.createDataFrame(nodes).write.mode("overwrite").parquet(f"{path}/nodes")
         spark.createDataFrame([(json.dumps(bins),)], "bins string").coalesce(1).write.mode("overwrite").text(f"{path}/bins")
+        if self.lower is not None:
+            self.lower.write.mode("overwrite").parquet(f"{path}/lower")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> PackedForest:
@@ -534,7 +576,86 @@ class PackedForest:
         lists = lambda x: tuple(np.array(v, float) for v in x)
         bins = Bins(tuple(d["names"]), lists(d["levels"]), lists(d["thresholds"]), tuple(d["means"]), d["n_dests"])
         trees = Trees(arrays["feature"].astype(np.int16), masks.copy(), *(arrays[c] for c in ("left", "right", "value", "tree")))
-        return cls(bins, trees, d["per_target"], tuple(d["targets"]))
+        lower = (spark.read.parquet(f"{path}/lower"), t.column("group").to_numpy()) if d.get("lower") else ()
+        return cls(bins, trees, d["per_target"], tuple(d["targets"]), *lower)
+
+
+def _spread(row: np.ndarray, sets: np.ndarray, value: np.ndarray, n: int, n_dests: int) -> np.ndarray:
+    """(cells, dests): each value at its cell, for the destinations in its set."""
+    out = np.zeros((n, n_dests))
+    for d in range(n_dests):
+        hit = sets[:, d >> 6] >> U(d & 63) & U(1) > 0
+        out[row[hit], d] = value[hit]
+    return out
+
+
+def _tasks(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+
+
+def _runs(*keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and end of each stretch of equal keys."""
+    if len(keys[0]):
+        change = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        cut = np.concatenate([[0], np.flatnonzero(change) + 1, [len(keys[0])]])
+        yield from zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)
+
+
+def _upper_walk(shared, columns: Sequence[int], n_targets: int):
+    """Cells down to the leaves of the upper parts (group -1: cell in its chunk, tree, set, value), and to the nodes
+    below which a group goes on (cell, tree, set, node, codes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        wanted, dest = (model.trees.value != 0) | (model.group >= 0), _dest(model.bins)
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(at, BLOCK)
+                b, cell = Block(batch, model.bins, columns, n_targets), batch.column("cell").to_numpy()
+                for tree in range(model.per_target * len(model.targets)):
+                    row, node, sets = model.trees.walk(b, np.arange(b.n), np.full(b.n, tree), np.tile(b.all, (b.n, 1)), dest, wanted)
+                    group, chunk = model.group[node], cell[row] // CHUNK
+                    order = np.lexsort((chunk, group))
+                    row, node, sets, group, chunk = (x[order] for x in (row, node, sets, group, chunk))
+                    own, trees, place = cell[row], np.full(len(row), tree, np.int16), (cell[row] % CHUNK).astype(np.int16)
+                    out = []
+                    upper = int(np.searchsorted(group, 0))
+                    for lo, hi in _runs(chunk[:upper]):
+                        out.append((-1, chunk[lo], (place[lo:hi], trees[lo:hi], sets[lo:hi], model.trees.value[node[lo:hi]])))
+                    for lo, hi in _runs(group[upper:]):
+                        lo, hi = lo + upper, hi + upper
+                        out.append((group[lo], -1, (own[lo:hi], trees[lo:hi], sets[lo:hi], node[lo:hi], b.codes[row[lo:hi]])))
+                    yield _lines(out, ("group", "chunk"))
+
+    return run
+
+
+def _lower_walk(shared):
+    """What ``_upper_walk`` gave a group, down to the leaves: (cell in its chunk, tree, set, value) by chunk."""
+
+    def run(asked: pa.Table, lower: pa.Table) -> pa.Table:
+        dest, out = _dest(shared.value.bins), []
+        if asked.num_rows and lower.num_rows:
+            roots, trees = pickle.loads(lower.column("nodes")[0].as_buffer())
+            parts = [pickle.loads(x) for x in asked.column("part").to_pylist()]
+            cell, tree, sets, node, codes = (np.concatenate(x) for x in zip(*parts, strict=True))
+            none = np.zeros(len(cell), np.int64)
+            b = Block.of(codes, sets, none, none[:0], np.empty(0))
+            row, node, sets = trees.walk(b, np.arange(b.n), np.searchsorted(roots, node), sets, dest, trees.value != 0)
+            order = np.argsort(cell[row], kind="stable")
+            row, value, sets = row[order], trees.value[node[order]], sets[order]
+            chunk, place = cell[row] // CHUNK, (cell[row] % CHUNK).astype(np.int16)
+            out = [(chunk[lo], (place[lo:hi], tree[row[lo:hi]], sets[lo:hi], value[lo:hi])) for lo, hi in _runs(chunk)]
+        return pa.Table.from_batches([_lines(out, ("chunk",))])
+
+    return run
+
+
+def _lines(rows: list[tuple], names: Sequence[str]) -> pa.RecordBatch:
+    """Rows of numbers (``group`` an int, others long) with a pickled part at the end."""
+    kinds = [pa.int32() if n == "group" else pa.int64() for n in names]
+    numbers = [pa.array([int(r[k]) for r in rows], kind) for k, kind in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays([*numbers, pa.array([pickle.dumps(r[-1], 5) for r in rows], pa.binary())], [*names, "part"])
 
 
 def fit_packed(data: Packed, preset: Preset, sample: float = 0.632, third: bool = True) -> PackedForest:
@@ -559,15 +680,30 @@ def fit_packed(data: Packed, preset: Preset, sample: float = 0.632, third: bool
     blocks = data.rows().repartition(parts).mapInArrow(_blocks(bins, columns, n_targets, settings), "block binary")
     blocks = stage(blocks, "packed-blocks")
     frontier = np.arange(len(trees.feature))
+    rows = np.full(len(frontier), np.inf)
     per_node = -(-n // 3) if third else n
+    apart, since, waiting, lower = False, 0, [], []
     for level in range(preset.depth):
-        if level and level % REWRITE == 0:
+        begin = not apart and len(frontier) > FRONTIER
+        apart = apart or begin
+        if apart:
+            small = rows <= OWN_ROWS
+            waiting.append((frontier[small], rows[small], preset.depth - level))
+            frontier, rows = frontier[~small], rows[~small]
+        if since == REWRITE or begin:
+            if waiting:
+                lower.append(_finish(model, blocks, waiting, target, per_node, preset.seed))
+                waiting = []
             shared = spark.sparkContext.broadcast((trees, frontier, bins))
             blocks = stage(blocks.mapInArrow(_rewriter(shared), "block binary"), "packed-blocks")
             shared.destroy()
+            since = 0
+        if not len(frontier):
+            break
+        since += 1
         features = chosen_features(trees.tree[frontier], frontier, n, per_node, preset.seed)
         shared = spark.sparkContext.broadcast((trees, frontier, features, bins, target))
-        picked = blocks.mapInArrow(_counter(shared, parts), "bucket int, keys binary, stats binary")
+        picked = blocks.mapInArrow(_counter(shared, max(parts, len(frontier) // NODES)), "bucket int, keys binary, stats binary")
         picked = picked.groupBy("bucket").applyInArrow(_picker(n, bins.width, bins.categorical, words), ", ".join(f"{c} binary" for c in PARTS))
         # One line of numbers for each node of this level.
         got = picked.collect()
@@ -577,19 +713,120 @@ def fit_packed(data: Packed, preset: Preset, sample: float = 0.632, third: bool
         found = {c: np.concatenate([np.frombuffer(r[c], KINDS[c]) for r in got]) for c in PARTS}
         found = {c: x.reshape(-1, words if c == "mask" else 3) if c in ("mask", "total", "left", "right") else x for c, x in found.items()}
         order = np.argsort(found["node"], kind="stable")
-        found = {c: x[order] for c, x in found.items()}
-        nodes = frontier[found["node"]]
-        trees.value[nodes] = found["total"][:, 1] / found["total"][:, 0]
-        split = found["feature"] >= 0
-        sides = np.stack([found["left"][split], found["right"][split]], axis=1)
-        children = trees.grow(nodes[split], found["feature"][split], found["mask"][split], sides[:, :, 1] / sides[:, :, 0])
-        c, s, q = sides.reshape(-1, 3).T
-        frontier = children[(c > 1) & (q - s * s / np.maximum(c, 1) > 1e-9 * np.maximum(q, 1e-300))]
-        if not len(frontier):
+        _, frontier, rows = _part(trees, frontier, {c: x[order] for c, x in found.items()})
+        if not len(frontier) and not apart:
             break
+    if waiting:
+        lower.append(_finish(model, blocks, waiting, target, per_node, preset.seed))
+    if lower:
+        model.lower = reduce(DataFrame.unionByName, lower)
+        model.group = _padded(model.group, len(trees.feature))
     return model
 
 
+def _part(trees: Trees, nodes: np.ndarray, found: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Part nodes as found: the nodes that were, their children that may be parted too, and the rows of those."""
+    nodes = nodes[found["node"]]
+    trees.value[nodes] = found["total"][:, 1] / found["total"][:, 0]
+    split = found["feature"] >= 0
+    sides = np.stack([found["left"][split], found["right"][split]], axis=1)
+    children = trees.grow(nodes[split], found["feature"][split], found["mask"][split], sides[:, :, 1] / sides[:, :, 0])
+    c, s, q = sides.reshape(-1, 3).T
+    more = (c > 1) & (q - s * s / np.maximum(c, 1) > 1e-9 * np.maximum(q, 1e-300))
+    return nodes[split], children[more], c[more]
+
+
+def _padded(group: np.ndarray | None, n: int) -> np.ndarray:
+    out = np.full(n, -1, np.int32)
+    if group is not None:
+        out[: len(group)] = group
+    return out
+
+
+def _finish(
+    model: PackedForest, blocks: DataFrame, waiting: list[tuple[np.ndarray, np.ndarray, int]], target: np.ndarray, per_node: int, seed: int
+) -> DataFrame:
+    """Grow all that hangs below the waiting nodes, group by group: (group, nodes), written.
+
+    A group holds nodes of one tree or of neighbouring ones, up to about ``OWN_ROWS`` rows together.
+    """
+    trees, bins, spark = model.trees, model.bins, blocks.sparkSession
+    nodes, rows = (np.concatenate([w[k] for w in waiting]) for k in (0, 1))
+    levels = np.zeros(len(trees.feature), np.int16)
+    for own, _, left in waiting:
+        levels[own] = left
+    order = np.lexsort((nodes, trees.tree[nodes]))
+    nodes, rows = nodes[order], rows[order]
+    model.group = _padded(model.group, len(trees.feature))
+    first = int(model.group.max()) + 1
+    group = _padded(None, len(trees.feature))
+    group[nodes] = first + np.unique((np.cumsum(rows) // OWN_ROWS).astype(np.int64), return_inverse=True)[1]
+    model.group = np.maximum(model.group, group)
+    shared = spark.sparkContext.broadcast((trees, group, bins, target, levels))
+    taken = blocks.mapInArrow(_taker(shared), "group int, part binary").repartition(_tasks(spark), "group")
+    grown = taken.groupBy("group").applyInArrow(_grower(shared, per_node, seed), "group int, nodes binary")
+    grown = stage(grown, "packed-lower")
+    shared.destroy()
+    return grown
+
+
+def _taker(shared):
+    """What lies in the nodes to be finished: a line for each block, tree and group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees, group, bins, target, _ = shared.value
+        code = np.uint8 if bins.width <= 256 else np.uint16
+        for b in _each_block(batches):
+            b.advance(trees, _dest(bins), group >= 0)
+            codes = b.codes.astype(code)
+            for tree, (row, node, sets) in b.entries.items():
+                order = np.argsort(group[node], kind="stable")
+                row, node, sets = row[order], node[order], sets[order]
+                entry, d, y = b.inside(row, sets, target[tree])
+                per = np.bincount(entry, minlength=len(row))
+                end, d, own, per = np.concatenate([[0], np.cumsum(per)]), d.astype(np.uint8), group[node], per.astype(np.uint8)
+                out = []
+                for lo, hi in _runs(own):
+                    some = slice(end[lo], end[hi])
+                    out.append((own[lo], (node[lo:hi], sets[lo:hi], codes[row[lo:hi]], per[lo:hi], d[some], y[some])))
+                yield _lines(out, ("group",))
+
+    return run
+
+
+def _grower(shared, per_node: int, seed: int):
+    """All that hangs below the nodes of a group: their numbers, and trees that have them as roots in that order."""
+
+    def run(t: pa.Table) -> pa.Table:
+        _, _, bins, _, levels = shared.value
+        n, words = len(bins.names), max(SET_WORDS, -(-bins.width // 64))
+        # The order in which blocks come in does not matter.
+        parts = [pickle.loads(x) for x in sorted(t.column("part").to_pylist())]
+        node, sets, codes, per, d, y = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        b = Block.of(codes, sets, per.astype(np.int64), d.astype(np.int64), y)
+        roots, at = np.unique(node, return_inverse=True)
+        b.entries = {0: (np.arange(b.n), at, sets)}
+        trees, left, path = Trees.roots(len(roots), words), levels[roots].astype(np.int64), _mix(roots.astype(U) + U(1))
+        frontier, none = np.arange(len(roots)), np.zeros(1, np.int64)
+        while len(frontier):
+            # A node is told by its root and the way down from there.
+            features = chosen_features(np.zeros(len(frontier), np.int64), path[frontier], n, per_node, seed)
+            found = [*histograms(b, trees, frontier, features, bins, none)]
+            if not found:
+                break
+            keys, stats = (np.concatenate(x) for x in zip(*found, strict=True))
+            parents, more, _ = _part(trees, frontier, best_splits(keys, stats, n, bins.width, bins.categorical, words))
+            sides = np.tile(np.array([1, 2], U), len(parents))
+            path = np.concatenate([path, _mix(np.repeat(path[parents], 2) * U(3) + sides)])
+            left = np.concatenate([left, np.repeat(left[parents] - 1, 2)])
+            frontier = more[left[more] > 0]
+        blob = pickle.dumps((roots, trees), 5)
+        return pa.table({"group": t.column("group").slice(0, 1), "nodes": pa.array([blob], pa.binary())})
+
+    return run
+
+
 def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     for batch in batches:
         for k in range(batch.num_rows):
@@ -629,26 +866,40 @@ def _counter(shared, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees, frontier, features, bins, target = shared.value
         cells = len(bins.names) * bins.width
-        keys, stats = np.empty(0, np.int64), np.empty((0, 3))
+        held, size = [], 0
         for b in _each_block(batches):
-            k, s = histograms(b, trees, frontier, features, bins, target)
-            keys, stats = _summed(np.concatenate([keys, k]), np.concatenate([stats, s]))
-        bucket = keys // cells % buckets
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        rows = [(k, order[lo:hi]) for k, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if hi > lo]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([k for k, _ in rows], pa.int32()),
-                pa.array([keys[x].tobytes() for _, x in rows], pa.binary()),
-                pa.array([stats[x].tobytes() for _, x in rows], pa.binary()),
-            ],
-            ["bucket", "keys", "stats"],
-        )
+            for part in histograms(b, trees, frontier, features, bins, target):
+                held.append(part)
+                size += len(part[0])
+                if size > HELD:
+                    held = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                    size = len(held[0][0])
+                    # Histograms that do not fit go out as they are, and meet the rest at their group.
+                    if size > HELD // 2:
+                        yield _sent(*held[0], cells, buckets)
+                        held, size = [], 0
+        if held:
+            yield _sent(*_summed(*(np.concatenate(x) for x in zip(*held, strict=True))), cells, buckets)
 
     return run
 
 
+def _sent(keys: np.ndarray, stats: np.ndarray, cells: int, buckets: int) -> pa.RecordBatch:
+    """Histograms by the group that their nodes are in."""
+    bucket = keys // cells % buckets
+    order = np.argsort(bucket, kind="stable")
+    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    rows = [(k, order[lo:hi]) for k, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if hi > lo]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([k for k, _ in rows], pa.int32()),
+            pa.array([keys[x].tobytes() for _, x in rows], pa.binary()),
+            pa.array([stats[x].tobytes() for _, x in rows], pa.binary()),
+        ],
+        ["bucket", "keys", "stats"],
+    )
+
+
 def _picker(n: int, width: int, categorical: np.ndarray, words: int):
     def run(t: pa.Table) -> pa.Table:
         keys = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("keys").to_pylist()])
