@@ -80,31 +80,31 @@ def _softmax(logits: np.ndarray, y: np.ndarray, slopes: bool) -> np.ndarray:
     They are held within ``LIMIT``, far above what the state can add to a bias, so
     that nothing overflows.
     """
-    token = np.arange(len(y))
-    np.clip(logits, -LIMIT, LIMIT, out=logits)
-    own = logits[y, token]
+    np.maximum(logits, -LIMIT, out=logits)
+    np.minimum(logits, LIMIT, out=logits)
+    flat, at = logits.reshape(-1), y * len(y) + np.arange(len(y))
+    own = flat.take(at)
     np.exp(logits, out=logits)
-    total = logits.sum(0)
+    total = np.add.reduce(logits, 0)
     if slopes:
         logits *= 1 / total
-        logits[y, token] -= 1
+        flat[at] -= 1
     return own - np.log(total)
 
 
 def _step(w: dict, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """State after one symbol, the two gates, the new part, and what the second gate lets through; ``x`` is overwritten."""
+    """State after one symbol, the two gates, the new part, and what the second gate lets through."""
     size = h.shape[1]
     inner = h @ w["loop"]
     inner += w["bias"]
-    gates = x[:, : 2 * size]
-    gates += inner[:, : 2 * size]
+    gates = x[:, : 2 * size] + inner[:, : 2 * size]
     np.negative(gates, out=gates)
     np.exp(gates, out=gates)
     gates += 1
     np.reciprocal(gates, out=gates)
     keep, reset, past = gates[:, :size], gates[:, size:], inner[:, 2 * size :]
-    new = x[:, 2 * size :]
-    new += reset * past
+    new = reset * past
+    new += x[:, 2 * size :]
     np.tanh(new, out=new)
     after = h - new
     after *= keep
@@ -127,7 +127,7 @@ def _inside(
             logp[at:to] += _softmax(d, own[at:to] - lo, grad is not None)
             if grad is not None:
                 np.matmul(d, h[at:to], out=grad[f"{level}_w"][lo:hi])
-                np.sum(d, 1, out=grad[f"{level}_b"][lo:hi])
+                np.add.reduce(d, 1, out=grad[f"{level}_b"][lo:hi])
                 back[at:to] += d.T @ weights[lo:hi]
 
 
@@ -135,7 +135,7 @@ def _output(w: dict, classes: Classes, h: np.ndarray, y: np.ndarray, grad: dict
     """Natural log probability of each target, and the gradient of its negative sum for the states if asked for."""
     kind = classes.of[y]
     order = np.argsort(kind.astype(np.int16), kind="stable")  # at most 65 classes: a radix sort
-    h, y, kind = h[order], y[order], kind[order]
+    h, y, kind = h.take(order, 0), y.take(order), kind.take(order)
     group = np.repeat(np.arange(len(classes.groups) - 1), np.diff(classes.groups))[kind]
     d = w["group_w"] @ h.T
     d += w["group_b"][:, None]
@@ -177,8 +177,8 @@ def scores(w: dict, classes: Classes, texts: Sequence[np.ndarray], window: int =
     lives = len(texts) - np.searchsorted(sizes[::-1], np.arange(int(sizes[0])), side="right")
     states, targets, owners, held = [], [], [], 0
     for t, live in enumerate(lives.tolist()):
-        h = _step(w, enters[last[:live]], h[:live])[0]
-        last = flat[offset[:live] + t]
+        h = _step(w, enters.take(last[:live], 0), h[:live])[0]
+        last = flat.take(offset[:live] + t)
         states.append(h)
         targets.append(last)
         owners.append(order[:live])
@@ -194,7 +194,7 @@ def _rows_sum(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
     order = np.argsort(rows.astype(np.uint16), kind="stable")  # symbols are few: a radix sort
     rows = rows[order]
     first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    return rows[first], np.add.reduceat(values[order], first)
+    return rows[first], np.add.reduceat(values.take(order, 0), first)
 
 
 def _lanes(sizes: np.ndarray, lanes: int) -> list[list[int]]:
@@ -239,8 +239,8 @@ def train(
     for start in range(0, int(sizes[0]), window):
         lives = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(start, min(start + window, int(sizes[0])))]
         places = np.concatenate([offset[:n] + start + k for k, n in enumerate(lives)])
-        symbols, y, fresh = inputs[places], flat[places], begins[places]
-        shown = w["embed"][symbols]
+        symbols, y, fresh = inputs.take(places), flat.take(places), begins.take(places)
+        shown = w["embed"].take(symbols, 0)
         x = shown @ w["enter"]
         edge = np.concatenate([[0], np.cumsum(lives)])
         tape = []
@@ -279,8 +279,13 @@ def train(
         scale = F32(1 / max(np.sqrt(len(y)), 1))
         for k, g in grad.items():
             g *= scale
-            squares[k] += g * g
-            w[k] -= rate * g / (np.sqrt(squares[k]) + 1e-6)
+            below = g * g
+            squares[k] += below
+            np.sqrt(squares[k], out=below)
+            below += 1e-6
+            g *= rate
+            g /= below
+            w[k] -= g
         values *= scale
         squares["embed"][rows] += values * values
         w["embed"][rows] -= rate * values / (np.sqrt(squares["embed"][rows]) + 1e-6)
