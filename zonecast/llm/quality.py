@@ -33,8 +33,8 @@ from .hashing import hash_words
 
 TRIGRAMS, SOURCES, LANGS, LAYOUT = 1024, 16, 8, 12
 METADATA = LAYOUT + LANGS + SOURCES
-#: Bytes of text whose features are computed at once; a longer text is on its own.
-CHUNK = 1 << 18
+#: Bytes of text, and texts, whose features are computed at once; a longer text is on its own.
+CHUNK, CHUNK_TEXTS = 1 << 18, 64
 
 
 @dataclass(frozen=True)
@@ -141,7 +141,7 @@ def _features(batch: pa.RecordBatch, vocabulary: np.ndarray) -> Iterator[tuple[i
     at = 0
     while at < len(texts):
         to, size = at, 0
-        while to < len(texts) and (to == at or size + len(texts[to]) <= CHUNK):
+        while to < min(len(texts), at + CHUNK_TEXTS) and (to == at or size + len(texts[to]) <= CHUNK):
             size += len(texts[to])
             to += 1
         part = texts[at:to]
@@ -315,8 +315,11 @@ def _fit_all(training: DataFrame, how: CoTraining) -> list[QualityModel | None]:
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("doc_id")
-        blobs = t.column("x").to_pylist()
-        x = np.stack([np.frombuffer(b, np.float16) for b in blobs]).astype(np.float32)
+        blobs = t.column("x")
+        x = np.empty((t.num_rows, len(blobs[0].as_buffer()) // 2), np.float32)
+        for k, blob in enumerate(blobs):
+            x[k] = np.frombuffer(blob.as_buffer(), np.float16)
+        t = t.drop_columns("x")
         del blobs
         views = x[:, :TRIGRAMS], x[:, TRIGRAMS : TRIGRAMS + METADATA], x[:, TRIGRAMS + METADATA :]
         ids, marks = t.column("doc_id").to_pylist(), t.column("marks").to_pylist()
