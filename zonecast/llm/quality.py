@@ -33,8 +33,8 @@ from .hashing import hash_words
 
 TRIGRAMS, SOURCES, LANGS, LAYOUT = 1024, 16, 8, 12
 METADATA = LAYOUT + LANGS + SOURCES
-#: Bytes of text, and texts, whose features are computed at once; a longer text is on its own.
-CHUNK, CHUNK_TEXTS = 1 << 18, 64
+#: Bytes of text whose features are computed at once (a longer text is on its own), and texts whose trigrams are counted at once.
+CHUNK, COUNTED = 1 << 18, 64
 
 
 @dataclass(frozen=True)
@@ -68,6 +68,8 @@ def _pieces(n: int, size: int = 1 << 20) -> Iterator[slice]:
 
 def content_features(texts: Sequence[bytes]) -> np.ndarray:
     """Square roots of trigram shares: byte triples hashed into ``TRIGRAMS`` cells."""
+    if len(texts) > COUNTED:
+        return np.concatenate([content_features(texts[k : k + COUNTED]) for k in range(0, len(texts), COUNTED)])
     counts = np.zeros(len(texts) * TRIGRAMS, np.int64)
     sizes = np.array([len(t) for t in texts])
     joined, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes)
@@ -141,7 +143,7 @@ def _features(batch: pa.RecordBatch, vocabulary: np.ndarray) -> Iterator[tuple[i
     at = 0
     while at < len(texts):
         to, size = at, 0
-        while to < min(len(texts), at + CHUNK_TEXTS) and (to == at or size + len(texts[to]) <= CHUNK):
+        while to < len(texts) and (to == at or size + len(texts[to]) <= CHUNK):
             size += len(texts[to])
             to += 1
         part = texts[at:to]
