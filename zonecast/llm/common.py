@@ -29,6 +29,21 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.string()).cast(pa.binary()).to_pylist()
 
 
+#: Rows that Spark hands to Python at once.
+BATCH = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands Python at most ``BATCH`` rows at once, or fewer if it says so.
+
+    With Spark's 10,000 rows a batch holds all texts of a split, once in the task
+    and once in its worker.  The setting stays, as it is read when a plan runs.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``rows`` rows, so that what Python makes of a batch of texts stays small."""
     for batch in batches:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package, stage
-from .common import slices, table, utf8
+from .common import slices, small_batches, table, utf8
 from .exact_dedup import filter_bits, flag_possible, repeat_filter
 from .hashing import U, hash_words, mix, shingles
 
@@ -211,6 +211,7 @@ def near_groups(
 
 
 def _groups(docs: DataFrame, key: str, text: str, width: int, share: int) -> DataFrame:
+    small_batches(docs.sparkSession)
     picked = docs.select(
         F.col(key).alias("doc_id"), F.xxhash64(F.col(key), F.col(text)).alias("pick"), F.col(text).alias("text")
     )

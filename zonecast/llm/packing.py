@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package, stage
-from .common import prefix_sums, slices, table
+from .common import prefix_sums, slices, small_batches, table
 from .encode import default_vocabulary, encoder
 
 WINDOW = 2048
@@ -52,6 +52,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, window: int =
             )
 
     ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 

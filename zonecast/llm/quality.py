@@ -22,13 +22,13 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package, stage
-from .common import slices, table, utf8
+from .common import slices, small_batches, table, utf8
 from .hashing import hash_words
 
 TRIGRAMS, SOURCES, LANGS, LAYOUT = 1024, 16, 8, 12
@@ -90,9 +90,12 @@ def metadata_features(texts: Sequence[bytes], langs: Sequence, sources: Sequence
     n = np.maximum(sizes, 1)
     b = np.stack([np.bincount(np.frombuffer(t, np.uint8), minlength=256) for t in texts]).astype(float)
     hashes, words = hash_words(texts)
-    codes, distinct = pd.factorize(hashes)
-    kinds = np.unique(np.repeat(np.arange(k), words) * max(len(distinct), 1) + codes)
-    different = np.bincount(kinds // max(len(distinct), 1), minlength=k)
+    own = np.repeat(np.arange(k), words)
+    order = np.lexsort((hashes, own))
+    new = np.diff(hashes[order], prepend=np.uint64(0)) != 0
+    first = np.cumsum(words) - words
+    new[first[words > 0]] = True
+    different = np.bincount(own[new], minlength=k)
     lines = b[:, 10] + 1
     letters = b[:, 65:91].sum(1) + b[:, 97:123].sum(1)
     marks = b[:, 33:48].sum(1) + b[:, 58:65].sum(1) + b[:, 91:97].sum(1) + b[:, 123:127].sum(1)
@@ -175,14 +178,19 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 150, penalty: float = 1e-3) -> Linear:
-    """Class-balanced logistic regression by accelerated gradient steps on standardised columns."""
-    mean, scale = x.mean(0), x.std(0) + 1e-3
-    z = x - mean
+def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 150, penalty: float = 1e-3, scratch: bool = False) -> Linear:
+    """Class-balanced logistic regression by accelerated gradient steps on standardised columns.
+
+    What is summed over the rows is made of a few columns or rows at a time; ``scratch``: ``x`` is overwritten, not copied.
+    """
+    mean = x.mean(0)
+    scale = np.concatenate([x[:, k : k + 64].std(0) for k in range(0, x.shape[1], 64)]) + 1e-3
+    z = np.subtract(x, mean, out=x if scratch else None)
     z /= scale
     share = np.clip(y.mean(), 1e-6, 1 - 1e-6)
     weight = np.where(y > 0.5, 0.5 / share, 0.5 / (1 - share)) / len(y)
-    rate = 4.0 / (float((z * z).sum(1).mean()) + 1)
+    squares = np.concatenate([(z[k : k + 256] ** 2).sum(1) for k in range(0, len(z), 256)])
+    rate = 4.0 / (float(squares.mean()) + 1)
     w, b = np.zeros(x.shape[1], z.dtype), 0.0
     vw, vb = w, b
     for k in range(steps):
@@ -229,6 +237,7 @@ def fit_views(
 ) -> QualityModel | None:
     """Fit, calibrate and cut.  ``fold``: rows kept for calibration; ``handed``: (rows, labels) that each view was given.
 
+    Views may be halves; the training rows of one view at a time are widened.
     Rejected is what scores below ``cap`` (None: the share of the good class,
     where scores of two views that each hold the prior are even), and below
     nearly all good held-out rows.  None when the training rows hold one class only.
@@ -236,10 +245,11 @@ def fit_views(
     train = ~fold
     if len(set(y[train].tolist())) < 2 or not fold.any():
         return None
-    own = [
-        calibrate(fit_logistic(np.concatenate([x[train], more]), np.concatenate([y[train], label])), x[fold], y[fold])
-        for x, (more, label) in zip(views, handed, strict=True)
-    ]
+    own = []
+    for x, (more, label) in zip(views, handed, strict=True):
+        rows = np.concatenate([x[train], more], dtype=np.result_type(x, more, np.float32))
+        own.append(calibrate(fit_logistic(rows, np.concatenate([y[train], label]), scratch=True), x[fold], y[fold]))
+        del rows
     good = float(y.mean())
     both = _sigmoid(own[0].calibrated(views[0][fold]) + own[1].calibrated(views[1][fold]))
     kept, bad = both[y[fold] > 0.5], both[y[fold] < 0.5]
@@ -316,12 +326,12 @@ def _fit_all(training: DataFrame, how: CoTraining) -> list[QualityModel | None]:
     """One task fits both targets on the training rows, whose number is bounded by the settings."""
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("doc_id")
+        order = pc.sort_indices(t, sort_keys=[("doc_id", "ascending")])
         blobs = t.column("x")
-        x = np.empty((t.num_rows, len(blobs[0].as_buffer()) // 2), np.float32)
-        for k, blob in enumerate(blobs):
-            x[k] = np.frombuffer(blob.as_buffer(), np.float16)
-        t = t.drop_columns("x")
+        x = np.empty((t.num_rows, len(blobs[0].as_buffer()) // 2), np.float16)
+        for k, at in enumerate(order.to_pylist()):
+            x[k] = np.frombuffer(blobs[at].as_buffer(), np.float16)
+        t = t.drop_columns("x").take(order)
         del blobs
         views = x[:, :TRIGRAMS], x[:, TRIGRAMS : TRIGRAMS + METADATA], x[:, TRIGRAMS + METADATA :]
         ids, marks = t.column("doc_id").to_pylist(), t.column("marks").to_pylist()
@@ -391,6 +401,7 @@ def fit(docs: DataFrame, labels: DataFrame, how: CoTraining = CoTraining()) -> t
     without an id are unlabelled documents like others.
     """
     ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg(F.avg("quality").alias("quality"), F.avg(1 - F.col("toxic")).alias("clean")).where("quality is not null or clean is not null")
     # At most ``labelled`` rows.
@@ -433,6 +444,7 @@ def score(docs: DataFrame, model: QualityModel | None, clean: QualityModel | Non
         none = {c: F.lit(None).cast("double") for c in SCORES}
         return docs.select(*kept).withColumns({**none, "good": F.lit(True)})
     ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
     rows = docs.select(*(c.alias(f"__{n}") for c, n in zip(_inputs(docs), INPUT, strict=True)), *kept)
     shape = rows.drop(*(f"__{c}" for c in INPUT)).schema
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape)
